@@ -18,13 +18,10 @@ BOILERPLATE = (
 )
 BOILERPLATE_REPLACEMENT = "FWIW - "
 
-# The 32 ASCII punctuation marks, and what separates words
-# (written so that Java and RE2 both read it).
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-WORD_PATTERN = (
-    r"[^\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-)
+# A word is a run without white space (Unicode white space and the
+# four separators 1c to 1f), a mark is one of the 32 ASCII punctuation marks.
+WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
+MARK_PATTERN = r"\p{Punct}"
 
 LINE_WIDTH = 80
 
@@ -46,8 +43,7 @@ def word_count(text) -> Column:
 
 
 def punctuation_count(text) -> Column:
-    c = _col(text)
-    return F.length(c) - F.length(F.translate(c, PUNCTUATION, ""))
+    return F.regexp_count(_col(text), F.lit(MARK_PATTERN))
 
 
 def format_width(text) -> Column:

@@ -57,16 +57,15 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     """SQL ``key NOT IN (SELECT right_key …)``: any NULL on the right leaves nothing,
     and a NULL on the left stays only if the right side is empty.
 
-    The NULL test is one scalar aggregate; the rest is a plain anti-join.
+    One scalar aggregate tells the three cases apart; the rest is a plain anti-join.
     """
-    facts = right.agg(
-        F.count(F.lit(1)).alias("n"), F.count(right_key).alias("n_known")
-    ).select(F.struct("n", "n_known")).scalar()
+    rows, known = F.count(F.lit(1)), F.count(right_key)
+    all_or_none = right.agg(
+        F.when(rows == 0, True).when(rows > known, False).alias("all_or_none")
+    ).scalar()
     other = right.select(F.col(right_key).alias("_r")).distinct()
     kept = left.join(other, F.col(key) == F.col("_r"), "left_anti")
-    return kept.filter(
-        (facts["n"] == 0) | ((facts["n"] == facts["n_known"]) & F.col(key).isNotNull())
-    )
+    return kept.filter(F.coalesce(all_or_none, F.col(key).isNotNull()))
 
 
 def new_ids(feed: DataFrame, feed_key: str, table: DataFrame, table_key: str) -> DataFrame:

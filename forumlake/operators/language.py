@@ -2,75 +2,118 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forumlake.operators.joins import broadcast_if_small
+from forumlake.session import durable
 
 # Log probabilities are kept as whole millionths: sums then do not depend on order.
 SCALE = 1_000_000
 MAX_LANGUAGES = 1_000
+# Words whose sums are worked out beforehand; all others go through their trigrams.
+COMMON_WORDS = 50_000
+MAX_BROADCAST_GRAMS = 1_000_000
+
+
+@dataclass
+class Profiles:
+    """``grams`` (gram, lp0, lp1, …) and ``words`` (word, lp0, …), one column per language."""
 
+    grams: DataFrame
+    words: DataFrame
+    langs: list[str]
 
-def trigrams(text) -> Column:
-    """Overlapping runs of three characters; anything but letters becomes one blank."""
+    @property
+    def columns(self) -> list[str]:
+        return [f"lp{i}" for i in range(len(self.langs))]
+
+
+def words_of(text) -> Column:
+    """Runs of letters in lower case; text without letters gives one empty word."""
     c = F.col(text) if isinstance(text, str) else text
-    letters = F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " ")), F.lit(" ")
-    )
-    return F.regexp_extract_all(letters, F.lit(r"(?=(...))"), F.lit(1))
+    return F.split(F.trim(F.regexp_replace(F.lower(c), r"\P{L}+", " ")), " ")
 
 
-def train_profiles(labelled: DataFrame, text: str, lang: str) -> tuple[DataFrame, list[str]]:
-    """One row per trigram with a log probability column per language (add-one rule).
+def trigrams(word) -> Column:
+    """Overlapping runs of three characters of a word with a blank on each side."""
+    c = F.col(word) if isinstance(word, str) else word
+    padded = F.concat(F.lit(" "), c, F.lit(" "))
+    return F.regexp_extract_all(padded, F.lit(r"(?=(...))"), F.lit(1))
 
-    The counts are reduced in the map tasks, so the shuffle carries distinct
-    trigrams, not text.
+
+def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
+    """Learn from all of ``labelled`` with the add-one rule.
+
+    Text is reduced to word counts per language in the map tasks; trigrams are
+    cut from distinct words only.
     """
-    counts = (
+    counted = durable(
         labelled.filter(F.col(lang).isNotNull())
-        .select(F.col(lang).alias("lang"), F.explode(trigrams(text)).alias("gram"))
-        .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+        .select(F.col(lang).alias("lang"), F.explode(words_of(text)).alias("word"))
+        .filter("word <> ''")
+        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
     )
     langs = [
-        r[0] for r in labelled.select(lang).filter(F.col(lang).isNotNull())
-        .distinct().orderBy(lang).limit(MAX_LANGUAGES + 1).collect()
+        r[0] for r in counted.select("lang").distinct().orderBy("lang")
+        .limit(MAX_LANGUAGES + 1).collect()
     ]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError("the language column holds more than a thousand values")
-    table = counts.groupBy("gram").pivot("lang", langs).agg(F.sum("c"))
+    table = durable(
+        counted.select("lang", "c", F.explode(trigrams("word")).alias("gram"))
+        .groupBy("gram").agg(*[
+            F.sum(F.when(F.col("lang") == n, F.col("c")).otherwise(0)).alias(f"n{i}")
+            for i, n in enumerate(langs)
+        ])
+    )
     sizes = table.agg(
-        F.count(F.lit(1)).alias("v"),
-        *[F.sum(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(langs)],
-    ).select(F.struct("*")).scalar()
-    profile = table.select("gram", *[
-        F.round(
-            F.log(
-                (F.coalesce(F.col(f"`{n}`"), F.lit(0)) + 1).cast("double")
-                / (F.coalesce(sizes[f"n{i}"], F.lit(0)) + sizes["v"]).cast("double")
-            ) * SCALE
-        ).cast("bigint").alias(f"lp{i}")
-        for i, n in enumerate(langs)
+        F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
+    ).first()
+    grams = table.select("gram", *[
+        F.round(F.log(
+            (F.col(f"n{i}") + 1).cast("double") / F.lit(float((sizes[f"n{i}"] or 0) + sizes["v"]))
+        ) * SCALE).cast("bigint").alias(f"lp{i}")
+        for i in range(len(langs))
     ])
-    return profile, langs
+    found = Profiles(grams, grams, langs)
+    common = (
+        counted.groupBy("word").agg(F.sum("c").alias("c"))
+        .orderBy(F.desc("c"), "word").limit(COMMON_WORDS)
+        .select("word", F.explode(trigrams("word")).alias("gram"))
+        .join(broadcast_if_small(grams, MAX_BROADCAST_GRAMS), "gram")
+        .groupBy("word").agg(*[F.sum(c).alias(c) for c in found.columns])
+    )
+    return Profiles(grams, durable(common), langs)
 
 
 def detect_language(
-    items: DataFrame, key: str, text: str, profile: DataFrame, langs: list[str],
-    out: str = "detected",
+    items: DataFrame, key: str, text: str, profiles: Profiles, out: str = "detected"
 ) -> DataFrame:
     """(key, detected): the language with the largest sum; the first by name on a tie.
 
-    Text without a known trigram gives NULL. The trigrams of a text stand next
-    to each other, so the sums are nearly complete before the shuffle.
+    Text without a known trigram gives NULL. Common words take their sums from a
+    table of at most ``COMMON_WORDS`` rows, other words from their trigrams. The
+    words of a text stand next to each other, so the sums are nearly complete
+    before the shuffle.
     """
-    grams = items.select(key, F.explode_outer(trigrams(text)).alias("gram"))
-    scored = grams.join(broadcast_if_small(profile), "gram", "left")
+    lps = profiles.columns
+    words = F.broadcast(profiles.words.withColumnsRenamed({c: f"w{c}" for c in lps}))
+    tokens = items.select(key, F.explode_outer(words_of(text)).alias("word")).join(
+        words, "word", "left"
+    )
+    rare = F.when(F.col("w" + lps[0]).isNull(), trigrams("word"))
+    grams = tokens.select(key, *[f"w{c}" for c in lps], F.explode_outer(rare).alias("gram"))
+    scored = grams.join(
+        broadcast_if_small(profiles.grams, MAX_BROADCAST_GRAMS), "gram", "left"
+    )
     sums = scored.groupBy(key).agg(
-        *[F.sum(f"lp{i}").alias(f"s{i}") for i in range(len(langs))]
+        *[F.sum(F.coalesce(f"w{c}", c)).alias(f"s{i}") for i, c in enumerate(lps)]
     )
     best = F.array_max(F.array(*[
         F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i"), F.lit(n).alias("lang"))
-        for i, n in enumerate(langs)
+        for i, n in enumerate(profiles.langs)
     ]))
     return sums.select(key, F.when(F.col("s0").isNotNull(), best["lang"]).alias(out))

@@ -16,7 +16,7 @@ from forumlake.functions import keys, predicates, text, times, versions
 from forumlake.operators import dml, enrichment, joins, language, numbering, registry, trees
 from forumlake.plans import dashboard, service
 from forumlake.schemas import UNIQUE_KEYS
-from forumlake.session import fresh_path
+from forumlake.session import fresh_path, spread
 from forumlake.sources import feeds, logs, tables
 from forumlake.sources.adapters import BASE_TABLES, TestTables, view_sql
 from forumlake.streaming import ingest, state, windows
@@ -312,7 +312,7 @@ WITH random_post AS (
   SELECT json_extract_string(analysis_document, '$.reference_id') AS pid FROM analysis_documents
   WHERE json_extract_string(analysis_document, '$.category') = 'post'
     AND json_extract_string(analysis_document, '$.llm') = 'phi4'
-  ORDER BY md5(pid || '6') NULLS LAST, pid NULLS LAST LIMIT 1),
+  ORDER BY md5(pid || '30') NULLS LAST, pid NULLS LAST LIMIT 1),
 post_comments AS (
   SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
     ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
@@ -328,10 +328,29 @@ WHERE p.post_id IN (SELECT pid FROM random_post)
 GROUP BY p.subreddit, pc.comment_bodies
 """)
 def _(t):
-    bundle = service.post_bundle(t.posts, t.comments, t.analysis_documents, seed=6)
+    bundle = service.post_bundle(t.posts, t.comments, t.analysis_documents, seed=30)
     return bundle.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
 
 
+@query("post_bundles", _DOC_VIEWS, """
+WITH post_comments AS (
+  SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
+    ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
+  FROM comments GROUP BY post_id)
+SELECT p.post_id, p.subreddit, max(p.post_title || '  -  ' || p.post_body) AS post, 0 AS piece,
+  string_agg(ad.analysis_document, ', ' ORDER BY ad.id) AS analysis_docs, pc.comment_bodies
+FROM posts p
+JOIN analysis_documents ad
+  ON p.post_id = json_extract_string(ad.analysis_document, '$.reference_id')
+JOIN post_comments pc ON p.post_id = pc.post_id
+WHERE p.post_body NOT LIKE '[ Removed by Reddit ]%'
+GROUP BY p.post_id, p.subreddit, pc.comment_bodies
+""")
+def _(t):
+    found = service.bundles(t.posts, t.comments, t.analysis_documents)
+    return found.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
+
+
 @query("known_authors", "authors", "SELECT author_name FROM authors GROUP BY author_name")
 def _(t):
     return service.known_authors(t.authors)
@@ -810,10 +829,11 @@ def _(t):
 
 
 @query("detect_language", "", r"""
-WITH letters AS (
+WITH tokens AS (
   SELECT doc_id, lang,
-    ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
-chars AS (SELECT doc_id, lang, string_split(t, '') AS c FROM letters),
+    unnest(string_split(trim(regexp_replace(lower(text), '\P{L}+', ' ', 'g')), ' ')) AS w
+  FROM documents),
+chars AS (SELECT doc_id, lang, string_split(' ' || w || ' ', '') AS c FROM tokens WHERE w <> ''),
 grams AS (
   SELECT doc_id, lang,
     unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
@@ -835,8 +855,9 @@ best AS (
 SELECT d.doc_id, b.l AS detected FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1
 """)
 def _(t):
-    profile, langs = language.train_profiles(t.documents, "text", "lang")
-    return language.detect_language(t.documents, "doc_id", "text", profile, langs)
+    documents = spread(t.documents)
+    profiles = language.train_profiles(documents, "text", "lang")
+    return language.detect_language(documents, "doc_id", "text", profiles)
 
 
 @query("language_gate", "posts", f"""
@@ -1012,13 +1033,13 @@ def _(t):
     return raw.select("doc_id", text.sanitize("raw").alias("clean"))
 
 
-@query("word_punct", "", f"""
-SELECT doc_id, len(regexp_extract_all(text, '{text.WORD_PATTERN}')) AS words,
-  length(text) - length(regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g')) AS marks
+@query("word_punct", "", rf"""
+SELECT doc_id, len(regexp_extract_all(text, '[^\t\n\x0b\f\r \x1c-\x1f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+')) AS words,
+  length(text) - length(regexp_replace(text, '[!-/:-@\[-`{{-~]', '', 'g')) AS marks
 FROM documents
 """)
 def _(t):
-    return t.documents.select(
+    return spread(t.documents).select(
         "doc_id", text.word_count("text").cast("bigint").alias("words"),
         text.punctuation_count("text").cast("bigint").alias("marks"),
     )

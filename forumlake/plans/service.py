@@ -32,52 +32,64 @@ def answered_posts(documents: DataFrame, post_id: str | None = None) -> DataFram
     return rows.filter(wanted & is_answer("analysis")).select("post_id", "analysis")
 
 
-def post_bundle(
-    posts: DataFrame, comments: DataFrame, documents: DataFrame, seed=0, llm: str = "phi4",
+def _parsed(documents: DataFrame) -> DataFrame:
+    return fields(
+        documents.select("id", "analysis_document"), "analysis_document",
+        "reference_id", "category", "llm",
+    )
+
+
+def bundles(
+    posts: DataFrame, comments: DataFrame, documents: DataFrame, picked: DataFrame | None = None,
     size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One sampled post with its documents and comments.
+    """Posts that have documents and comments, each with both.
 
-    Columns: subreddit, post, piece, analysis_docs, comment_bodies. A post with up
-    to ``size`` documents and comments is one row, a larger one several; NULL
-    bodies are kept. The sample is a fixed function of ``seed``, so every use of
-    it sees the same post. A post without comments gives no row.
+    Columns: post_id, subreddit, post, piece, analysis_docs, comment_bodies. A post
+    with up to ``size`` documents and comments is one row, a larger one several;
+    NULL bodies are kept. ``picked`` (pid) limits the posts.
     """
-    parsed = fields(
-        documents.select("id", "analysis_document"), "analysis_document",
-        "reference_id", "category", "llm",
-    )
-    picked = sample_one(
-        parsed.filter((F.col("category") == "post") & (F.col("llm") == llm))
-        .select(F.col("reference_id").alias("pid")),
-        "pid", seed,
-    )
-    one = F.broadcast(picked)  # one row
-    docs = parsed.join(one, F.col("reference_id") == F.col("pid"), "left_semi").select(
+    docs = _parsed(documents).select(
         F.col("reference_id").alias("post_id"), "id", "analysis_document"
+    ).filter(F.col("post_id").isNotNull())
+    bodies = comments.select("post_id", "comment_created_utc", "comment_id", "comment_body")
+    heads = posts.filter(not_removed_by_site("post_body")).select(
+        "post_id", "subreddit", title_and_body("post_title", "post_body", "  -  ").alias("post")
     )
-    bodies = comments.join(one, F.col("post_id") == F.col("pid"), "left_semi").select(
-        "post_id", "comment_created_utc", "comment_id", "comment_body"
-    )
+    if picked is not None:
+        docs, bodies, heads = (
+            d.join(picked, F.col("post_id") == F.col("pid"), "left_semi")
+            for d in (docs, bodies, heads)
+        )
+    # Lists only for readable posts that have both kinds of items.
+    both = heads.select("post_id").join(
+        bodies.select("post_id").distinct(), "post_id", "left_semi"
+    ).join(docs.select("post_id").distinct(), "post_id", "left_semi")
     doc_lists = collect_in_pieces(
-        docs, ["post_id"], "analysis_document", ["id"], "docs", size, max_rows
+        docs.join(both, "post_id", "left_semi"), ["post_id"], "analysis_document", ["id"],
+        "docs", size, max_rows,
     )
     comment_lists = collect_in_pieces(
-        bodies, ["post_id"], "comment_body", ["comment_created_utc", "comment_id"],
-        "comment_bodies", size, max_rows,
-    )
-    head = (
-        posts.join(one, F.col("post_id") == F.col("pid"), "left_semi")
-        .filter(not_removed_by_site("post_body"))
-        .groupBy("post_id", "subreddit")
-        .agg(F.max(title_and_body("post_title", "post_body", "  -  ")).alias("post"))
+        bodies.join(both, "post_id", "left_semi"), ["post_id"], "comment_body",
+        ["comment_created_utc", "comment_id"], "comment_bodies", size, max_rows,
     )
-    with_comments = bodies.select("post_id").distinct()
     lists = comment_lists.join(doc_lists, ["post_id", "piece"], "full")
-    return (
-        head.join(with_comments, "post_id", "left_semi").join(lists, "post_id", "inner")
-        .select(
-            "subreddit", "post", "piece",
-            F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
-        )
+    return heads.join(lists, "post_id", "inner").select(
+        "post_id", "subreddit", "post", "piece",
+        F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
     )
+
+
+def post_bundle(
+    posts: DataFrame, comments: DataFrame, documents: DataFrame, seed=0, llm: str = "phi4",
+    size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The bundle of one sampled post that a document of ``llm`` names.
+
+    The sample is a fixed function of ``seed``, so every use of it sees the same
+    post. A post without comments gives no row.
+    """
+    named = _parsed(documents).filter((F.col("category") == "post") & (F.col("llm") == llm))
+    picked = sample_one(named.select(F.col("reference_id").alias("pid")), "pid", seed)
+    one = F.broadcast(picked)  # a single row
+    return bundles(posts, comments, documents, one, size, max_rows).drop("post_id")

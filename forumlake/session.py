@@ -56,10 +56,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and cut its lineage.
+    """Write ``df`` to a new table in the shared folder and read it from there.
 
-    The rows survive the loss of executors, so values that depend on where a
-    row happened to be placed (partition numbers) stay the same afterwards.
+    This cuts the lineage and computes the rows once. They survive the loss of
+    executors, so values that depend on where a row happened to be placed
+    (partition numbers) stay the same afterwards.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = fresh_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a table scan out to all cores if it has fewer partitions than cores.
+
+    Files with one row group cannot be split by the scan. A table with a partition
+    or more per core is left as it is, so large tables are never shuffled here.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table

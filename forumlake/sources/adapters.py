@@ -80,10 +80,29 @@ SELECT * FROM (VALUES (0,'phi4'),(1,'gemma2'),(2,'llama3')) AS t(pos,llm)
 """,
 }
 
-BASE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Declared schemas: no job has to look into the files first.
+BASE_TABLES: dict[str, str] = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
 
 _BASE_NAME = re.compile(r"@(\w+)")
 
@@ -107,8 +126,9 @@ class TestTables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            text = _BASE_NAME.sub(lambda m: f"parquet.`{self.path(m.group(1))}`", VIEWS[name])
-            return self.spark.sql(text)
+            text = VIEWS[name].replace("{", "{{").replace("}", "}}")
+            used = {n: getattr(self, n) for n in _BASE_NAME.findall(text)}
+            return self.spark.sql(_BASE_NAME.sub(r"{\1}", text), **used)
         if name in BASE_TABLES:
-            return self.spark.read.parquet(self.path(name))
+            return self.spark.read.schema(BASE_TABLES[name]).parquet(self.path(name))
         raise AttributeError(name)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forumlake.functions.predicates import survives_purge
-from forumlake.session import durable, shared_dir
+from forumlake.session import durable, path_exists, shared_dir
 
 Keys = Sequence[Sequence[str]]
 
@@ -106,12 +106,6 @@ def append_ignore(
     rows_to_insert(target, batch, unique, order).write.mode("append").parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def update_by_key(
     target: DataFrame, updates: DataFrame, key: str, column: str, order=None
 ) -> DataFrame:

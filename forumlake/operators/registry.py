@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from forumlake.functions.keys import registry_key, strip_kind
 from forumlake.operators.numbering import hot_keys, split_hot
-from forumlake.session import durable
+from forumlake.session import durable, fresh_path, path_exists
 
 TTL_SECONDS = 30 * 24 * 3600  # fixed value: a claim holds for 30 days
 # A key with more claims than this is not folded in one array.
 FOLD_ROWS = 100_000
+# Folders for the claims of hot keys, by time.
+SPAN_FOLDERS = 500
 
 
 def keys_of(registry: DataFrame, kind: str, key: str = "key", out: str = "id") -> DataFrame:
@@ -82,40 +84,54 @@ def _rounds(claims: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int, tt
 
     Two accepted claims of a key lie at least ``ttl`` apart, so a span holds at
     most one: the earliest that the previous claim allows. Each round is a
-    minimum per key, reduced before the shuffle, over the rows of one span. The
-    number of rounds depends on the time covered, not on the number of rows.
+    minimum per key, reduced before the shuffle, over the rows of one span, which
+    lie in a folder of their own. The number of rounds depends on the time
+    covered, not on the number of rows.
     """
+    spark = claims.sparkSession
     moment = claims.schema[ts].dataType.simpleString()
+    tie_type = claims.schema[tie].dataType.simpleString()
+    key_type = claims.schema[key].dataType.simpleString()
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    first, covered = claims.agg(
-        F.min(ts).cast("string"), F.max(micros) - F.min(micros)
-    ).first()
-    accepted: DataFrame | None = None
-    # At most HOT_LIST keys, hence as many state rows.
-    state = last
-    span = 0
+    first, covered = claims.agg(F.min(micros), F.max(micros) - F.min(micros)).first()
     spans = covered // (ttl_seconds * 1_000_000) + 1
-    lower = F.lit(first).cast(moment)
-    while span < spans:
-        low = lower + F.make_dt_interval(secs=F.lit(span * ttl_seconds))
-        high = lower + F.make_dt_interval(secs=F.lit((span + 1) * ttl_seconds))
-        rows = claims.filter((F.col(ts) >= low) & (F.col(ts) < high))
+    span = F.floor((micros - F.lit(first)) / F.lit(ttl_seconds * 1_000_000)).cast("bigint")
+    per_folder = -(-spans // SPAN_FOLDERS)
+    staged = fresh_path(spark, "claims")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        claims.select(key, ts, tie, span.alias("_span"))
+        .withColumn("_folder", F.floor(F.col("_span") / per_folder).cast("int"))
+        .repartitionByRange(parts, ts, tie)
+        .write.partitionBy("_folder").parquet(staged)
+    )
+    rows_schema = f"`{key}` {key_type}, `{ts}` {moment}, `{tie}` {tie_type}, _span bigint"
+    won_schema = f"`{key}` {key_type}, claimed_at {moment}, `{tie}` {tie_type}"
+    won_path = fresh_path(spark, "won")
+    state = last
+    for number in range(spans):
+        folder = f"{staged}/_folder={number // per_folder}"
+        if not path_exists(spark, folder):
+            continue
+        rows = spark.read.schema(rows_schema).parquet(folder).filter(F.col("_span") == number)
         if state is not None:
+            # One row per hot key, at most HOT_LIST.
             rows = rows.join(F.broadcast(state), F.col(key) == F.col("_rk"), "left").filter(
                 F.col("_last").isNull() | (F.col(ts) >= F.col("_last") + ttl)
             )
-        won = durable(
+        (
             rows.groupBy(key).agg(
                 F.min(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"))).alias("w")
-            ).select(key, F.col("w.ts").alias("claimed_at"), F.col("w.tie").alias(tie))
+            )
+            .select(key, F.col("w.ts").alias("claimed_at"), F.col("w.tie").alias(tie))
+            .write.mode("append").parquet(won_path)
         )
-        accepted = won if accepted is None else accepted.unionByName(won)
-        now = won.select(F.col(key).alias("_rk"), F.col("claimed_at").alias("_last"))
-        if state is not None:
-            now = state.unionByName(now)
-        state = durable(now.groupBy("_rk").agg(F.max("_last").alias("_last")))
-        span += 1
-    return accepted
+        won = spark.read.schema(won_schema).parquet(won_path)
+        claimed = won.select(F.col(key).alias("_rk"), F.col("claimed_at").alias("_last"))
+        if last is not None:
+            claimed = claimed.unionByName(last)
+        state = claimed.groupBy("_rk").agg(F.max("_last").alias("_last"))
+    return spark.read.schema(won_schema).parquet(won_path)
 
 
 def claim_keys(

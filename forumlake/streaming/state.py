@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from forumlake.operators.dml import path_exists
 from forumlake.operators.numbering import HOT_ROWS, QUOTA, quota_counters, quota_flags
 from forumlake.operators.registry import FOLD_ROWS, TTL_SECONDS, claim_flags
+from forumlake.session import path_exists
 
 
 def _folder(path: str, batch_id: int) -> str:

@@ -114,8 +114,9 @@ def update_by_key(
     if order is None:
         new = updates.groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_new"))
     else:
+        by = _order(order)
         new = updates.groupBy(F.col(key).alias("_k")).agg(
-            F.max_by(column, F.struct(*_order(order))).alias("_new")
+            F.max_by(column, by[0] if len(by) == 1 else F.struct(*by)).alias("_new")
         )
     kind = target.schema[column].dataType
     return (
@@ -130,14 +131,19 @@ def purge_bot(table: DataFrame, author: str) -> DataFrame:
 
 
 def count_rows(tables: Mapping[str, DataFrame], *excluded: str) -> DataFrame:
-    """(table_name, rows_n) per table; each count is one aggregate over no columns."""
+    """(table_name, rows_n) per table, empty tables included.
+
+    One aggregate over all tables; the scans read no columns.
+    """
     from forumlake.sources.tables import table_names
 
-    return reduce(DataFrame.unionByName, [
-        tables[n].agg(F.count(F.lit(1)).alias("rows_n"))
-        .select(F.lit(n).alias("table_name"), "rows_n")
-        for n in table_names(tables, *excluded)
-    ])
+    names = table_names(tables, *excluded)
+    spark = next(iter(tables.values())).sparkSession
+    zero = spark.createDataFrame([(n, 0) for n in names], "table_name string, one int")
+    ones = [tables[n].select(F.lit(n).alias("table_name"), F.lit(1).alias("one")) for n in names]
+    return reduce(DataFrame.unionByName, [zero, *ones]).groupBy("table_name").agg(
+        F.sum("one").alias("rows_n")
+    )
 
 
 def row_count_snapshot(tables: Mapping[str, DataFrame], as_of: Column | None = None) -> DataFrame:

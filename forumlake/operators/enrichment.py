@@ -108,19 +108,20 @@ def finish_answers(answers: DataFrame, key: Column | str | bytes | None = None)
     )
 
 
-def stored_answers(finished: DataFrame) -> DataFrame:
-    """Comments keep the answer of every model, posts only that of the last one.
+def stored_answers(answers: DataFrame) -> DataFrame:
+    """The answers that are kept: of comments every model's, of posts only the last
+    model's.
 
-    The answer of the last model of a post is found by a maximum, which reduces
-    before the shuffle.
+    Use it before ``finish_answers``, so that nothing is spent on the others. The
+    last answer of a post is a maximum, which reduces before the shuffle.
     """
     posts = (
-        finished.filter(F.col("category") == "post")
+        answers.filter(F.col("category") == "post")
         .groupBy("reference_id")
-        .agg(F.max_by(F.struct(*finished.columns), F.col("llm_pos")).alias("r"))
+        .agg(F.max_by(F.struct(*answers.columns), F.col("llm_pos")).alias("r"))
         .select("r.*")
     )
-    return finished.filter(F.col("category") == "comment").unionByName(posts)
+    return answers.filter(F.col("category") == "comment").unionByName(posts)
 
 
 def document_rows(stored: DataFrame) -> DataFrame:

@@ -78,13 +78,18 @@ def running_number(
     order: str | Column | Sequence[str | Column],
     out: str = "n",
     max_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """1-based position of each row within its key. ``order`` must be total."""
+    """1-based position of each row within its key. ``order`` must be total.
+
+    Hot keys are looked for in ``counted``, a cheaper table with at least as many
+    rows per key, or in ``df`` itself.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     window = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, max_rows)
+    hot = hot_keys(df if counted is None else counted, keys, max_rows)
     if hot is None:
         return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     cold_rows, hot_rows = split_hot(df, keys, hot)

@@ -13,8 +13,9 @@ from forumlake.operators.numbering import HOT_ROWS, running_number
 PIECE_ROWS = 10_000
 
 
-def _pieces(df: DataFrame, keys, order, size: int, max_rows: int) -> DataFrame:
-    numbered = running_number(df, keys, order, "_n", max_rows)
+def _pieces(df: DataFrame, keys, order, size: int, max_rows: int,
+            counted: DataFrame | None = None) -> DataFrame:
+    numbered = running_number(df, keys, order, "_n", max_rows, counted)
     return numbered.withColumn("piece", F.floor((F.col("_n") - 1) / size).cast("int"))
 
 
@@ -69,7 +70,9 @@ def comment_trees(
     and is a tree document of its own; together they hold every edge once. A
     post without replies among its comments gives ``{}``.
     """
-    edges = _pieces(reply_edges(comments), ["post_id"], ["created", "child"], size, max_rows)
+    edges = _pieces(
+        reply_edges(comments), ["post_id"], ["created", "child"], size, max_rows, comments
+    )
     lists = edges.groupBy("post_id", "piece", "parent").agg(
         F.min("_n").alias("first"), ordered_array(F.col("child"), F.col("_n")).alias("children")
     )

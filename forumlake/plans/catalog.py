@@ -932,7 +932,7 @@ SELECT reference_id, category, llm, analysis, CAST(pos AS INT) AS prompt_complet
 FROM answers
 """)
 def _(t):
-    stored = enrichment.stored_answers(enrichment.finish_answers(answer_records(t)))
+    stored = enrichment.finish_answers(enrichment.stored_answers(answer_records(t)))
     return rounded(stored.select(
         "reference_id", "category", "llm", "analysis", "prompt_completion_time",
         "tokens_per_second",
@@ -946,7 +946,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY reference_id,
 WHERE n = 1
 """)
 def _(t):
-    stored = enrichment.stored_answers(enrichment.finish_answers(answer_records(t)))
+    stored = enrichment.finish_answers(enrichment.stored_answers(answer_records(t)))
     new = dml.rows_to_insert(
         t.analysis_documents, stored, UNIQUE_KEYS["analysis_documents"],
         ["timestamp", "reference_id", "llm_pos"],

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlake.functions.documents import fields
 from forumlake.functions.predicates import is_answer, not_profile_page, not_removed_by_site
 from forumlake.functions.text import title_and_body
 from forumlake.operators.joins import not_in
-from forumlake.operators.numbering import HOT_ROWS
+from forumlake.operators.numbering import HOT_ROWS, running_number
 from forumlake.operators.top import sample_one
-from forumlake.operators.trees import PIECE_ROWS, collect_in_pieces
+from forumlake.operators.trees import PIECE_ROWS
 
 
 def new_subreddits(posts: DataFrame, subscription: DataFrame) -> DataFrame:
@@ -40,41 +40,50 @@ def _parsed(documents: DataFrame) -> DataFrame:
 
 
 def bundles(
-    posts: DataFrame, comments: DataFrame, documents: DataFrame, picked: DataFrame | None = None,
+    posts: DataFrame, comments: DataFrame, documents: DataFrame, post_id: str | None = None,
     size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Posts that have documents and comments, each with both.
+    """Posts that have documents and comments, each with both, or one such post.
 
     Columns: post_id, subreddit, post, piece, analysis_docs, comment_bodies. A post
-    with up to ``size`` documents and comments is one row, a larger one several;
-    NULL bodies are kept. ``picked`` (pid) limits the posts.
+    with up to ``size`` items is one row. A larger one gives several rows, its
+    documents first, so that no row grows without bound. NULL bodies are kept.
+    Documents and comments are numbered and collected in one shuffle by post.
     """
     docs = _parsed(documents).select(
-        F.col("reference_id").alias("post_id"), "id", "analysis_document"
+        F.col("reference_id").alias("post_id"), F.lit(0).alias("kind"),
+        F.col("id").cast("bigint").alias("at"), F.lit("").alias("tie"),
+        F.col("analysis_document").alias("text"),
     ).filter(F.col("post_id").isNotNull())
-    bodies = comments.select("post_id", "comment_created_utc", "comment_id", "comment_body")
+    bodies = comments.select(
+        "post_id", F.lit(1).alias("kind"),
+        F.col("comment_created_utc").cast("bigint").alias("at"),
+        F.col("comment_id").alias("tie"), F.col("comment_body").alias("text"),
+    )
     heads = posts.filter(not_removed_by_site("post_body")).select(
         "post_id", "subreddit", title_and_body("post_title", "post_body", "  -  ").alias("post")
     )
-    if picked is not None:
-        docs, bodies, heads = (
-            d.join(picked, F.col("post_id") == F.col("pid"), "left_semi")
-            for d in (docs, bodies, heads)
-        )
-    # Lists only for readable posts that have both kinds of items.
-    both = heads.select("post_id").join(
-        bodies.select("post_id").distinct(), "post_id", "left_semi"
-    ).join(docs.select("post_id").distinct(), "post_id", "left_semi")
-    doc_lists = collect_in_pieces(
-        docs.join(both, "post_id", "left_semi"), ["post_id"], "analysis_document", ["id"],
-        "docs", size, max_rows,
-    )
-    comment_lists = collect_in_pieces(
-        bodies.join(both, "post_id", "left_semi"), ["post_id"], "comment_body",
-        ["comment_created_utc", "comment_id"], "comment_bodies", size, max_rows,
+    if post_id is not None:
+        docs, bodies, heads = (d.filter(F.col("post_id") == post_id) for d in (docs, bodies, heads))
+    items = running_number(
+        docs.unionByName(bodies), "post_id", ["kind", "at", "tie"], "n", max_rows
     )
-    lists = comment_lists.join(doc_lists, ["post_id", "piece"], "full")
-    return heads.join(lists, "post_id", "inner").select(
+    entry = F.struct("n", "text")
+    pieces = items.withColumn("piece", F.floor((F.col("n") - 1) / size).cast("int")).groupBy(
+        "post_id", "piece"
+    ).agg(*[
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))),
+            lambda e: e["text"],
+        ).alias(name)
+        for kind, name in enumerate(("docs", "comment_bodies"))
+    ])
+    of_post = Window.partitionBy("post_id")
+    whole = pieces.withColumns({
+        "_docs": F.max(F.size("docs")).over(of_post),
+        "_bodies": F.max(F.size("comment_bodies")).over(of_post),
+    }).filter((F.col("_docs") > 0) & (F.col("_bodies") > 0))
+    return heads.join(whole, "post_id", "inner").select(
         "post_id", "subreddit", "post", "piece",
         F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
     )
@@ -86,10 +95,11 @@ def post_bundle(
 ) -> DataFrame:
     """The bundle of one sampled post that a document of ``llm`` names.
 
-    The sample is a fixed function of ``seed``, so every use of it sees the same
-    post. A post without comments gives no row.
+    The id is picked first, so that every use of it sees the same post and all
+    scans look for one value. A post without comments gives no row.
     """
     named = _parsed(documents).filter((F.col("category") == "post") & (F.col("llm") == llm))
-    picked = sample_one(named.select(F.col("reference_id").alias("pid")), "pid", seed)
-    one = F.broadcast(picked)  # a single row
-    return bundles(posts, comments, documents, one, size, max_rows).drop("post_id")
+    picked = sample_one(named.select(F.col("reference_id").alias("pid")), "pid", seed).first()
+    pid = picked["pid"] if picked else None
+    found = posts.limit(0) if pid is None else posts
+    return bundles(found, comments, documents, pid or "", size, max_rows).drop("post_id")

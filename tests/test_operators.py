@@ -359,7 +359,7 @@ def test_bundle_in_pieces_loses_nothing(spark):
     assert len(whole) == 1 and whole[0]["post"] == "title  -  body"
     cut = sorted(service.post_bundle(posts, comments, documents, size=10, max_rows=5).collect(),
                  key=lambda r: r["piece"])
-    assert len(cut) == 4
+    assert len(cut) == 5
     assert sum((r["comment_bodies"] for r in cut), []) == whole[0]["comment_bodies"]
     assert cut[0]["analysis_docs"] == whole[0]["analysis_docs"]
 
@@ -409,7 +409,7 @@ def answers(spark):
 
 
 def test_posts_keep_the_last_answer_comments_all(spark):
-    stored = enrichment.stored_answers(enrichment.finish_answers(answers(spark)))
+    stored = enrichment.finish_answers(enrichment.stored_answers(answers(spark)))
     got = sorted((r["reference_id"], r["llm"], r["tokens_per_second"], r["prompt_completion_time"])
                  for r in stored.collect())
     assert got == [("c1", "gemma2:9b", 5.0, 2), ("c1", "phi4", 5.0, 2), ("p1", "gemma2:9b", 5.0, 2)]
@@ -427,7 +427,7 @@ def test_performance_rows_of_known_models_only(spark):
         [("phi4:latest", "phi4", 7, ("f", None), DAY0, 3)],
         "name string, model string, size bigint, details struct<family:string,quant:string>, "
         "expires_at timestamp, size_vram bigint")
-    stored = enrichment.stored_answers(enrichment.finish_answers(answers(spark)))
+    stored = enrichment.finish_answers(enrichment.stored_answers(answers(spark)))
     got = enrichment.performance_rows(stored, models).collect()
     assert [(r["name"], r["ollama_host"], r["details"]) for r in got] == [
         ("phi4:latest", "", '{"family":"f","quant":null}')]

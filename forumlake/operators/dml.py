@@ -19,14 +19,13 @@ def _order(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _conflict_key(i: int, cols: Sequence[str], row_id: str | None) -> list[Column]:
+def _conflict_key(i: int, cols: Sequence[str], row_id: str) -> list[Column]:
     """Key columns as text. A row with a NULL in the key conflicts with nothing, so
     its first column gets a value of its own; that also spreads such rows."""
     texts = [F.col(c).cast("string") for c in cols]
-    if row_id is not None:
-        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-        alone = F.concat(F.lit("\u0000"), F.col(row_id).cast("string"))
-        texts = [F.when(complete, texts[0]).otherwise(alone), *texts[1:]]
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    alone = F.concat(F.lit("\u0000"), F.col(row_id).cast("string"))
+    texts = [F.when(complete, texts[0]).otherwise(alone), *texts[1:]]
     return [t.alias(f"_u{i}_{j}") for j, t in enumerate(texts)]
 
 
@@ -41,13 +40,21 @@ def _without(rows: DataFrame, i: int, cols: Sequence[str], taken: DataFrame) ->
     return rows.join(right, cond, "left_anti")
 
 
+def _firsts(rows: DataFrame, i: int, cols: Sequence[str], order) -> DataFrame:
+    """The first row per i-th key; a map task passes on one row of each key."""
+    w = Window.partitionBy(*_names(i, cols)).orderBy(*_order(order))
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
 def rows_to_insert(target: DataFrame, batch: DataFrame, unique: Keys, order) -> DataFrame:
     """The rows of ``batch`` that insert-or-ignore would add, taken in ``order``.
 
     ``order`` must be total. One key: the first row per key, cut to one row per
     key in every map task before the shuffle, then an anti-join on the same
     partitioning. Several keys: a row goes in when it is first in all its keys
-    among the undecided ones; what conflicts with it goes out; repeat.
+    among the undecided ones; what conflicts with it goes out; repeat. Each round
+    is stored, and its joins are by row number or between stored tables, which
+    the adaptive skew join can split.
     """
     if not unique:
         return batch
@@ -56,36 +63,29 @@ def rows_to_insert(target: DataFrame, batch: DataFrame, unique: Keys, order) ->
     rows = rows.select(
         "*", *[c for i, cols in enumerate(unique) for c in _conflict_key(i, cols, "_row")]
     )
-
-    def firsts(frame: DataFrame, i: int, flag: str) -> DataFrame:
-        w = Window.partitionBy(*_names(i, unique[i])).orderBy(*_order(order))
-        return frame.withColumn(flag, F.row_number().over(w) == 1)
-
     if len(unique) == 1:
-        w = Window.partitionBy(*_names(0, unique[0])).orderBy(*_order(order))
-        first = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+        first = _firsts(rows, 0, unique[0], order)
         return _without(first, 0, unique[0], target).select(*columns)
 
+    rows = durable(rows)
     for i, cols in enumerate(unique):
         rows = _without(rows, i, cols, target)
     undecided = durable(rows)
     accepted: list[DataFrame] = []
     while not undecided.isEmpty():
-        flagged = undecided
-        for i in range(len(unique)):
-            flagged = firsts(flagged, i, f"_first{i}")
-        wins = reduce(lambda a, b: a & b, [F.col(f"_first{i}") for i in range(len(unique))])
-        flagged = durable(flagged.withColumn("_wins", wins))
-        won = flagged.filter("_wins").select(*undecided.columns)
+        winners = reduce(
+            lambda a, b: a.join(b, "_row"),
+            [_firsts(undecided, i, cols, order).select("_row") for i, cols in enumerate(unique)],
+        )
+        won = durable(undecided.join(winners, "_row", "left_semi"))
         accepted.append(won)
-        rest = flagged.filter("NOT _wins").select(*undecided.columns)
         for i, cols in enumerate(unique):
             names = _names(i, cols)
             taken = won.select(*[F.col(n).alias(f"_t{j}") for j, n in enumerate(names)])
-            rest = rest.join(
+            undecided = undecided.join(
                 taken, [F.col(n) == F.col(f"_t{j}") for j, n in enumerate(names)], "left_anti"
             )
-        undecided = durable(rest)
+        undecided = durable(undecided)
     if not accepted:
         return undecided.select(*columns)
     return reduce(DataFrame.unionByName, accepted).select(*columns)

@@ -184,8 +184,9 @@ def _without_marks(rows: DataFrame, registry: DataFrame) -> DataFrame:
 def request_routes(
     requests: DataFrame, key: str, unanalyzed: DataFrame, unanalyzed_key: str
 ) -> DataFrame:
-    """(key, route): a requested id in the list of unanalysed ids is skipped, any other
-    is fetched and analysed."""
+    """(key, route) per requested id: an id in the list of unanalysed ids is skipped, any
+    other is fetched and analysed."""
+    requests = requests.select(key).distinct()
     listed = unanalyzed.select(F.col(unanalyzed_key).alias("_u")).distinct()
     return requests.join(listed, F.col(key) == F.col("_u"), "left").select(
         key, F.when(F.col("_u").isNotNull(), "skip").otherwise("fetch").alias("route")

@@ -72,18 +72,18 @@ def _number_hot(
     )
 
 
-def running_number(
+def number_parts(
     df: DataFrame,
     keys: str | Sequence[str],
     order: str | Column | Sequence[str | Column],
     out: str = "n",
     max_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
-) -> DataFrame:
-    """1-based position of each row within its key. ``order`` must be total.
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(numbered rows of other keys, numbered rows of hot keys, hot keys).
 
-    Hot keys are looked for in ``counted``, a cheaper table with at least as many
-    rows per key, or in ``df`` itself.
+    For callers that go on to join by key: no key of the first part is too large
+    for a task, and the hot keys, at most ``HOT_LIST``, can be broadcast.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
@@ -91,13 +91,32 @@ def running_number(
     window = Window.partitionBy(*keys).orderBy(*order)
     hot = hot_keys(df if counted is None else counted, keys, max_rows)
     if hot is None:
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
+        return df.withColumn(out, F.row_number().over(window).cast("bigint")), None, None
     cold_rows, hot_rows = split_hot(df, keys, hot)
-    return cold_rows.withColumn(out, F.row_number().over(window).cast("bigint")).unionByName(
-        _number_hot(hot_rows, keys, order, out)
+    return (
+        cold_rows.withColumn(out, F.row_number().over(window).cast("bigint")),
+        _number_hot(hot_rows, keys, order, out),
+        hot,
     )
 
 
+def running_number(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    order: str | Column | Sequence[str | Column],
+    out: str = "n",
+    max_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """1-based position of each row within its key. ``order`` must be total.
+
+    Hot keys are looked for in ``counted``, a cheaper table with at least as many
+    rows per key, or in ``df`` itself.
+    """
+    cold, hot, _ = number_parts(df, keys, order, out, max_rows, counted)
+    return cold if hot is None else cold.unionByName(hot)
+
+
 def batch_numbers(
     df: DataFrame, keys, order, size: int = 25, out: str = "batch_no", max_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -135,17 +154,25 @@ def quota_flags(
     ``counters`` (key, value) holds the counts before the first call here; a
     stored value above the quota refuses every call.
     """
-    numbered = running_number(calls, key, order, "_n", max_rows)
+    cold, hot, hot_names = number_parts(calls, key, order, "_n", max_rows)
+    zero = F.lit(0).cast("bigint")
     if counters is None:
-        numbered = numbered.withColumn("_v", F.lit(0).cast("bigint"))
+        numbered = (cold if hot is None else cold.unionByName(hot)).withColumn("_v", zero)
     else:
         before = counters.select(
             F.col(key).alias("_k"), F.col("value").cast("bigint").alias("_v")
         )
-        numbered = (
-            numbered.join(before, F.col(key).eqNullSafe(F.col("_k")), "left")
-            .drop("_k").withColumn("_v", F.coalesce("_v", F.lit(0).cast("bigint")))
-        )
+
+        def start(rows: DataFrame, values: DataFrame) -> DataFrame:
+            joined = rows.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
+            return joined.drop("_k").withColumn("_v", F.coalesce("_v", zero))
+
+        numbered = start(cold, before)
+        if hot is not None:
+            few = before.join(
+                F.broadcast(hot_names), F.col("_k").eqNullSafe(F.col(key)), "left_semi"
+            )
+            numbered = numbered.unionByName(start(hot, F.broadcast(few)))
     total = F.col("_v") + F.col("_n")
     refused = (F.col("_v") > quota) | ((total > 0) & (total % (quota + 1) == 0))
     return numbered.withColumn(out, ~refused).drop("_n", "_v")

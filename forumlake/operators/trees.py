@@ -76,17 +76,17 @@ def comment_trees(
     lists = edges.groupBy("post_id", "piece", "parent").agg(
         F.min("_n").alias("first"), ordered_array(F.col("child"), F.col("_n")).alias("children")
     )
-    trees = lists.groupBy("post_id", "piece").agg(
-        F.to_json(F.map_from_entries(F.transform(
-            F.sort_array(F.collect_list(F.struct("first", "parent", "children"))),
-            lambda e: F.struct(e["parent"], e["children"]),
-        ))).alias("tree")
+    # One row without a parent per post, so that posts without edges appear too.
+    posts = comments.select("post_id").distinct().select(
+        "post_id", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("parent"),
+        F.lit(None).cast("bigint").alias("first"),
+        F.lit(None).cast("array<string>").alias("children"),
     )
-    posts = comments.select("post_id").distinct()
-    return posts.join(trees, "post_id", "left").select(
-        "post_id",
-        F.coalesce("piece", F.lit(0)).alias("piece"),
-        F.coalesce("tree", F.lit("{}")).alias("parent_child_tree"),
+    entry = F.when(F.col("parent").isNotNull(), F.struct("first", "parent", "children"))
+    return lists.unionByName(posts).groupBy("post_id", "piece").agg(
+        F.to_json(F.map_from_entries(F.transform(
+            F.sort_array(F.collect_list(entry)), lambda e: F.struct(e["parent"], e["children"])
+        ))).alias("parent_child_tree")
     ).withColumn("shasum256", sha256_hex("parent_child_tree"))
 
 

@@ -9,7 +9,7 @@ from forumlake.functions.documents import fields
 from forumlake.functions.predicates import is_answer, not_profile_page, not_removed_by_site
 from forumlake.functions.text import title_and_body
 from forumlake.operators.joins import not_in
-from forumlake.operators.numbering import HOT_ROWS, running_number
+from forumlake.operators.numbering import HOT_ROWS, number_parts
 from forumlake.operators.top import sample_one
 from forumlake.operators.trees import PIECE_ROWS
 
@@ -65,11 +65,33 @@ def bundles(
     )
     if post_id is not None:
         docs, bodies, heads = (d.filter(F.col("post_id") == post_id) for d in (docs, bodies, heads))
-    items = running_number(
-        docs.unionByName(bodies), "post_id", ["kind", "at", "tie"], "n", max_rows
+    items = docs.unionByName(bodies)
+    order = ["kind", "at", "tie"]
+    cold, hot, hot_ids = number_parts(items, "post_id", order, "n", max_rows)
+    # A post outside the hot list is small enough to look at its pieces together.
+    of_post = Window.partitionBy("post_id")
+    pieces = _collect(cold, size).withColumns({
+        "_docs": F.max(F.size("docs")).over(of_post),
+        "_bodies": F.max(F.size("comment_bodies")).over(of_post),
+    }).filter((F.col("_docs") > 0) & (F.col("_bodies") > 0)).drop("_docs", "_bodies")
+    found = heads.join(pieces, "post_id", "inner")
+    if hot is not None:
+        both = (
+            items.join(F.broadcast(hot_ids), "post_id", "left_semi").groupBy("post_id")
+            .agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).filter("_a = 0 AND _b = 1")
+        )
+        hot_heads = heads.join(F.broadcast(both.select("post_id")), "post_id", "left_semi")
+        found = found.unionByName(hot_heads.join(_collect(hot, size), "post_id", "inner"))
+    return found.select(
+        "post_id", "subreddit", "post", "piece",
+        F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
     )
+
+
+def _collect(numbered: DataFrame, size: int) -> DataFrame:
+    """Arrays of at most ``size`` items in all, by post and piece."""
     entry = F.struct("n", "text")
-    pieces = items.withColumn("piece", F.floor((F.col("n") - 1) / size).cast("int")).groupBy(
+    return numbered.withColumn("piece", F.floor((F.col("n") - 1) / size).cast("int")).groupBy(
         "post_id", "piece"
     ).agg(*[
         F.transform(
@@ -78,15 +100,6 @@ def bundles(
         ).alias(name)
         for kind, name in enumerate(("docs", "comment_bodies"))
     ])
-    of_post = Window.partitionBy("post_id")
-    whole = pieces.withColumns({
-        "_docs": F.max(F.size("docs")).over(of_post),
-        "_bodies": F.max(F.size("comment_bodies")).over(of_post),
-    }).filter((F.col("_docs") > 0) & (F.col("_bodies") > 0))
-    return heads.join(whole, "post_id", "inner").select(
-        "post_id", "subreddit", "post", "piece",
-        F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
-    )
 
 
 def post_bundle(

@@ -28,6 +28,14 @@ def iso_text(ts) -> Column:
     return F.date_format(_col(ts).cast("timestamp"), "yyyy-MM-dd HH:mm:ssxxx")
 
 
+def iso_json(ts) -> Column:
+    """``2024-01-01T00:00:07+00:00``, with six decimals if there is a fraction."""
+    c = _col(ts).cast("timestamp")
+    return F.when(
+        F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx")
+    ).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+
+
 def day_of(ts) -> Column:
     return F.to_date(_col(ts))
 

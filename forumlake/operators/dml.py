@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forumlake.functions.predicates import survives_purge
+from forumlake.operators.joins import BROADCAST_ROWS
 from forumlake.session import durable, path_exists, shared_dir
 
 Keys = Sequence[Sequence[str]]
@@ -96,14 +97,34 @@ def insert_ignore(target: DataFrame, batch: DataFrame, unique: Keys, order) -> D
     return target.unionByName(rows_to_insert(target, batch, unique, order))
 
 
+def conflicting_rows(target: DataFrame, batch: DataFrame, unique: Keys) -> DataFrame:
+    """The part of ``target`` that the batch could conflict with.
+
+    A batch of few keys is sent to the target, so that a large target is scanned
+    but not shuffled. Beyond ``BROADCAST_ROWS`` keys the target is returned as it is.
+    """
+    parts = []
+    for cols in unique:
+        wanted = batch.select(*cols).distinct()
+        if wanted.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            return target
+        parts.append(target.join(F.broadcast(wanted), list(cols), "left_semi"))
+    return reduce(DataFrame.unionByName, parts) if parts else target
+
+
 def append_ignore(
     spark: SparkSession, path: str, batch: DataFrame, unique: Keys, order
 ) -> None:
-    """Insert-or-ignore into the Parquet table at ``path``. Running it again adds nothing."""
-    target = spark.read.schema(batch.schema).parquet(path) if path_exists(spark, path) else (
-        spark.createDataFrame([], batch.schema)
-    )
-    rows_to_insert(target, batch, unique, order).write.mode("append").parquet(path)
+    """Insert-or-ignore into the Parquet table at ``path``. With a unique key, running it
+    again adds nothing."""
+    new = batch
+    if unique and path_exists(spark, path):
+        columns = sorted({c for cols in unique for c in cols})
+        target = spark.read.schema(batch.select(*columns).schema).parquet(path)
+        new = rows_to_insert(conflicting_rows(target, batch, unique), batch, unique, order)
+    elif unique:
+        new = rows_to_insert(batch.limit(0), batch, unique, order)
+    new.write.mode("append").parquet(path)
 
 
 def update_by_key(

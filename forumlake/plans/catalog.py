@@ -351,6 +351,28 @@ def _(t):
     return found.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
 
 
+@query("bundle_groups", _DOC_VIEWS, """
+WITH post_comments AS (
+  SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
+    ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
+  FROM comments GROUP BY post_id)
+SELECT subreddit, 0 AS piece, comment_bodies, max(post) AS post, count(*) AS posts
+FROM (SELECT DISTINCT p.post_id, p.subreddit, p.post_title || '  -  ' || p.post_body AS post,
+        pc.comment_bodies
+      FROM posts p
+      JOIN analysis_documents ad
+        ON p.post_id = json_extract_string(ad.analysis_document, '$.reference_id')
+      JOIN post_comments pc ON p.post_id = pc.post_id
+      WHERE p.post_body NOT LIKE '[ Removed by Reddit ]%')
+GROUP BY subreddit, comment_bodies
+""")
+def _(t):
+    found = service.bundles(t.posts, t.comments, t.analysis_documents)
+    return service.bundle_groups(found).withColumn(
+        "comment_bodies", F.array_join("comment_bodies", "|", "<null>")
+    )
+
+
 @query("known_authors", "authors", "SELECT author_name FROM authors GROUP BY author_name")
 def _(t):
     return service.known_authors(t.authors)
@@ -1096,6 +1118,7 @@ def _(t):
 SELECT event_id, CAST(ts AS DATE) AS day, date_trunc('day', ts) = CAST(CAST(ts AS DATE) AS TIMESTAMP)
     AS starts_day,
   strftime(ts, '%Y-%m-%d %H:%M:%S') || '+00:00' AS iso,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso_json,
   CAST(floor(epoch(ts)) AS BIGINT) AS epoch,
   CAST(CAST(floor(epoch(ts)) AS BIGINT) AS VARCHAR) AS epoch_text,
   CAST(trunc(value) AS INT) AS seconds
@@ -1105,7 +1128,9 @@ def _(t):
     return t.events.select(
         "event_id", times.day_of("ts").alias("day"),
         (times.day_start("ts") == times.day_of("ts").cast("timestamp")).alias("starts_day"),
-        times.iso_text("ts").alias("iso"), times.epoch_seconds("ts").alias("epoch"),
+        times.iso_text("ts").alias("iso"),
+        F.regexp_replace(times.iso_json("ts"), r"(:\d\d)\+", "$1.000000+").alias("iso_json"),
+        times.epoch_seconds("ts").alias("epoch"),
         times.epoch_text("ts").alias("epoch_text"),
         times.elapsed_seconds(F.lit(1000.0), F.lit(1000.0) + F.col("value")).alias("seconds"),
     )

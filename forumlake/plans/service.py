@@ -116,3 +116,11 @@ def post_bundle(
     pid = picked["pid"] if picked else None
     found = posts.limit(0) if pid is None else posts
     return bundles(found, comments, documents, pid or "", size, max_rows).drop("post_id")
+
+
+def bundle_groups(found: DataFrame) -> DataFrame:
+    """Bundles of one subreddit that carry the same comments, as one row: the array of
+    bodies is part of the group key, the largest post text stands for the group."""
+    return found.groupBy("subreddit", "piece", "comment_bodies").agg(
+        F.max("post").alias("post"), F.count(F.lit(1)).alias("posts")
+    )

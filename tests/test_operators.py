@@ -461,3 +461,35 @@ def test_rare_words_score_like_common_ones(spark, monkeypatch):
     usual = run()
     monkeypatch.setattr(language, "COMMON_WORDS", 3)
     assert run() == usual
+
+
+def test_hot_and_cold_bundles_agree(spark, rows):
+    """Posts with and without documents, comments or a readable text, one of them heavy."""
+    posts = spark.createDataFrame(
+        [(f"p{i}", "s", "t", "[ Removed by Reddit ]" if i == 3 else "b") for i in range(6)],
+        "post_id string, subreddit string, post_title string, post_body string")
+    comments = spark.createDataFrame(
+        [(f"p{0 if i % 2 else i % 6}", i, f"c{i:03d}", f"x{i}") for i in range(60)]
+        + [("p9", 1, "z", "z")],
+        "post_id string, comment_created_utc int, comment_id string, comment_body string")
+    documents = spark.createDataFrame(
+        [(i, f'{{"reference_id":"p{i % 5}","category":"post","llm":"phi4"}}') for i in range(14)
+         if i % 5 != 2],
+        "id int, analysis_document string")
+    whole = service.bundles(posts, comments, documents, size=1000)
+    assert {r["post_id"] for r in whole.collect()} == {"p0", "p4"}
+    assert rows(service.bundles(posts, comments, documents, size=1000, max_rows=20)) == rows(whole)
+    assert rows(service.bundles(posts, comments, documents, "p0", 7, 20)) == rows(
+        service.bundles(posts, comments, documents, size=7).filter("post_id = 'p0'"))
+
+
+def test_small_batch_against_a_large_target(spark, monkeypatch, rows):
+    target = spark.range(1000).selectExpr("id AS a", "id * 7 AS b")
+    batch = spark.createDataFrame([(5, 1), (2000, 14), (2001, 3)], "a bigint, b bigint")
+    unique = [["a"], ["b"]]
+    few = dml.conflicting_rows(target, batch, unique)
+    assert rows(few) == [(2, 14), (5, 35)]
+    expected = rows(dml.rows_to_insert(target, batch, unique, ["a"]))
+    assert rows(dml.rows_to_insert(few, batch, unique, ["a"])) == expected == [(2001, 3)]
+    monkeypatch.setattr(dml, "BROADCAST_ROWS", 2)
+    assert dml.conflicting_rows(target, batch, unique) is target

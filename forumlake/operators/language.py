@@ -15,7 +15,8 @@ SCALE = 1_000_000
 MAX_LANGUAGES = 1_000
 # Words whose sums are worked out beforehand; all others go through their trigrams.
 COMMON_WORDS = 50_000
-MAX_BROADCAST_GRAMS = 1_000_000
+# Numbers in a broadcast table: rows times languages.
+BROADCAST_CELLS = 8_000_000
 
 
 @dataclass
@@ -60,8 +61,8 @@ def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
         r[0] for r in counted.select("lang").distinct().orderBy("lang")
         .limit(MAX_LANGUAGES + 1).collect()
     ]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError("the language column holds more than a thousand values")
+    if not 0 < len(langs) <= MAX_LANGUAGES:
+        raise ValueError("the language column must hold one to a thousand values")
     table = durable(
         counted.select("lang", "c", F.explode(trigrams("word")).alias("gram"))
         .groupBy("gram").agg(*[
@@ -81,9 +82,9 @@ def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
     found = Profiles(grams, grams, langs)
     common = (
         counted.groupBy("word").agg(F.sum("c").alias("c"))
-        .orderBy(F.desc("c"), "word").limit(COMMON_WORDS)
+        .orderBy(F.desc("c"), "word").limit(min(COMMON_WORDS, BROADCAST_CELLS // len(langs)))
         .select("word", F.explode(trigrams("word")).alias("gram"))
-        .join(broadcast_if_small(grams, MAX_BROADCAST_GRAMS), "gram")
+        .join(broadcast_if_small(grams, BROADCAST_CELLS // len(langs)), "gram")
         .groupBy("word").agg(*[F.sum(c).alias(c) for c in found.columns])
     )
     return Profiles(grams, durable(common), langs)
@@ -107,7 +108,7 @@ def detect_language(
     rare = F.when(F.col("w" + lps[0]).isNull(), trigrams("word"))
     grams = tokens.select(key, *[f"w{c}" for c in lps], F.explode_outer(rare).alias("gram"))
     scored = grams.join(
-        broadcast_if_small(profiles.grams, MAX_BROADCAST_GRAMS), "gram", "left"
+        broadcast_if_small(profiles.grams, BROADCAST_CELLS // len(lps)), "gram", "left"
     )
     sums = scored.groupBy(key).agg(
         *[F.sum(F.coalesce(f"w{c}", c)).alias(f"s{i}") for i, c in enumerate(lps)]

@@ -82,10 +82,9 @@ def _(t):
 
 
 @query("avg_time_by_model", "prompt_completion_details", """
-SELECT model, round(avg(a), 6) AS avg_completion_time
-FROM (SELECT model, id, avg(prompt_completion_time) AS a
-      FROM prompt_completion_details GROUP BY model, id)
-GROUP BY model
+SELECT DISTINCT model, round(avg(prompt_completion_time) OVER (PARTITION BY model), 6)
+  AS avg_completion_time
+FROM prompt_completion_details
 """)
 def _(t):
     return rounded(dashboard.avg_time_by_model(t.prompt_completion_details),
@@ -93,11 +92,10 @@ def _(t):
 
 
 @query("completions_per_day", "analysis_documents", """
-SELECT date, CAST(sum(n) AS BIGINT) AS num_documents
-FROM (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM analysis_documents
-      WHERE analysis_document IS NOT NULL GROUP BY 1)
-WHERE date >= DATE '2024-08-22' AND date < DATE '2024-09-07'
-GROUP BY date ORDER BY num_documents DESC, date LIMIT 50000
+SELECT CAST(ts AS DATE) AS date, count(analysis_document) AS num_documents
+FROM analysis_documents
+WHERE ts >= TIMESTAMP '2024-08-22' AND ts < TIMESTAMP '2024-09-07'
+GROUP BY ALL
 """)
 def _(t):
     return dashboard.completions_per_day(t.analysis_documents, "ts")
@@ -164,25 +162,21 @@ def _(t):
 
 
 @query("recent10_per_subreddit", "posts", """
-SELECT DISTINCT subreddit, post_title AS top_ten_posts,
-  post_upvote_count AS max_post_upvote_count
-FROM (SELECT subreddit, post_title, post_upvote_count,
-        row_number() OVER (PARTITION BY subreddit ORDER BY post_id DESC) AS r
-      FROM posts
-      WHERE post_title NOT IN ('[deleted by user]', '[deleted]')
-        AND subreddit IN ('democrats', 'Republican', 'Libertarian'))
-WHERE r <= 10
-ORDER BY subreddit, max_post_upvote_count DESC NULLS FIRST, top_ten_posts LIMIT 1000
+SELECT DISTINCT subreddit, title AS top_ten_posts, votes AS max_post_upvote_count
+FROM (SELECT subreddit, post_title AS title, post_upvote_count AS votes FROM posts
+      WHERE NOT (post_title IN ('[deleted by user]', '[deleted]'))
+        AND list_contains(['democrats', 'Republican', 'Libertarian'], subreddit)
+      QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY post_id DESC) < 11)
 """)
 def _(t):
     return dashboard.recent10_per_subreddit(t.posts)
 
 
 @query("avg_time_by_release", "prompt_completion_details", """
-SELECT ollama_ver, model, round(avg(a), 6) AS avg_completion_time
-FROM (SELECT ollama_ver, model, id, avg(prompt_completion_time) AS a
-      FROM prompt_completion_details WHERE ollama_ver <> 'false' GROUP BY ollama_ver, model, id)
-GROUP BY ollama_ver, model
+SELECT DISTINCT ollama_ver, model,
+  round(avg(prompt_completion_time) OVER (PARTITION BY ollama_ver, model), 6)
+    AS avg_completion_time
+FROM prompt_completion_details WHERE ollama_ver <> 'false'
 """)
 def _(t):
     return rounded(dashboard.avg_time_by_release(t.prompt_completion_details),
@@ -190,47 +184,48 @@ def _(t):
 
 
 @query("avg_tps_by_model", "prompt_completion_details", """
-SELECT model, round(avg(b), 6) AS avg_tokens_per_second
-FROM (SELECT model, avg(a) AS b
-      FROM (SELECT model, id, avg(CAST(tokens_per_second AS DOUBLE)) AS a
-            FROM prompt_completion_details
-            WHERE ollama_ver NOT IN ('false', '0.3.10-rc1') AND tokens_per_second IS NOT NULL
-            GROUP BY model, id)
-      GROUP BY model)
-GROUP BY model ORDER BY 2 DESC LIMIT 10000
+SELECT model, round(sum(tokens_per_second) / count(tokens_per_second), 6)
+  AS avg_tokens_per_second
+FROM prompt_completion_details
+WHERE NOT list_contains(['false', '0.3.10-rc1'], ollama_ver) AND tokens_per_second IS NOT NULL
+GROUP BY model
 """)
 def _(t):
     return rounded(dashboard.avg_tps_by_model(t.prompt_completion_details),
                    "avg_tokens_per_second")
 
 
-@query("remaining_to_analyze", "posts comments analysis_documents", f"""
-WITH doc_keys AS (
-  SELECT json_extract_string(analysis_document, '$.comment_id') AS cid,
-    json_extract_string(analysis_document, '$.post_id') AS pid,
-    json_extract_string(analysis_document, '$.reference_id') AS rid
+_DONE = """
+done AS (
+  SELECT unnest([
+    json_extract_string(analysis_document, '$.comment_id'),
+    json_extract_string(analysis_document, '$.post_id'),
+    json_extract_string(analysis_document, '$.reference_id')]) AS id
   FROM analysis_documents)
-SELECT 'comments' AS label, count(c.comment_id) AS count FROM comments c
-WHERE c.comment_body NOT IN {NO_TEXT}
-  AND NOT EXISTS (SELECT 1 FROM doc_keys d WHERE d.cid = c.comment_id)
-  AND NOT EXISTS (SELECT 1 FROM doc_keys d WHERE d.rid = c.comment_id)
-UNION ALL
-SELECT 'posts' AS label, count(p.post_id) AS count FROM posts p
-WHERE p.post_body NOT IN {NO_TEXT}
-  AND NOT EXISTS (SELECT 1 FROM doc_keys d WHERE d.pid = p.post_id)
-  AND NOT EXISTS (SELECT 1 FROM doc_keys d WHERE d.rid = p.post_id)
+"""
+
+
+@query("remaining_to_analyze", "posts comments analysis_documents", f"""
+WITH {_DONE.strip()},
+readable AS (
+  SELECT 'comments' AS label, comment_id AS id, comment_body AS body FROM comments
+  UNION ALL SELECT 'posts', post_id, post_body FROM posts),
+open AS (
+  SELECT label FROM readable ANTI JOIN done USING (id) WHERE body NOT IN {NO_TEXT})
+SELECT 'comments' AS label, count(*) FILTER (label = 'comments') AS count FROM open
+UNION ALL SELECT 'posts', count(*) FILTER (label = 'posts') FROM open
 """)
 def _(t):
     return dashboard.remaining_to_analyze(t.posts, t.comments, t.analysis_documents)
 
 
 @query("tokens_per_day", "prompt_completion_details", """
-SELECT date, round(sum(s), 6) AS total_tokens
-FROM (SELECT CAST(expires_at AS DATE) AS date,
-        sum(coalesce(CAST(prompt_completion_time AS DOUBLE) * tokens_per_second,
-                     1.0 * coalesce(tokens_per_second, 0))) AS s
-      FROM prompt_completion_details WHERE tokens_per_second > 0 GROUP BY 1)
-GROUP BY date ORDER BY 2 DESC, date LIMIT 30
+SELECT CAST(expires_at AS DATE) AS date,
+  round(sum(CASE WHEN prompt_completion_time IS NULL THEN tokens_per_second
+            ELSE CAST(prompt_completion_time AS DOUBLE) * tokens_per_second END), 6)
+    AS total_tokens
+FROM prompt_completion_details WHERE tokens_per_second > 0
+GROUP BY ALL ORDER BY total_tokens DESC, date LIMIT 30
 """)
 def _(t):
     return rounded(dashboard.tokens_per_day(t.prompt_completion_details), "total_tokens")
@@ -238,20 +233,14 @@ def _(t):
 
 # --- service -----------------------------------------------------------------
 
-_UNANALYZED = """
+_UNANALYZED = _DONE + """,
 unanalyzed_posts AS (
-  SELECT post_id FROM posts WHERE post_body NOT IN ('', '[removed]', '[deleted]')
-    AND NOT EXISTS (SELECT 1 FROM analysis_documents
-      WHERE json_extract_string(analysis_document, '$.post_id') = posts.post_id)
-    AND NOT EXISTS (SELECT 1 FROM analysis_documents
-      WHERE json_extract_string(analysis_document, '$.reference_id') = posts.post_id)),
+  SELECT post_id FROM posts ANTI JOIN done ON done.id = posts.post_id
+  WHERE post_body NOT IN ('', '[removed]', '[deleted]')),
 unanalyzed_comments AS (
-  SELECT comment_id FROM comments
-  WHERE md5(comment_body) NOT IN (md5(''), md5('[removed]'), md5('[deleted]'))
-    AND NOT EXISTS (SELECT 1 FROM analysis_documents
-      WHERE json_extract_string(analysis_document, '$.comment_id') = comments.comment_id)
-    AND NOT EXISTS (SELECT 1 FROM analysis_documents
-      WHERE json_extract_string(analysis_document, '$.reference_id') = comments.comment_id))
+  SELECT comment_id FROM comments ANTI JOIN done ON done.id = comments.comment_id
+  WHERE NOT list_contains(
+    list_transform(['', '[removed]', '[deleted]'], lambda x: md5(x)), md5(comment_body)))
 """
 _DOC_VIEWS = "posts comments analysis_documents"
 
@@ -299,72 +288,53 @@ def _(t):
 
 
 @query("new_subreddits", "posts subscription", """
-SELECT subreddit FROM posts
-WHERE subreddit NOT IN (SELECT subreddit FROM subscription) AND subreddit NOT LIKE 'u_%'
-GROUP BY subreddit
+SELECT DISTINCT subreddit FROM posts
+WHERE length(subreddit) < 2 OR subreddit[1] <> 'u'
+EXCEPT SELECT subreddit FROM subscription
 """)
 def _(t):
     return service.new_subreddits(t.posts, t.subscription)
 
 
-@query("post_bundle", _DOC_VIEWS, """
-WITH random_post AS (
-  SELECT json_extract_string(analysis_document, '$.reference_id') AS pid FROM analysis_documents
-  WHERE json_extract_string(analysis_document, '$.category') = 'post'
-    AND json_extract_string(analysis_document, '$.llm') = 'phi4'
-  ORDER BY md5(pid || '30') NULLS LAST, pid NULLS LAST LIMIT 1),
-post_comments AS (
+_PAGES = """
+named AS (
+  SELECT json_extract_string(analysis_document, '$.reference_id') AS post_id,
+    json_extract_string(analysis_document, '$.category') AS category,
+    json_extract_string(analysis_document, '$.llm') AS llm, id, analysis_document AS doc
+  FROM analysis_documents),
+talk AS (
   SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
     ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
-  FROM comments WHERE post_id IN (SELECT pid FROM random_post) GROUP BY post_id)
-SELECT p.subreddit, max(p.post_title || '  -  ' || p.post_body) AS post, 0 AS piece,
-  string_agg(ad.analysis_document, ', ' ORDER BY ad.id) AS analysis_docs, pc.comment_bodies
-FROM posts p
-JOIN analysis_documents ad
-  ON p.post_id = json_extract_string(ad.analysis_document, '$.reference_id')
-LEFT JOIN post_comments pc ON p.post_id = pc.post_id
-WHERE p.post_id IN (SELECT pid FROM random_post)
-  AND p.post_body NOT LIKE '[ Removed by Reddit ]%' AND pc.comment_bodies IS NOT NULL
-GROUP BY p.subreddit, pc.comment_bodies
+  FROM comments GROUP BY post_id),
+answers AS (
+  SELECT post_id, string_agg(doc, ', ' ORDER BY id) AS analysis_docs FROM named GROUP BY post_id),
+pages AS (
+  SELECT post_id, subreddit, post_title || '  -  ' || post_body AS post, 0 AS piece,
+    analysis_docs, comment_bodies
+  FROM posts JOIN talk USING (post_id) JOIN answers USING (post_id)
+  WHERE NOT starts_with(post_body, '[ Removed by Reddit ]'))
+"""
+
+
+@query("post_bundle", _DOC_VIEWS, f"""WITH {_PAGES.strip()}
+SELECT subreddit, post, piece, analysis_docs, comment_bodies FROM pages
+WHERE post_id = (SELECT post_id FROM named WHERE category = 'post' AND llm = 'phi4'
+  ORDER BY md5(post_id || '30') NULLS LAST, post_id NULLS LAST LIMIT 1)
 """)
 def _(t):
     bundle = service.post_bundle(t.posts, t.comments, t.analysis_documents, seed=30)
     return bundle.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
 
 
-@query("post_bundles", _DOC_VIEWS, """
-WITH post_comments AS (
-  SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
-    ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
-  FROM comments GROUP BY post_id)
-SELECT p.post_id, p.subreddit, max(p.post_title || '  -  ' || p.post_body) AS post, 0 AS piece,
-  string_agg(ad.analysis_document, ', ' ORDER BY ad.id) AS analysis_docs, pc.comment_bodies
-FROM posts p
-JOIN analysis_documents ad
-  ON p.post_id = json_extract_string(ad.analysis_document, '$.reference_id')
-JOIN post_comments pc ON p.post_id = pc.post_id
-WHERE p.post_body NOT LIKE '[ Removed by Reddit ]%'
-GROUP BY p.post_id, p.subreddit, pc.comment_bodies
-""")
+@query("post_bundles", _DOC_VIEWS, f"""WITH {_PAGES.strip()} SELECT * FROM pages""")
 def _(t):
     found = service.bundles(t.posts, t.comments, t.analysis_documents)
     return found.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
 
 
-@query("bundle_groups", _DOC_VIEWS, """
-WITH post_comments AS (
-  SELECT post_id, array_to_string(list(coalesce(comment_body, '<null>')
-    ORDER BY comment_created_utc, comment_id), '|') AS comment_bodies
-  FROM comments GROUP BY post_id)
-SELECT subreddit, 0 AS piece, comment_bodies, max(post) AS post, count(*) AS posts
-FROM (SELECT DISTINCT p.post_id, p.subreddit, p.post_title || '  -  ' || p.post_body AS post,
-        pc.comment_bodies
-      FROM posts p
-      JOIN analysis_documents ad
-        ON p.post_id = json_extract_string(ad.analysis_document, '$.reference_id')
-      JOIN post_comments pc ON p.post_id = pc.post_id
-      WHERE p.post_body NOT LIKE '[ Removed by Reddit ]%')
-GROUP BY subreddit, comment_bodies
+@query("bundle_groups", _DOC_VIEWS, f"""WITH {_PAGES.strip()}
+SELECT subreddit, piece, comment_bodies, max(post) AS post, count(*) AS posts FROM pages
+GROUP BY ALL
 """)
 def _(t):
     found = service.bundles(t.posts, t.comments, t.analysis_documents)
@@ -402,12 +372,12 @@ def _(t):
 
 
 @query("answered_posts", "analysis_documents", """
-SELECT json_extract_string(analysis_document, '$.post_id') AS post_id,
-  json_extract_string(analysis_document, '$.analysis') AS analysis
-FROM analysis_documents
-WHERE json_extract_string(analysis_document, '$.post_id') IS NOT NULL
-  AND json_extract_string(analysis_document, '$.analysis')
-    NOT LIKE '%therefore I cannot answer this question.%'
+SELECT * FROM (
+  SELECT json_extract_string(analysis_document, '$.post_id') AS post_id,
+    json_extract_string(analysis_document, '$.analysis') AS analysis
+  FROM analysis_documents)
+WHERE post_id IS NOT NULL
+  AND NOT contains(analysis, 'therefore I cannot answer this question.')
 """)
 def _(t):
     return service.answered_posts(t.analysis_documents)
@@ -471,10 +441,8 @@ def _(t):
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
 """)
 def _(t):
-    rows = tables.as_documents(t.customer)
-    return rows.select(*[
-        docs.field("row_json", k).alias(k) for k in ("c_custkey", "c_name", "c_mktsegment")
-    ])
+    names = ("c_custkey", "c_name", "c_mktsegment")
+    return docs.fields(tables.as_documents(t.customer), "row_json", *names).select(*names)
 
 
 def _insert_batch(t: TestTables) -> DataFrame:
@@ -725,7 +693,7 @@ def _(t):
         F.upper("event_type"), "props", "ts",
     )
     names = ("timestamp", "host", "program_name", "program_version", "severity", "message")
-    return rows.select(*[docs.field("log_json", n).alias(n) for n in names])
+    return docs.fields(rows.select("log_json"), "log_json", *names).select(*names)
 
 
 _LINK = 'href="([^"]*)"'
@@ -974,9 +942,8 @@ def _(t):
         ["timestamp", "reference_id", "llm_pos"],
     )
     names = ("schema_version", "source", "category", "reference_id", "llm", "analysis")
-    return enrichment.document_rows(new).select(*[
-        docs.field("analysis_document", n).alias(n) for n in names
-    ])
+    stored_docs = enrichment.document_rows(new).select("analysis_document")
+    return docs.fields(stored_docs, "analysis_document", *names).select(*names)
 
 
 @query("perf_rows", "models prompt_completion_details", """

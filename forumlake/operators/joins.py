@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forumlake.functions.documents import fields
 from forumlake.functions.keys import full_model_name
 
 # A side is broadcast by hint only after a count showed it to be below this.
@@ -23,19 +24,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+DOCUMENT_FIELDS = ("post_id", "comment_id", "reference_id")
+
+
+def with_id_columns(documents: DataFrame, document: str = "analysis_document") -> DataFrame:
+    """Documents with the ids they name as columns.
+
+    Stored like this, the queries read the narrow id columns and leave the JSON
+    text alone.
+    """
+    return fields(documents, document, *DOCUMENT_FIELDS)
+
+
+def named_ids(
+    documents: DataFrame, names: Sequence[str], document: str = "analysis_document"
+) -> DataFrame:
+    """The ids under the given fields, one column each: stored columns if the table has
+    them all, otherwise one parse of the document."""
+    if set(names) <= set(documents.columns):
+        return documents.select(*names)
+    return documents.select(F.json_tuple(document, *names).alias(*names))
+
+
 def document_ids(
     documents: DataFrame, names: Sequence[str], document: str = "analysis_document",
     out: str = "id",
 ) -> DataFrame:
-    """Distinct ids found under any of the given JSON fields, parsed once.
+    """Distinct ids found under any of the given fields.
 
     Distinct before the join: many documents of one item become one row on the
     map side, so a heavily documented item does not make a heavy partition.
     """
-    aliases = [f"_f{i}" for i in range(len(names))]
-    found = documents.select(F.json_tuple(document, *names).alias(*aliases))
     return (
-        found.select(F.explode(F.array(*aliases)).alias(out))
+        named_ids(documents, names, document).select(F.explode(F.array(*names)).alias(out))
         .filter(F.col(out).isNotNull()).distinct()
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,38 +17,51 @@ HOT_ROWS = 1_000_000
 HOT_LIST = 100_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_ROWS) -> DataFrame | None:
+@dataclass
+class HotKeys:
+    """At most ``HOT_LIST`` keys and the number of rows they have together."""
+
+    frame: DataFrame
+    rows: int
+
+    def pieces(self) -> int:
+        """Partitions that hold about ``HOT_ROWS`` rows each, one per shuffle partition at
+        least."""
+        configured = int(self.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(2, configured, -(-self.rows // HOT_ROWS))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_ROWS) -> HotKeys | None:
     """The heaviest keys with more than ``max_rows`` rows, or None if there are none."""
     listed = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > max_rows)
-        .orderBy(F.desc("_rows")).limit(HOT_LIST).select(*keys)
+        .orderBy(F.desc("_rows")).limit(HOT_LIST)
     )
-    rows = listed.collect()
-    if not rows:
+    found = listed.collect()
+    if not found:
         return None
-    return df.sparkSession.createDataFrame(rows, schema=listed.schema)
+    frame = df.sparkSession.createDataFrame(found, schema=listed.schema).select(*keys)
+    return HotKeys(frame, sum(r["_rows"] for r in found))
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot: DataFrame
+    df: DataFrame, keys: Sequence[str], hot: HotKeys
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of other keys, rows of hot keys). NULL is a key like any other.
 
     The broadcast side has at most ``HOT_LIST`` rows.
     """
-    marks = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    marks = F.broadcast(hot.frame.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     same = [df[k].eqNullSafe(marks[f"_hot_{k}"]) for k in keys]
     return df.join(marks, same, "left_anti"), df.join(marks, same, "left_semi")
 
 
 def _number_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, parts: int
 ) -> DataFrame:
     """Range partitions cut a key anywhere; each piece is numbered on its own and
     moved on by the rows of the same key in earlier pieces."""
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     pieces = durable(
         df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
@@ -95,8 +109,8 @@ def number_parts(
     cold_rows, hot_rows = split_hot(df, keys, hot)
     return (
         cold_rows.withColumn(out, F.row_number().over(window).cast("bigint")),
-        _number_hot(hot_rows, keys, order, out),
-        hot,
+        _number_hot(hot_rows, keys, order, out, hot.pieces()),
+        hot.frame,
     )
 
 

@@ -79,7 +79,7 @@ def _fold(claims: DataFrame, key: str, ts: str, tie: str, ttl: Column,
 
 
 def _rounds(claims: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int, ttl: Column,
-            last: DataFrame | None) -> DataFrame:
+            last: DataFrame | None, parts: int) -> DataFrame:
     """Claims of hot keys, one span of ``ttl`` after the other.
 
     Two accepted claims of a key lie at least ``ttl`` apart, so a span holds at
@@ -98,7 +98,6 @@ def _rounds(claims: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int, tt
     span = F.floor((micros - F.lit(first)) / F.lit(ttl_seconds * 1_000_000)).cast("bigint")
     per_folder = -(-spans // SPAN_FOLDERS)
     staged = fresh_path(spark, "claims")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         claims.select(key, ts, tie, span.alias("_span"))
         .withColumn("_folder", F.floor(F.col("_span") / per_folder).cast("int"))
@@ -159,9 +158,9 @@ def claim_keys(
     hot_last = None
     if last is not None:
         hot_last = durable(last.join(
-            F.broadcast(hot), F.col("_rk") == F.col(key), "left_semi"))
+            F.broadcast(hot.frame), F.col("_rk") == F.col(key), "left_semi"))
     return _fold(cold_rows, key, ts, tie, ttl, last).unionByName(
-        _rounds(hot_rows, key, ts, tie, ttl_seconds, ttl, hot_last)
+        _rounds(hot_rows, key, ts, tie, ttl_seconds, ttl, hot_last, hot.pieces())
     )
 
 

@@ -493,3 +493,24 @@ def test_small_batch_against_a_large_target(spark, monkeypatch, rows):
     assert rows(dml.rows_to_insert(few, batch, unique, ["a"])) == expected == [(2001, 3)]
     monkeypatch.setattr(dml, "BROADCAST_ROWS", 2)
     assert dml.conflicting_rows(target, batch, unique) is target
+
+
+def test_stored_id_columns_give_the_same_answer(spark, rows):
+    posts = spark.createDataFrame(
+        [(f"i{n}", "text") for n in range(10)], "post_id string, post_body string")
+    comments = spark.createDataFrame(
+        [(f"i{n}", "text") for n in range(10)], "comment_id string, comment_body string")
+    documents = spark.createDataFrame(
+        [('{"post_id":"i1"}',), ('{"comment_id":"i2"}',), ('{"reference_id":"i3"}',), ("{bad",)],
+        "analysis_document string")
+    stored = joins.with_id_columns(documents)
+    for query in (
+        lambda d: dashboard.remaining_to_analyze(posts, comments, d),
+        lambda d: enrichment.unanalyzed_posts(posts, d),
+        lambda d: enrichment.unanalyzed_comments(comments, d),
+    ):
+        assert rows(query(stored)) == rows(query(documents))
+    assert rows(dashboard.remaining_to_analyze(posts, comments, stored)) == [
+        ("comments", 8), ("posts", 8)]
+    plan = enrichment.unanalyzed_posts(posts, stored.drop("analysis_document"))
+    assert plan.count() == 8

@@ -30,7 +30,11 @@ FIVE_DAYS = 5 * 24 * 3600
 
 def query(name: str, views: str = "", sql: str | None = None):
     def register(build: Callable[[TestTables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(TestTables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # days are UTC days
+            return build(TestTables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = _with_views(views.split(), sql.strip())
         return build

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlake.functions.documents import is_json
 from forumlake.functions.text import edited_text
 from forumlake.schemas import (
     ANSWER_RECORD,
@@ -44,14 +45,34 @@ def parse_records(lines: DataFrame, kind: str, column: str = "value") -> DataFra
     return lines.select(F.from_json(column, RECORDS[kind]).alias("r")).select("r.*")
 
 
+def rejected_records(
+    lines: DataFrame, kind: str, created_at: Column, column: str = "value"
+) -> DataFrame:
+    """Lines that are no JSON or carry no id, as rows of the ``errors`` table."""
+    found = lines.select(F.col(column).alias("line"), F.from_json(column, RECORDS[kind]).alias("r"))
+    bad_json = ~is_json("line")
+    return found.filter(bad_json | F.col("r.id").isNull()).select(
+        F.lit(None).cast("string").alias("item_id"), F.lit(kind).alias("item_type"),
+        F.concat(F.when(bad_json, "malformed record: ").otherwise("record without id: "), "line")
+        .alias("error"),
+        created_at.alias("created_at"),
+    )
+
+
+def _identified(records: DataFrame) -> DataFrame:
+    """The id columns are NOT NULL: a record without one is no row (see
+    ``rejected_records``)."""
+    return records.filter(F.col("id").isNotNull())
+
+
 def post_rows(records: DataFrame) -> DataFrame:
-    return records.select(
+    return _identified(records).select(
         F.col("id").alias("post_id"),
         F.col("subreddit.display_name").alias("subreddit"),
         F.col("author.name").alias("post_author"),
         F.col("title").alias("post_title"),
         F.col("selftext").alias("post_body"),
-        F.col("created_utc").cast("int").alias("post_created_utc"),
+        F.col("created_utc").try_cast("int").alias("post_created_utc"),
         F.col("is_original_content").alias("is_post_oc"),
         F.col("is_video").alias("is_post_video"),
         F.col("ups").alias("post_upvote_count"),
@@ -62,12 +83,12 @@ def post_rows(records: DataFrame) -> DataFrame:
 
 def comment_rows(records: DataFrame, *extra: str) -> DataFrame:
     """``extra`` names record columns to carry along (``parent_id`` for the tree)."""
-    return records.select(
+    return _identified(records).select(
         F.col("id").alias("comment_id"),
         F.col("author.name").alias("comment_author"),
         F.col("is_submitter").alias("is_comment_submitter"),
         edited_text("edited").alias("is_comment_edited"),
-        F.col("created_utc").cast("int").alias("comment_created_utc"),
+        F.col("created_utc").try_cast("int").alias("comment_created_utc"),
         F.col("body").alias("comment_body"),
         F.col("submission.id").alias("post_id"),
         F.col("subreddit.display_name").alias("subreddit"),
@@ -78,10 +99,10 @@ def comment_rows(records: DataFrame, *extra: str) -> DataFrame:
 
 
 def author_rows(records: DataFrame) -> DataFrame:
-    return records.select(
+    return _identified(records).select(
         F.col("id").alias("author_id"),
         F.col("name").alias("author_name"),
-        F.col("created_utc").cast("int").alias("author_created_utc"),
+        F.col("created_utc").try_cast("int").alias("author_created_utc"),
     )
 
 

@@ -127,3 +127,21 @@ def test_sql_functions(spark):
         word_count('a b') AS w, punctuation_count('a.b!') AS p, full_model_name('phi4') AS m,
         format_width('', 80) AS e""").first()
     assert row.asDict() == {"f": "ab", "s": "x", "w": 2, "p": 2, "m": "phi4:latest", "e": None}
+
+
+def test_bad_records_are_rejected_not_stored(spark, rows):
+    lines = spark.createDataFrame(
+        [('{"id":"p1","created_utc":1e18}',), ("{bad",), ('{"title":"t"}',), ("[]",)],
+        "value string")
+    stored = feeds.post_rows(feeds.parse_records(lines, "posts")).collect()
+    assert [(r["post_id"], r["post_created_utc"]) for r in stored] == [("p1", None)]
+    bad = feeds.rejected_records(lines, "posts", F.lit("2024-01-01").cast("timestamp"))
+    assert rows(bad, "error") == [
+        ("malformed record: {bad",), ("record without id: []",),
+        ('record without id: {"title":"t"}',)]
+
+
+def test_catalog_leaves_out_temporary_views(spark):
+    spark.range(1).createOrReplaceTempView("some_view")
+    assert tables.catalog_tables(spark, "default").filter("table_name = 'some_view'").count() == 0
+    assert tables.catalog_tables(spark, "default", "posts").columns == ["table_name"]

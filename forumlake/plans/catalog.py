@@ -624,6 +624,22 @@ def _(t):
     return feeds.post_rows(feeds.parse_records(post_records(t), "posts"))
 
 
+@query("feed_rejects", "posts", """
+SELECT 'posts' AS item_type, CASE lang WHEN 'fr' THEN 'malformed record: {' || text
+  ELSE 'record without id: {"title":"' || source || '"}' END AS error
+FROM documents WHERE lang IN ('fr', 'de')
+""")
+def _(t):
+    line = (
+        F.when(F.col("lang") == "fr", F.concat(F.lit("{"), F.col("text")))
+        .when(F.col("lang") == "de", docs.to_document(F.col("source").alias("title")))
+        .otherwise(docs.to_document(F.col("doc_id").cast("string").alias("id")))
+    )
+    lines = t.documents.select(line.alias("value"))
+    bad = feeds.rejected_records(lines, "posts", F.lit("2024-01-01").cast("timestamp"))
+    return bad.select("item_type", "error")
+
+
 @query("comment_feed_ingest", "comments", "SELECT * FROM comments")
 def _(t):
     records = t.comments.select(docs.to_document(
@@ -1179,8 +1195,8 @@ SELECT key, ts, event_id, won AS claimed FROM walk
 def _(t):
     out = fresh_path(t.spark, "claims")
     state.claim_stream(
-        _claims_as_stream(t), "key", "ts", "event_id", out + "/rows", out + "/state",
-        out + "/checkpoint", FIVE_DAYS,
+        _claims_as_stream(t), "key", "ts", "event_id", out + "/rows", out + "/checkpoint",
+        FIVE_DAYS,
     ).awaitTermination()
     return t.spark.read.parquet(out + "/rows").select("key", "ts", "event_id", "claimed")
 

@@ -1,9 +1,9 @@
 """Keyed state over micro-batches: claims that expire and quota counters.
 
-Each micro-batch runs the batch operator against the state the previous one
-left. A state is a table in a folder per batch id, so a batch that is run again
-after a failure finds the same start and writes the same result. Heavy keys are
-handled by the batch operators.
+Each micro-batch runs the batch operator against what earlier batches left. That
+lies in a folder per batch id, so a batch that is run again after a failure
+finds the same start and replaces its own result. Heavy keys are handled by the
+batch operators.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from forumlake.operators.dml import conflicting_rows
 from forumlake.operators.numbering import HOT_ROWS, QUOTA, quota_counters, quota_flags
 from forumlake.operators.registry import FOLD_ROWS, TTL_SECONDS, claim_flags
 from forumlake.session import path_exists
@@ -45,33 +46,34 @@ def _start(stream: DataFrame, step: Callable, checkpoint: str, available_now: bo
 
 
 def claim_stream(
-    stream: DataFrame, key: str, ts: str, tie: str, out: str, state: str, checkpoint: str,
-    ttl_seconds: int = TTL_SECONDS, lateness_seconds: int | None = None,
-    max_rows: int = FOLD_ROWS, available_now: bool = True,
+    stream: DataFrame, key: str, ts: str, tie: str, out: str, checkpoint: str,
+    ttl_seconds: int = TTL_SECONDS, max_rows: int = FOLD_ROWS, available_now: bool = True,
 ) -> StreamingQuery:
-    """Write every claim with its answer (``claimed``) to ``out``.
+    """Write every claim with its answer (``claimed``) to ``out``, a folder per batch.
 
-    An accepted claim holds for ``ttl_seconds``. Expired entries are kept for
-    ``lateness_seconds`` more (one ttl unless given) for claims that come late.
+    The claims accepted in earlier batches are the state: of those that can still
+    hold at the earliest time in the batch, the ones of the batch's keys are
+    read, by time and with few columns. Nothing is rewritten.
     """
-    kept = ttl_seconds + (ttl_seconds if lateness_seconds is None else lateness_seconds)
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, ts)}
+    schema = f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, claimed boolean"
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def earlier_claims(batch: DataFrame, batch_id: int) -> DataFrame | None:
         spark = batch.sparkSession
-        registry = _previous(spark, state, batch_id)
-        flags = claim_flags(batch, key, ts, tie, registry, ttl_seconds, max_rows)
-        flags.write.mode("overwrite").parquet(_folder(out, batch_id))
-        done = spark.read.parquet(_folder(out, batch_id))
-        claims = done.filter("claimed").select(key, F.col(ts).alias("claimed_at"))
-        if registry is not None:
-            claims = registry.unionByName(claims)
-        newest = done.agg(F.max(ts).alias("t")).select("t").scalar()
-        last = claims.groupBy(key).agg(F.max("claimed_at").alias("claimed_at"))
-        last.filter(
-            newest.isNull()
-            | (F.col("claimed_at") > newest - F.make_dt_interval(secs=F.lit(kept)))
-        ).write.mode("overwrite").parquet(_folder(state, batch_id))
-        _drop_old(spark, state, batch_id)
+        first = batch.agg(F.min(ts).cast("string")).first()[0]
+        if first is None or not path_exists(spark, out):
+            return None
+        moment = F.lit(first).cast(batch.schema[ts].dataType)
+        held = spark.read.schema(f"{schema}, batch bigint").parquet(out).filter(
+            (F.col("batch") < batch_id) & F.col("claimed")
+            & (F.col(ts) > moment - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+        )
+        return conflicting_rows(held, batch, [[key]]).select(key, F.col(ts).alias("claimed_at"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        registry = earlier_claims(batch, batch_id)
+        claim_flags(batch, key, ts, tie, registry, ttl_seconds, max_rows).write.mode(
+            "overwrite").parquet(_folder(out, batch_id))
 
     return _start(stream, step, checkpoint, available_now)
 

@@ -41,7 +41,7 @@ def test_claims(spark, landing, tmp_path, rows, max_rows):
     path, events = landing
     out = str(tmp_path / "out")
     query = state.claim_stream(
-        stream(spark, path), "key", "ts", "id", out + "/rows", out + "/state", out + "/ckpt",
+        stream(spark, path), "key", "ts", "id", out + "/rows", out + "/ckpt",
         ttl_seconds=30 * 86400, max_rows=max_rows)
     query.awaitTermination()
     assert len(query.recentProgress) >= 6
@@ -142,3 +142,16 @@ def test_built_in_variant_keeps_claims_apart(spark, landing, tmp_path):
             assert r["at"] - times[r["key"]] >= dt.timedelta(days=30)
         times[r["key"]] = r["at"]
     assert set(times) == {"hot", "a", "b"}
+
+
+def test_claims_that_come_late(spark, tmp_path):
+    """A batch may hold older claims than the one before it."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    days = [[0, 40], [35, 75], [69, 70, 105]]
+    for n, batch in enumerate(days):
+        part = [("k", DAY0 + dt.timedelta(days=d), n * 10 + i, 0.0) for i, d in enumerate(batch)]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        state.claim_stream(stream(spark, path), "key", "ts", "id", out + "/rows", out + "/ckpt",
+                           ttl_seconds=30 * 86400).awaitTermination()
+    got = spark.read.parquet(out + "/rows").filter("claimed").collect()
+    assert sorted((r["ts"] - DAY0).days for r in got) == [0, 40, 75, 105]

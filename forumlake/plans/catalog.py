@@ -676,10 +676,11 @@ def _(t):
     rows = logs.service_log_rows(
         t.service_log_lines, docs.field("line", "host_name"), "model-server"
     )
-    return rows.select(
-        "timestamp", "host_name", "service_name", docs.field("message", "severity")
-        .alias("severity"), docs.field("message", "message.k").alias("k"),
+    parsed = rows.select(
+        "timestamp", "host_name", "service_name",
+        F.json_tuple("message", "severity", "message").alias("severity", "inner"),
     )
+    return parsed.withColumn("k", docs.field("inner", "k")).drop("inner")
 
 
 @query("service_log_rejects", "service_log_lines", """
@@ -1018,7 +1019,7 @@ SELECT doc_id, array_to_string(list_transform(range(1, ((length(text) + 79) // 8
 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents)
 """)
 def _(t):
-    return t.documents.select("doc_id", text.format_width("text").alias("formatted"))
+    return spread(t.documents).select("doc_id", text.format_width("text").alias("formatted"))
 
 
 _PHRASED = " ".join(
@@ -1038,7 +1039,7 @@ def _(t):
         F.array(*[F.lit(p) for p in text.BOILERPLATE], F.lit("")),
         (F.col("doc_id") % 7 + 1).cast("int"),
     )
-    raw = t.documents.select("doc_id", F.concat(phrase, "text").alias("raw"))
+    raw = spread(t.documents).select("doc_id", F.concat(phrase, "text").alias("raw"))
     return raw.select("doc_id", text.sanitize("raw").alias("clean"))
 
 

@@ -124,7 +124,9 @@ def price_rows(lists: DataFrame, column: str = "value", *keep: str) -> DataFrame
     Chat models give two rows, told apart by ``size`` = ``prompt`` or ``completion``.
     """
     entry = "struct<kind:string,model:string,quality:string,size:string,price:double>"
-    p = F.from_json(column, PRICE_LIST)
+    # A column of its own, so that each list is parsed once.
+    lists = lists.select(*keep, F.from_json(column, PRICE_LIST).alias("_p"))
+    p = F.col("_p")
     none = F.lit(None).cast("string")
 
     def row(kind, model, quality, size, price):

@@ -95,7 +95,8 @@ def _rounds(claims: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int, tt
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     first, covered = claims.agg(F.min(micros), F.max(micros) - F.min(micros)).first()
     spans = covered // (ttl_seconds * 1_000_000) + 1
-    span = F.floor((micros - F.lit(first)) / F.lit(ttl_seconds * 1_000_000)).cast("bigint")
+    ttl_micros = ttl_seconds * 1_000_000
+    span = F.expr(f"(unix_micros(CAST(`{ts}` AS TIMESTAMP)) - {first}) div {ttl_micros}")
     per_folder = -(-spans // SPAN_FOLDERS)
     staged = fresh_path(spark, "claims")
     (

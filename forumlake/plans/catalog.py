@@ -987,25 +987,24 @@ def _(t):
     return rounded(rows.drop("expires_at", "created_at"), "tokens_per_second")
 
 
-def echo_answers(batches):
-    """Stands in for a model client: answers with the length of the prompt."""
-    for frame in batches:
-        yield frame.assign(answer=frame["prompt"].str.len().astype("int64"))[
-            ["reference_id", "llm", "answer"]
-        ]
-
-
 @query("run_inference", "comments", f"""
 SELECT comment_id AS reference_id, unnest(['phi4', 'gemma2', 'llama3']) AS llm,
   length('respond to this comment: ' || comment_body) AS answer
 FROM comments WHERE comment_body NOT IN {NO_TEXT}
 """)
 def _(t):
+    def prompt_length(batches):
+        """Stands in for a model client: answers with the length of the prompt."""
+        for frame in batches:
+            yield frame.assign(answer=frame["prompt"].str.len().astype("int64"))[
+                ["reference_id", "llm", "answer"]
+            ]
+
     prompts = enrichment.prompt_table(
         enrichment.comment_text(t.comments), "comment_id", "comment", LLMS
     )
     return enrichment.run_inference(
-        prompts, echo_answers, "reference_id string, llm string, answer bigint"
+        prompts, prompt_length, "reference_id string, llm string, answer bigint"
     )
 
 

@@ -11,7 +11,9 @@ from forumlake.functions.text import title_and_body
 from forumlake.operators.joins import not_in
 from forumlake.operators.numbering import HOT_ROWS, number_parts
 from forumlake.operators.top import sample_one
-from forumlake.operators.trees import PIECE_ROWS
+
+# Items of a page in one row; the texts of a row must fit into memory together.
+PAGE_ITEMS = 1_000
 
 
 def new_subreddits(posts: DataFrame, subscription: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def _parsed(documents: DataFrame) -> DataFrame:
 
 def bundles(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, post_id: str | None = None,
-    size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
+    size: int = PAGE_ITEMS, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Posts that have documents and comments, each with both, or one such post.
 
@@ -104,7 +106,7 @@ def _collect(numbered: DataFrame, size: int) -> DataFrame:
 
 def post_bundle(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, seed=0, llm: str = "phi4",
-    size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
+    size: int = PAGE_ITEMS, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The bundle of one sampled post that a document of ``llm`` names.
 

@@ -81,8 +81,7 @@ def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
     ])
     found = Profiles(grams, grams, langs)
     common = (
-        counted.groupBy("word").agg(F.sum("c").alias("c"))
-        .orderBy(F.desc("c"), "word").limit(min(COMMON_WORDS, BROADCAST_CELLS // len(langs)))
+        _common_words(counted, min(COMMON_WORDS, BROADCAST_CELLS // len(langs)))
         .select("word", F.explode(trigrams("word")).alias("gram"))
         .join(broadcast_if_small(grams, BROADCAST_CELLS // len(langs)), "gram")
         .groupBy("word").agg(*[F.sum(c).alias(c) for c in found.columns])
@@ -90,6 +89,24 @@ def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
     return Profiles(grams, durable(common), langs)
 
 
+def _common_words(counted: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` words that are frequent in some language.
+
+    The frequency that separates them comes from a histogram over quarter powers
+    of two, a few hundred rows, so the words are neither sorted nor moved.
+    """
+    sized = counted.select("word", F.floor(F.log2("c") * 4).alias("size"))
+    histogram = sized.groupBy("size").count().collect()
+    least, words = None, 0
+    for size, n in sorted(((r["size"], r["count"]) for r in histogram), reverse=True):
+        words += n
+        if words > limit:
+            break
+        least = size
+    common = sized.filter(F.lit(False) if least is None else F.col("size") >= least)
+    return common.select("word").distinct()
+
+
 def detect_language(
     items: DataFrame, key: str, text: str, profiles: Profiles, out: str = "detected"
 ) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlake.llm import dedup, packing, sharding, tokens, urls
+from forumlake.llm import dedup, html, langid, packing, secrets, sharding, tokens, urls
 from forumlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,13 +32,16 @@ RULES = [
 ]
 
 
+def page_number() -> Column:
+    """The id of a page's document, the number its path ends in; null without one."""
+    return F.regexp_extract(
+        urls.url_path(F.col("url")), r"^/[a-z]+/([0-9]{1,18})(\.html|/)*$", 1).try_cast("long")
+
+
 def listed_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """URLs of pages whose document a label calls toxic; the path ends in the document's id."""
-    path = urls.url_path(F.col("url"))
-    number = F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})(\.html|/)*$", 1)
-    own = pages.select("url", number.try_cast("long").alias("doc_id"))
-    toxic = labels.where("toxic = 1").select("doc_id")
-    return own.join(toxic, "doc_id", "left_semi").select("url")
+    """URLs of pages whose document a label calls toxic."""
+    own = pages.select("url", page_number().alias("doc_id"))
+    return own.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("url")
 
 
 @query("op1_url_filter", r"""
@@ -88,6 +91,45 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, documents = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    order = F.xxhash64("page_id")
+    sample = pages.select("page_id", "html", page_number().alias("doc_id")).where(
+        "doc_id IS NOT NULL").orderBy(order).limit(html.TRAIN_PAGES)
+    articles = documents.select("doc_id", F.col("text").alias("article"))
+    model = html.train(articles.join(F.broadcast(sample), "doc_id"), "html", "article", order)
+    return html.extract_text(pages, model)
+
+
+def held_out() -> Column:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    return F.coalesce(fold == 2, F.lit(False))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents, usable=~held_out())
+    found = langid.identify_languages(documents, model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("lang").alias("lang_pred"),
+                        "score", "accepted")
+
+
+def joined(spans: str) -> Column:
+    return F.expr(f"concat_ws(',', transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)))")
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = ", ".join(f"'{k}'" for k in secrets.BASE_KINDS)
+    counts = [F.expr(f"CAST(size(filter(found, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}")
+              for k in secrets.BASE_KINDS]
+    base = F.sha2(joined(f"filter(found, s -> s.kind IN ({kinds}))"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), joined("found").alias("spans"))
+
+
 @query("op9_exact_dedup", r"""
 WITH normal AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

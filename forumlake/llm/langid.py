@@ -30,10 +30,11 @@ ORDER = 4
 TRAIN_DOCS = 1_000
 CALIBRATION_DOCS = 500
 SAMPLE_CHARS = 10_000
-#: A text is rejected if its cross-entropy lies above the middle between what texts of its
-#: language have and what texts of the nearest other language have under the same model, and
-#: more than so many standard errors of its own length above that. Texts with passages in
-#: another language stay; texts in a language that was not learned do not.
+#: A text is rejected if its cross-entropy lies above so much of the way from what texts of
+#: its language have to what texts of the nearest other language have under the same model,
+#: and more than so many standard errors of its own length above that. Texts with passages
+#: in another language stay; texts in a language that was not learned do not.
+REJECT_AT = 0.75
 STANDARD_ERRORS = 4.0
 #: The score counts the evidence of at most so many characters.
 SCORE_CHARS = 100
@@ -272,7 +273,8 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     for i, x in enumerate(model.languages):
         if (x, x) in found:
             other = [r["h"] for (lang, under), r in found.items() if under == x and lang != x]
-            limit[i] = (found[x, x]["h"] + min(other, default=-model.unseen)) / 2
+            own = found[x, x]["h"]
+            limit[i] = own + REJECT_AT * (min(other, default=-model.unseen) - own)
             spread[i] = found[x, x]["off"]
     return model._replace(limit=limit, spread=spread)
 

@@ -14,7 +14,8 @@ the overlaps of its two sets with a third, which bound its own overlap from both
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import Cache, free_name, ship_package
+from forumlake.llm.common import free_name, ship_package
 from forumlake.llm.components import components
 from forumlake.session import durable
 
@@ -40,31 +41,73 @@ MAP_WORDS = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_LOT = 1 << 20
 
+# Bytes as they are counted: A to Z lower-cased, and one more so that none is zero.
+_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], "uint64")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
-def word_hashes() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest, most=300_000)
 
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, "uint64")
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def shingle_set(text: str | None, hashes: Cache) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text; empty without words.
 
-    A to Z are lower-cased and words are parted by ASCII white space, as bytes do both.
-    Fewer words than a shingle has make one shingle of all.
-    """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, "int64")
-    width = min(SHINGLE, len(words))
-    codes = np.fromiter(map(hashes.__getitem__, words), "uint64", len(words))
-    n = len(words) - width + 1
-    out = np.full(n, width, "uint64")
-    for i in range(width):
-        out = (out + codes[i : i + n]) * _STEP
+def _hashed(words: list[np.ndarray], width: int) -> np.ndarray:
+    """A hash of ``width`` word hashes in their order."""
+    out = np.full(len(words[0]), width, "uint64")
+    for word in words:
+        out = (out + word) * _STEP
         out ^= out >> np.uint64(29)
     out *= _MIX
-    out ^= out >> np.uint64(32)
-    return np.unique(out.view("int64"))
+    return (out ^ out >> np.uint64(32)).view("int64")
+
+
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text; empty without words.
+
+    A to Z are lower-cased and words are parted by ASCII white space. Fewer words than a
+    shingle has make one shingle of all. Texts are hashed in lots, as one row of bytes:
+    a word's hash is a difference of running sums of its bytes times powers of a number.
+    """
+    lot, size = [], 0
+    for text in texts:
+        lot.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        size += len(lot[-1]) + 1
+        if size >= _LOT:
+            yield from _sets_of(lot, size)
+            lot, size = [], 0
+    if lot:
+        yield from _sets_of(lot, size)
+
+
+@functools.lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n, int(_STEP)), _powers(n, pow(int(_STEP), -1, 1 << 64))
+
+
+def _sets_of(lot: list[bytes], size: int) -> Iterator[np.ndarray]:
+    data = np.frombuffer(b"\n".join([*lot, b""]), "uint8")
+    up, down = _tables(max(2 * _LOT, 1 << (size - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(_LOWER[data] * up[:size])])
+    gaps = _SPACE[data]
+    after = np.concatenate([[True], gaps[:-1]])
+    starts, ends = np.flatnonzero(~gaps & after), np.flatnonzero(gaps & ~after)
+    words = (sums[ends] - sums[starts]) * down[starts]
+    words ^= words >> np.uint64(31)
+    words = words * _MIX
+    text_ends = np.cumsum([len(t) + 1 for t in lot])
+    cuts = np.searchsorted(starts, np.concatenate([[0], text_ends]))
+    n = max(0, len(words) - SHINGLE + 1)
+    whole = _hashed([words[i : i + n] for i in range(SHINGLE)], SHINGLE) if n else np.zeros(0, "int64")
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        count = last - first
+        if count >= SHINGLE:
+            yield np.unique(whole[first : last - SHINGLE + 1])
+        else:
+            own = [words[i : i + 1] for i in range(first, last)]
+            yield _hashed(own, int(count)) if count else np.zeros(0, "int64")
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -88,7 +131,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, waiting, size = word_hashes(), [], 0
+        waiting, size = [], 0
 
         def repeated() -> pd.DataFrame:
             found, n = np.unique(np.concatenate(waiting), return_counts=True)
@@ -100,7 +143,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
                 "counts": [n[i : i + 100_000].astype("int32") for i in lots]})
 
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in batch["text"]]
+            sets = list(shingle_sets(batch["text"]))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets],
                 "sig": pd.array([signature(s) if len(s) else None for s in sets], "Int64"),
@@ -128,11 +171,10 @@ def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(last)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, hashes, seen = shared.value, word_hashes(), set()
+        last, seen = shared.value, set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                shingles = shingle_set(text, hashes)
+            for shingles in shingle_sets(batch["text"]):
                 sig = signature(shingles) if len(shingles) else None
                 if sig is None or sig in seen:
                     continue
@@ -148,34 +190,53 @@ def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
 
 
 def whole_sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """sig, n and all shingles of the sets whose sig is in ``wanted`` (column sig), stored.
+    """sig, n and all shingles of the sets whose sig is in ``wanted`` (column sig), once each.
 
-    A bit map of a fixed size tells the tasks which sets to send; sets that it lets
-    through without need are dropped by the joins that follow.
+    The texts are hashed again, which is cheaper than to store all sets. A bit map of a fixed
+    size tells the tasks which sets to send; sets that it lets through without need are
+    dropped by the joins that follow.
     """
-    bits = wanted.select(
-        F.expr(f"CAST(shiftright(sig, 6) & {MAP_WORDS - 1} AS INT)").alias("word"),
-        F.expr("shiftleft(1L, CAST(sig & 63 AS INT))").alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = bit_words(wanted, "sig").toPandas()
     table = np.zeros(MAP_WORDS, "int64")
     table[words["word"].to_numpy("int64")] = words["bits"].to_numpy("int64")
     shared = df.sparkSession.sparkContext.broadcast(table)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, hashes, seen = shared.value, word_hashes(), set()
+        table, seen = shared.value, set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                shingles = shingle_set(text, hashes)
+            for shingles in shingle_sets(batch["text"]):
                 sig = signature(shingles) if len(shingles) else None
-                if sig is None or sig in seen or not int(table[sig >> 6 & MAP_WORDS - 1]) >> (sig & 63) & 1:
+                if sig is None or sig in seen:
                     continue
-                seen.add(sig)
-                rows.append((sig, len(shingles), shingles))
+                bits = 1 << (sig & 63) | 1 << (sig >> 40 & 63)
+                if int(table[sig >> 10 & MAP_WORDS - 1]) & bits & (1 << 64) - 1 == bits:
+                    seen.add(sig)
+                    rows.append((sig, len(shingles), shingles))
             yield pd.DataFrame(rows, columns=["sig", "n", "shingles"])
 
     found = df.select(F.col(text_col).alias("text")).mapInPandas(read, "sig long, n long, shingles array<long>")
-    return durable(found)
+    return found.dropDuplicates(["sig"])
+
+
+def _word(key: str) -> Column:
+    return F.expr(f"CAST(shiftright({key}, 10) & {MAP_WORDS - 1} AS INT)")
+
+
+def _bits(key: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT)) | shiftleft(1L, CAST(shiftright({key}, 40) & 63 AS INT))")
+
+
+def bit_words(keys: DataFrame, key: str) -> DataFrame:
+    """A bit map of hashed keys, as its words that are not zero; at most MAP_WORDS rows."""
+    return keys.select(_word(key).alias("word"), _bits(key).alias("bit")).groupBy("word").agg(
+        F.bit_or("bit").alias("bits"))
+
+
+def likely_in(frame: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose key is in ``keys``, and a few others, without a shuffle."""
+    marked = frame.withColumn("word", _word(key)).join(F.broadcast(bit_words(keys, key)), "word")
+    return marked.where(F.col("bits").bitwiseAND(_bits(key)) == _bits(key)).select(*frame.columns)
 
 
 def need(n: str, m: str) -> str:
@@ -195,12 +256,8 @@ def index_lists(first: DataFrame) -> DataFrame:
     """The entries of all lists with at least two sets, stored: shingle, sig, n, pos, length."""
     entries = first.select("sig", "n", F.posexplode("first").alias("pos", "shingle"))
     counts = durable(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
-    held = F.expr(f"CAST(shiftright(shingle, 10) & {MAP_WORDS - 1} AS INT)")
-    bit = F.expr("shiftleft(1L, CAST(shingle & 63 AS INT)) | shiftleft(1L, CAST(shiftright(shingle, 40) & 63 AS INT))")
-    words = counts.select(held.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     # Most shingles stand in one set only: a bit map of a fixed size keeps them from the shuffle.
-    few = entries.withColumn("word", held).join(F.broadcast(words), "word").where(
-        F.col("bits").bitwiseAND(bit) == bit).select("shingle", "sig", "n", "pos")
+    few = likely_in(entries, "shingle", counts)
     lists = few.join(counts, "shingle").groupBy("shingle", "sig").agg(
         F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("length").alias("length"))
     return durable(lists)
@@ -221,12 +278,34 @@ def met_by_blocks(entries: DataFrame, more: str = "TRUE") -> DataFrame:
     return joined.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def both_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs a, b with the sizes n, m and the number of elements that both columns have."""
+    left = sets.select(F.col("sig").alias("a"), "n", F.col(column).alias("s"))
+    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col(column).alias("t"))
+    return pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "n", "m", F.size(F.array_intersect("s", "t")).cast("long").alias("overlap"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
+
+
+def possible(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs that may link, stored, with n, m and the overlap of their first elements.
+
+    The last of the first elements of one set comes before that of the other. What both
+    have up to there is counted; behind it the set has too few elements for more.
+    """
+    few = likely_in(first, "sig", ends_of(pairs)).dropDuplicates(["sig"])
+    counted = both_sets(pairs, few, "first")
+    behind = "greatest(CAST(floor((3 * n + 3) / 4) AS BIGINT), CAST(floor((3 * m + 3) / 4) AS BIGINT)) - 1"
+    return durable(counted.where(f"overlap + {behind} >= {need('n', 'm')}"))
+
+
+def overlaps(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
     """The pairs with the sizes n, m and the exact overlap of their sets, stored."""
-    left = sets.select(F.col("sig").alias("a"), "n", F.col("shingles").alias("s")).dropDuplicates(["a"])
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t")).dropDuplicates(["b"])
-    both = pairs.join(left, "a").join(right, "b")
-    return durable(both.select("a", "b", "n", "m", F.size(F.array_intersect("s", "t")).cast("long").alias("overlap")))
+    pairs = pairs.select("a", "b")
+    return durable(both_sets(pairs, whole_sets(df, text_col, ends_of(pairs)), "shingles"))
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -255,27 +334,24 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     All links between sets in different components of the first round are met, so the
     components of the result are those of all links.
     """
-    lists = index_lists(durable(prefixes(df, text_col, last)))
+    first = durable(prefixes(df, text_col, last))
+    lists = index_lists(first)
     short, long_ = lists.where(F.col("length") <= SHORT_LIST), lists.where(F.col("length") > SHORT_LIST)
 
-    close = durable(met_by_blocks(short).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
-    either = close.select("a", "b", "shared").union(close.select("b", "a", "shared"))
-    best = either.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    close = possible(met_by_blocks(short).distinct(), first)
+    either = close.select("a", "b", "overlap").union(close.select("b", "a", "overlap"))
+    best = either.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("best")).select(
+        F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
 
     rank = F.xxhash64("sig", "shingle")
     lowest = long_.groupBy("shingle").agg(F.min(rank).alias("lowest"))
-    ranked = long_.join(lowest, "shingle")
-    leaders = durable(ranked.where(rank == F.col("lowest")).select("shingle", "sig", "n", "pos"))
+    leaders = durable(long_.join(lowest, "shingle").where(rank == F.col("lowest")).select("shingle", "sig", "n", "pos"))
     led = long_.alias("x").join(leaders.alias("y"), F.expr(
         f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')}")).select(
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
-    first = durable(best.union(led).distinct())
-
-    compared = first.select(F.col("a").alias("sig")).union(first.select("b")).union(
-        close.select("a")).union(close.select("b")).union(long_.select("sig"))
-    sets = whole_sets(df, text_col, compared)
-    known = overlaps(first, sets)
+    led = possible(led.distinct(), first)
+    met = durable(best.union(led.select("a", "b")).distinct())
+    known = overlaps(df, text_col, met)
     roots = durable(components(linked(known)))
 
     def with_root(frame: DataFrame, key: str, name: str) -> DataFrame:
@@ -286,15 +362,12 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     rooted = durable(with_root(long_, "sig", "root"))
     open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
     far = met_by_blocks(rooted.join(open_.select("shingle"), "shingle", "left_semi"), "x.root <> y.root")
-    rest = apart.union(far).distinct().join(first, ["a", "b"], "left_anti")
-    sizes = sets.select("sig", "n").distinct()
-    rest = rest.join(sizes.select(F.col("sig").alias("a"), "n"), "a").join(
-        sizes.select(F.col("sig").alias("b"), F.col("n").alias("m")), "b")
-    derived = durable(answered(rest, known))
+    rest = possible(apart.union(far).distinct().join(met, ["a", "b"], "left_anti"), first)
+    derived = durable(answered(rest.select("a", "b", "n", "m"), known))
     wanted = need("n", "m")
     by_bound = derived.where(f"least >= {wanted}").select("a", "b")
-    unclear = derived.where(f"coalesce(least < {wanted} AND most >= {wanted}, TRUE)").select("a", "b")
-    checked = overlaps(unclear, sets)
+    unclear = derived.where(f"coalesce(least < {wanted} AND most >= {wanted}, TRUE)")
+    checked = overlaps(df, text_col, unclear)
     return durable(linked(known).union(by_bound).union(linked(checked)))
 
 
@@ -328,9 +401,8 @@ def set_number(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = word_hashes()
         for batch in batches:
-            sets = (shingle_set(t, hashes) for t in batch)
+            sets = shingle_sets(batch)
             yield pd.Series(pd.array([signature(s) if len(s) else None for s in sets], "Int64"))
 
     return number(text)

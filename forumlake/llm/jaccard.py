@@ -14,7 +14,6 @@ the overlaps of its two sets with a third, which bound its own overlap from both
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from forumlake.llm.common import free_name, ship_package
 from forumlake.llm.components import components
+from forumlake.llm.words import hashed_words, shingles_of
 from forumlake.session import durable
 
 SHINGLE = 5
@@ -39,75 +39,25 @@ SHORT_LIST = 32
 #: Words of the bit map that tells which sets are compared (8 MB); false hits cost time only.
 MAP_WORDS = 1 << 20
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_LOT = 1 << 20
-
 # Bytes as they are counted: A to Z lower-cased, and one more so that none is zero.
 _LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], "uint64")
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, "uint64")
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _hashed(words: list[np.ndarray], width: int) -> np.ndarray:
-    """A hash of ``width`` word hashes in their order."""
-    out = np.full(len(words[0]), width, "uint64")
-    for word in words:
-        out = (out + word) * _STEP
-        out ^= out >> np.uint64(29)
-    out *= _MIX
-    return (out ^ out >> np.uint64(32)).view("int64")
-
-
 def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text; empty without words.
 
     A to Z are lower-cased and words are parted by ASCII white space. Fewer words than a
-    shingle has make one shingle of all. Texts are hashed in lots, as one row of bytes:
-    a word's hash is a difference of running sums of its bytes times powers of a number.
+    shingle has make one shingle of all.
     """
-    lot, size = [], 0
-    for text in texts:
-        lot.append(text.encode("utf-8", "surrogatepass") if text else b"")
-        size += len(lot[-1]) + 1
-        if size >= _LOT:
-            yield from _sets_of(lot, size)
-            lot, size = [], 0
-    if lot:
-        yield from _sets_of(lot, size)
-
-
-@functools.lru_cache(maxsize=1)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(n, int(_STEP)), _powers(n, pow(int(_STEP), -1, 1 << 64))
-
-
-def _sets_of(lot: list[bytes], size: int) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b"\n".join([*lot, b""]), "uint8")
-    up, down = _tables(max(2 * _LOT, 1 << (size - 1).bit_length()))
-    sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(_LOWER[data] * up[:size])])
-    gaps = _SPACE[data]
-    after = np.concatenate([[True], gaps[:-1]])
-    starts, ends = np.flatnonzero(~gaps & after), np.flatnonzero(gaps & ~after)
-    words = (sums[ends] - sums[starts]) * down[starts]
-    words ^= words >> np.uint64(31)
-    words = words * _MIX
-    text_ends = np.cumsum([len(t) + 1 for t in lot])
-    cuts = np.searchsorted(starts, np.concatenate([[0], text_ends]))
-    n = max(0, len(words) - SHINGLE + 1)
-    whole = _hashed([words[i : i + n] for i in range(SHINGLE)], SHINGLE) if n else np.zeros(0, "int64")
-    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-        count = last - first
-        if count >= SHINGLE:
-            yield np.unique(whole[first : last - SHINGLE + 1])
-        else:
-            own = [words[i : i + 1] for i in range(first, last)]
-            yield _hashed(own, int(count)) if count else np.zeros(0, "int64")
+    coded = (t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+    for words, cuts in hashed_words(coded, _SPACE, _LOWER):
+        whole = shingles_of(words, SHINGLE)
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            if last - first >= SHINGLE:
+                yield np.unique(whole[first : last - SHINGLE + 1])
+            else:
+                yield shingles_of(words[first:last], SHINGLE)
 
 
 def signature(shingles: np.ndarray) -> int:

@@ -14,6 +14,7 @@ the overlaps of its two sets with a third, which bound its own overlap from both
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,12 @@ FREQUENT = 32
 MOST_FREQUENT = 1_000_000
 #: Lists up to this length are met as a whole in the first round, longer ones by leaders.
 SHORT_LIST = 32
+#: Leaders of a long list, the smallest by as many hashes. More of them leave fewer sets of a
+#: large group of near copies for the second round.
+LEADERS = 8
+#: Bits of a set's sketch, which tells sets apart that differ too much. Sets of far more elements
+#: fill it, and are then compared without its help.
+SKETCH_BITS = 1024
 #: Words of the bit map that tells which sets are compared (8 MB); false hits cost time only.
 MAP_WORDS = 1 << 20
 
@@ -83,14 +90,13 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, size = [], 0
 
-        def repeated() -> pd.DataFrame:
+        def repeated() -> Iterator[pd.DataFrame]:
             found, n = np.unique(np.concatenate(waiting), return_counts=True)
-            found, n = found[n > 1], n[n > 1]
-            lots = range(0, len(found), 100_000)
-            return pd.DataFrame({
-                "doc_id": None, "n": None, "sig": None,
-                "shingles": [found[i : i + 100_000] for i in lots],
-                "counts": [n[i : i + 100_000].astype("int32") for i in lots]})
+            found, n = found[n > 1], n[n > 1].astype("int32")
+            for i in range(0, len(found), 100_000):
+                own = slice(i, i + 100_000)
+                yield pd.DataFrame({"doc_id": [None], "n": [None], "sig": [None],
+                                    "shingles": [found[own]], "counts": [n[own]]})
 
         for batch in batches:
             sets = list(shingle_sets(batch["text"]))
@@ -101,10 +107,10 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             waiting.extend(sets)
             size += sum(map(len, sets))
             if size > 3_000_000:
-                yield repeated()
+                yield from repeated()
                 waiting, size = [], 0
         if waiting:
-            yield repeated()
+            yield from repeated()
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = durable(texts.mapInPandas(read, SET_COLUMNS))
@@ -117,7 +123,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
-    """sig, n and the first shingles of each set, rarest first; once per set and task."""
+    """sig, n, the first shingles, rarest first, and the sketch of each set; once per set and task."""
     shared = df.sparkSession.sparkContext.broadcast(last)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,11 +138,20 @@ def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(last, shingles), max(0, len(last) - 1))
                 late = last[at] == shingles if len(last) else np.zeros(len(shingles), bool)
                 ordered = np.concatenate([shingles[~late], shingles[late]])
-                rows.append((sig, len(shingles), ordered[: prefix_length(len(shingles))]))
-            yield pd.DataFrame(rows, columns=["sig", "n", "first"])
+                rows.append((sig, len(shingles), ordered[: prefix_length(len(shingles))], sketch(shingles)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["sig", "n", "first", "sketch"])
 
     return df.select(F.col(text_col).alias("text")).mapInPandas(
-        read, "sig long, n long, first array<long>")
+        read, "sig long, n long, first array<long>, sketch array<long>")
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits of which each shingle sets one, as longs. A bit that only one of two sets
+    has stands for at least one element that only this set has."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[shingles >> 20 & SKETCH_BITS - 1] = True
+    return np.packbits(bits).view("int64")
 
 
 def whole_sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -163,7 +178,8 @@ def whole_sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if int(table[sig >> 10 & MAP_WORDS - 1]) & bits & (1 << 64) - 1 == bits:
                     seen.add(sig)
                     rows.append((sig, len(shingles), shingles))
-            yield pd.DataFrame(rows, columns=["sig", "n", "shingles"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["sig", "n", "shingles"])
 
     found = df.select(F.col(text_col).alias("text")).mapInPandas(read, "sig long, n long, shingles array<long>")
     return found.dropDuplicates(["sig"])
@@ -198,6 +214,12 @@ def fits(a: str, b: str) -> str:
     return (f"{a}.pos <= {a}.n - {need(f'{a}.n', f'{b}.n')} AND {b}.pos <= {b}.n - {need(f'{a}.n', f'{b}.n')}")
 
 
+def can_differ(a: str, b: str) -> str:
+    """Whether the sketch of a lacks no more of b's bits than the needed overlap leaves."""
+    only = f"zip_with({a}.sketch, {b}.sketch, (p, q) -> CAST(bit_count(p & ~q) AS BIGINT))"
+    return f"aggregate({only}, 0L, (s, v) -> s + v) <= {a}.n - {need(f'{a}.n', f'{b}.n')}"
+
+
 def band(n: str) -> str:
     return f"CAST(floor(ln({n}) / ln(4 / 3D)) AS INT)"
 
@@ -286,18 +308,22 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     """
     first = durable(prefixes(df, text_col, last))
     lists = index_lists(first)
-    short, long_ = lists.where(F.col("length") <= SHORT_LIST), lists.where(F.col("length") > SHORT_LIST)
+    short = lists.where(F.col("length") <= SHORT_LIST)
+    sketches = first.select("sig", "sketch").dropDuplicates(["sig"])
+    long_ = durable(lists.where(F.col("length") > SHORT_LIST).join(sketches, "sig"))
+    alike = f"{can_differ('x', 'y')} AND {can_differ('y', 'x')}"
 
     close = possible(met_by_blocks(short).distinct(), first)
     either = close.select("a", "b", "overlap").union(close.select("b", "a", "overlap"))
     best = either.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("best")).select(
         F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
 
-    rank = F.xxhash64("sig", "shingle")
-    lowest = long_.groupBy("shingle").agg(F.min(rank).alias("lowest"))
-    leaders = durable(long_.join(lowest, "shingle").where(rank == F.col("lowest")).select("shingle", "sig", "n", "pos"))
+    ranks = [F.xxhash64("sig", "shingle", F.lit(i)) for i in range(LEADERS)]
+    lowest = long_.groupBy("shingle").agg(*[F.min(r).alias(f"lowest{i}") for i, r in enumerate(ranks)])
+    leads = functools.reduce(Column.__or__, [r == F.col(f"lowest{i}") for i, r in enumerate(ranks)])
+    leaders = durable(long_.join(lowest, "shingle").where(leads).select("shingle", "sig", "n", "pos", "sketch"))
     led = long_.alias("x").join(leaders.alias("y"), F.expr(
-        f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')}")).select(
+        f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')} AND {alike}")).select(
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
     led = possible(led.distinct(), first)
     met = durable(best.union(led.select("a", "b")).distinct())
@@ -311,7 +337,8 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     apart = with_root(with_root(close.select("a", "b"), "a", "r"), "b", "q").where("r <> q").select("a", "b")
     rooted = durable(with_root(long_, "sig", "root"))
     open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
-    far = met_by_blocks(rooted.join(open_.select("shingle"), "shingle", "left_semi"), "x.root <> y.root")
+    entries = rooted.join(open_.select("shingle"), "shingle", "left_semi")
+    far = met_by_blocks(entries, f"x.root <> y.root AND {alike}")
     rest = possible(apart.union(far).distinct().join(met, ["a", "b"], "left_anti"), first)
     derived = durable(answered(rest.select("a", "b", "n", "m"), known))
     wanted = need("n", "m")
@@ -365,15 +392,27 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them. Rows without words all stay.
     """
     groups = near_duplicate_groups(df, id_col, text_col)
-    sig, key = free_name(df.columns, "set_number"), free_name(df.columns, "set_key")
+    sig, key, word, bits, likely, copy = (free_name(df.columns, n) for n in (
+        "set_number", "set_key", "set_word", "set_bits", "set_likely", "set_held"))
 
     def keyed(i: Column, s: Column) -> Column:
         return F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), s.cast("string"))
 
+    # Most rows stand alone. A bit map of those that do not keeps their texts from the shuffle.
+    groups = durable(groups)
     one = groups.where("sig IS NOT NULL").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig")).alias("one"))
-    stay = one.select(keyed(F.col("one.doc_id"), F.col("one.sig")).alias(key))
-    rows = df.withColumn(sig, set_number(F.col(text_col)))
-    rows = rows.withColumn(key, keyed(F.col(id_col).cast("long"), F.col(sig)))
-    with_words = rows.where(F.col(sig).isNotNull()).join(durable(stay), key, "left_semi").dropDuplicates([key])
-    return with_words.select(*df.columns).union(rows.where(F.col(sig).isNull()).select(*df.columns))
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig")).alias("one"),
+        F.count(F.lit(1)).alias("rows"))
+    several = durable(one.where("rows > 1"))
+    stay = several.select(keyed(F.col("one.doc_id"), F.col("one.sig")).alias(key))
+    held = durable(groups.join(several.select("root"), "root", "left_semi").select(F.col("sig").alias(sig)).distinct())
+    words = bit_words(held, sig).select(F.col("word").alias(word), F.col("bits").alias(bits))
+    rows = df.withColumn(sig, set_number(F.col(text_col))).withColumn(word, _word(sig))
+    rows = rows.join(F.broadcast(words), word, "left").withColumn(
+        likely, F.coalesce(F.col(bits).bitwiseAND(_bits(sig)) == _bits(sig), F.lit(False)))
+    alone = rows.where(~F.col(likely)).select(*df.columns)
+    rows = rows.where(likely).withColumn(key, keyed(F.col(id_col).cast("long"), F.col(sig)))
+    rows = rows.join(held.withColumn(word, F.lit(1)).select(F.col(sig), F.col(word).alias(copy)), sig, "left")
+    false_hits = rows.where(F.col(copy).isNull()).select(*df.columns)
+    together = rows.where(F.col(copy).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
+    return alone.union(false_hits).union(together.select(*df.columns))

@@ -204,6 +204,10 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Col
     fit = (usable & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
            & (F.length(text_col) <= SAMPLE_CHARS))
     rows = df.where(fit).select(F.col(lang_col).alias("lang"), fold.alias("later"), pick.alias("pick"))
+    # Ranked in 64 parts first, so that few rows of a frequent language meet in one task.
+    part = Window.partitionBy("lang", "later", F.pmod("pick", F.lit(64))).orderBy("pick")
+    rows = rows.withColumn("rank", F.row_number().over(part)).where(
+        F.col("rank") <= max(TRAIN_DOCS, CALIBRATION_DOCS))
     order = Window.partitionBy("lang", "later").orderBy("pick")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= F.when(F.col("later"), CALIBRATION_DOCS).otherwise(TRAIN_DOCS)
@@ -290,7 +294,7 @@ def judge(totals: np.ndarray, chars: np.ndarray, n_words: np.ndarray, model: Mod
     return best, score, lowest <= model.limit[best] + STANDARD_ERRORS * error
 
 
-def language_columns(df: DataFrame, model: Model, text_col: str = "text"):
+def language_columns(df: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column of structs: lang, score, entropy, accepted.
 
     The language is the one with the lowest cross-entropy per character. A null text, or one
@@ -306,7 +310,7 @@ def language_columns(df: DataFrame, model: Model, text_col: str = "text"):
         for batch in batches:
             langs, scores, entropies, accepted = [], [], [], []
             for part in in_lots(batch):
-                words = [words_of(t) if t else [] for t in part]
+                words = [words_of(t) if t and model.languages else [] for t in part]
                 totals, chars = scorer(words)
                 n = np.array([len(w) for w in words])
                 with_words = n > 0 if model.languages else np.zeros(len(n), bool)

@@ -41,7 +41,17 @@ def analysis_document(category, reference_id, llm, analysis) -> Column:
 
 
 def is_json(text) -> Column:
-    return F.try_parse_json(_col(text)).isNotNull()
+    """Whether the whole text is one JSON value; null is not.
+
+    The parser stops behind a value, so the text is tried as the only element of an array
+    and as a field: what trails a value breaks one of them. Repeated keys of an object
+    count as valid where ``spark.sql.variant.allowDuplicateKeys`` is set, as
+    ``build_session`` does.
+    """
+    line = _col(text)
+    element = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).cast("array<variant>")
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
+    return F.coalesce((F.size(element) == 1) & field.isNotNull(), F.lit(False))
 
 
 def parsed_documents(documents, schema: str) -> Column:

@@ -128,17 +128,14 @@ def append_ignore(
 
 
 def update_by_key(
-    target: DataFrame, updates: DataFrame, key: str, column: str, order=None
+    target: DataFrame, updates: DataFrame, key: str, column: str, order
 ) -> DataFrame:
-    """Set ``column`` by key. With ``order`` the last of several updates of a key holds;
+    """Set ``column`` by key. The last by ``order`` of several updates of a key holds;
     updates of unknown keys do nothing."""
-    if order is None:
-        new = updates.groupBy(F.col(key).alias("_k")).agg(F.max(column).alias("_new"))
-    else:
-        by = _order(order)
-        new = updates.groupBy(F.col(key).alias("_k")).agg(
-            F.max_by(column, by[0] if len(by) == 1 else F.struct(*by)).alias("_new")
-        )
+    by = _order(order)
+    new = updates.groupBy(F.col(key).alias("_k")).agg(
+        F.max_by(column, by[0] if len(by) == 1 else F.struct(*by)).alias("_new")
+    )
     kind = target.schema[column].dataType
     return (
         target.join(new, F.col(key) == F.col("_k"), "left")

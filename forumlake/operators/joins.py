@@ -101,8 +101,12 @@ def subtract_distinct(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def with_model(rows: DataFrame, name: str, models: DataFrame) -> DataFrame:
-    """Join the model inventory by full name; rows of unknown models are dropped."""
-    inventory = models.withColumnRenamed("name", "model_name")
+    """Join the model inventory by full name; rows of unknown models are dropped. Of several
+    inventory rows with a name one counts, the first by its values."""
+    named = models.withColumnRenamed("name", "model_name")
+    row = F.struct(*named.columns)
+    inventory = named.groupBy("model_name").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    inventory = inventory.select("_row.*")
     return rows.join(
         broadcast_if_small(inventory), full_model_name(name) == F.col("model_name"), "inner"
     )

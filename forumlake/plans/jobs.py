@@ -41,7 +41,8 @@ def collect(
     comment records. The moderation bot's rows are kept here; the purge removes them."""
 
     def put(name: str, rows: DataFrame, order: Sequence) -> None:
-        dml.append_ignore(spark, f"{base}/{name}", rows, UNIQUE_KEYS[name], order)
+        whole = F.md5(F.to_json(F.struct(*rows.columns)))  # rows that tie on it are equal
+        dml.append_ignore(spark, f"{base}/{name}", rows, UNIQUE_KEYS[name], [*order, whole])
 
     if posts is not None:
         put("posts", feeds.post_rows(posts), ["post_created_utc", F.md5("post_body")])
@@ -114,10 +115,13 @@ def purge(spark: SparkSession, base: str, out: str) -> None:
         dml.purge_bot(table, author).write.mode("errorifexists").parquet(f"{out}/{name}")
 
 
-def refresh_upvotes(spark: SparkSession, base: str, updates: DataFrame, out: str) -> None:
-    """Posts with new upvote counts (post_id, post_upvote_count) as a new table."""
+def refresh_upvotes(
+    spark: SparkSession, base: str, updates: DataFrame, out: str, order: Sequence
+) -> None:
+    """Posts with new upvote counts (post_id, post_upvote_count) as a new table. Of several
+    counts of a post the last by ``order`` holds."""
     posts = _table(spark, base, "posts")
-    dml.update_by_key(posts, updates, "post_id", "post_upvote_count").write.mode(
+    dml.update_by_key(posts, updates, "post_id", "post_upvote_count", order).write.mode(
         "errorifexists").parquet(f"{out}/posts")
 
 

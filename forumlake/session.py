@@ -19,6 +19,7 @@ def build_session(app_name: str = "forumlake", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})

@@ -170,6 +170,10 @@ def test_json_fields(spark):
     for key, expected in {"a": None, "n": "12", "t": "x", "missing": None, "o.k": "true"}.items():
         assert one(spark, docs.field("d", key), d=d) == expected
     assert one(spark, docs.is_json("d"), d="{bad json") is False
+    for bad in ('{"a":1} x', "", " ", "1, 2", "1], [2", '1,"w":2', "[1", "{'a':1}"):
+        assert one(spark, docs.is_json("d"), d=bad) is False, bad
+    for good in ('{"a":1,"a":2}', ' {"a":1} ', "null", "[]", "1", '"x"', '[{"a":[1,2]}]'):
+        assert one(spark, docs.is_json("d"), d=good) is True, good
     assert one(spark, docs.is_json("d"), d=d) is True
     made = one(spark, docs.to_document(F.lit("x").alias("a"), F.lit(None).cast("string").alias("b")))
     assert made == '{"a":"x","b":null}'

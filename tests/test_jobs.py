@@ -91,3 +91,17 @@ def test_from_feed_to_documents(spark, tmp_path, rows):
     jobs.purge(spark, base, out)
     assert rows(spark.read.parquet(out + "/posts"), "post_id") == [("p1",), ("p2",), ("p3",)]
     assert rows(jobs.subscribe_new(spark, base, now)) == [("1706745600", "s")]
+
+
+def test_refresh_takes_the_last_count(spark, tmp_path):
+    from forumlake.schemas import TABLES
+
+    base, out = str(tmp_path / "base"), str(tmp_path / "out")
+    posts = spark.createDataFrame([], TABLES["posts"])
+    names = ["post_id", "post_upvote_count"]
+    rows = spark.createDataFrame([("a", 500), ("b", 5)], "post_id string, post_upvote_count int")
+    posts.unionByName(rows, allowMissingColumns=True).write.parquet(f"{base}/posts")
+    updates = spark.createDataFrame([("a", 400, 1), ("a", 300, 2)], "post_id string, post_upvote_count int, at int")
+    jobs.refresh_upvotes(spark, base, updates, out, ["at"])
+    got = spark.read.parquet(f"{out}/posts").select(*names).collect()
+    assert sorted(map(tuple, got)) == [("a", 300), ("b", 5)]

@@ -268,6 +268,12 @@ def test_update_by_key(spark, rows):
     assert rows(got) == [("a", 4), ("b", 7), ("c", 3)]
 
 
+def test_model_inventory_with_a_name_twice(spark):
+    rows = spark.createDataFrame([("m:1",)], "llm string")
+    models = spark.createDataFrame([("m:1", 2), ("m:1", 1), ("n:1", 3)], "name string, size int")
+    assert [r["size"] for r in joins.with_model(rows, "llm", models).collect()] == [1]
+
+
 def test_snapshot_export_refuses_to_overwrite(spark, tmp_path):
     tables = {"t": spark.range(5)}
     folder = dml.export_snapshot(tables, str(tmp_path), 1704067200)

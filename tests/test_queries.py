@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
     cursor = duck.execute(oracle_sql()[name])

@@ -268,6 +268,7 @@ def possible(pairs: DataFrame, first: DataFrame) -> DataFrame:
     The last of the first elements of one set comes before that of the other. What both
     have up to there is counted; behind it the set has too few elements for more.
     """
+    pairs = durable(pairs.select("a", "b"))  # read three times below
     few = likely_in(first, "sig", ends_of(pairs)).dropDuplicates(["sig"])
     counted = both_sets(pairs, few, "first")
     behind = "greatest(CAST(floor((3 * n + 3) / 4) AS BIGINT), CAST(floor((3 * m + 3) / 4) AS BIGINT)) - 1"

@@ -286,19 +286,28 @@ def linked(pairs: DataFrame) -> DataFrame:
 
 
 def answered(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, m) with the bounds that the known overlaps with a third set give.
+    """Pairs (a, b, n, m) with the bounds that known overlaps with a third set give.
 
+    The third set is the one most similar to a, or to b, among those that it was checked
+    against; so each pair is looked up twice, however many known overlaps a set has.
     If z shares x with a and y with b, a and b share at least x + y - |z| of z, and at most
     the smaller of x and y, and outside of z the smaller of what a and b have left.
     """
-    facts = known.select("a", "b", "n", "m", "overlap").union(
-        known.select("b", "a", "m", "n", "overlap"))
-    of_a = facts.select("a", F.col("b").alias("z"), F.col("m").alias("size"), F.col("overlap").alias("x"))
-    of_b = facts.select(F.col("a").alias("b"), F.col("b").alias("z"), F.col("overlap").alias("y"))
-    bounds = pairs.join(of_a, "a").join(of_b, ["b", "z"]).groupBy("a", "b").agg(
-        F.max(F.expr("x + y - size")).alias("least"),
-        F.min(F.expr("least(x, y) + least(n - x, m - y)")).alias("most"))
-    return pairs.join(bounds, ["a", "b"], "left")
+    facts = known.select("a", F.col("b").alias("z"), F.col("m").alias("size"), "n", F.col("overlap").alias("x")).union(
+        known.select("b", "a", "n", "m", "overlap"))
+    alike = (F.col("x") / (F.col("n") + F.col("size") - F.col("x"))).alias("alike")
+    nearest = facts.groupBy("a").agg(F.max(F.struct(alike, "z", "size", "x")).alias("third")).select("a", "third.*")
+    others = facts.select(F.col("a").alias("b"), "z", F.col("x").alias("y"))
+
+    def bounds(pairs: DataFrame) -> DataFrame:
+        return pairs.join(nearest, "a").join(others, ["b", "z"]).select(
+            "a", "b", F.expr("x + y - size").alias("least"),
+            F.expr("least(x, y) + least(n - x, m - y)").alias("most"))
+
+    turned = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
+    both = bounds(pairs).union(bounds(turned).select("b", "a", "least", "most"))
+    found = both.groupBy("a", "b").agg(F.max("least").alias("least"), F.min("most").alias("most"))
+    return pairs.join(found, ["a", "b"], "left")
 
 
 def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:

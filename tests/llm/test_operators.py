@@ -92,6 +92,19 @@ def test_jaccard_long_lists(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_jaccard_bounds_hold_the_overlap(spark):
+    rng = np.random.default_rng(4)
+    sets = [set(rng.choice(14, rng.integers(3, 12), replace=False).tolist()) for _ in range(24)]
+    facts = [(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in range(24) for b in range(a + 1, 24)]
+    known = spark.createDataFrame(facts[::3], "a long, b long, n long, m long, overlap long")
+    pairs = spark.createDataFrame([f[:4] for i, f in enumerate(facts) if i % 3], "a long, b long, n long, m long")
+    rows = jaccard.answered(pairs, known).collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == pairs.count()
+    told = [r for r in rows if r["least"] is not None]
+    assert told and all(r["least"] <= len(sets[r["a"]] & sets[r["b"]]) <= r["most"] for r in told)
+    assert all(r["least"] is None for r in jaccard.answered(pairs, known.limit(0)).collect())
+
+
 def test_jaccard_odd_rows(odd):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_groups(odd).collect()), key=repr)
     assert got == sorted([(1, 2, 1), (None, 2, 1), (3, 0, 3), (None, 0, None), (1, 2, 1), (7, 0, 7), (8, 1, 8), (9, 1, 9), (10, 1, 10)], key=repr)

@@ -335,8 +335,8 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     led = long_.alias("x").join(leaders.alias("y"), F.expr(
         f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')} AND {alike}")).select(
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
-    led = possible(led.distinct(), first)
-    met = durable(best.union(led.select("a", "b")).distinct())
+    # The sketches leave few that their first elements could still rule out.
+    met = durable(best.union(led).distinct())
     known = overlaps(df, text_col, met)
     roots = durable(components(linked(known)))
 

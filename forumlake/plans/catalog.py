@@ -337,7 +337,7 @@ def _(t):
 
 
 @query("bundle_groups", _DOC_VIEWS, f"""WITH {_PAGES.strip()}
-SELECT subreddit, piece, comment_bodies, max(post) AS post, count(*) AS posts FROM pages
+SELECT subreddit, comment_bodies, max(post) AS post, count(*) AS posts FROM pages
 GROUP BY ALL
 """)
 def _(t):

@@ -121,8 +121,15 @@ def post_bundle(
 
 
 def bundle_groups(found: DataFrame) -> DataFrame:
-    """Bundles of one subreddit that carry the same comments, as one row: the array of
-    bodies is part of the group key, the largest post text stands for the group."""
-    return found.groupBy("subreddit", "piece", "comment_bodies").agg(
+    """Posts of one subreddit that carry the same comments, as one row: the array of
+    bodies is part of the group key, the largest post text stands for the group.
+
+    Where ``bundles`` cut a post, its pieces are put together first, so that the place of
+    the cuts does not matter."""
+    in_order = F.sort_array(F.collect_list(F.struct("piece", "comment_bodies")))
+    whole = found.groupBy("post_id", "subreddit", "post").agg(
+        F.flatten(F.transform(in_order, lambda p: p["comment_bodies"])).alias("comment_bodies")
+    )
+    return whole.groupBy("subreddit", "comment_bodies").agg(
         F.max("post").alias("post"), F.count(F.lit(1)).alias("posts")
     )

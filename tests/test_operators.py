@@ -370,6 +370,21 @@ def test_bundle_in_pieces_loses_nothing(spark):
     assert cut[0]["analysis_docs"] == whole[0]["analysis_docs"]
 
 
+def test_bundle_groups_do_not_depend_on_the_cuts(spark, rows):
+    """Two posts with the same comments, one with 6 documents and one with 1."""
+    posts = spark.createDataFrame([(p, "sub", p, "body") for p in ("p", "q", "r")],
+                                  "post_id string, subreddit string, post_title string, post_body string")
+    comments = spark.createDataFrame(
+        [(p, i, f"{p}{i:02d}", None if i == 4 else f"text {i}") for p in ("p", "q", "r") for i in range(9 + (p == "r"))],
+        "post_id string, comment_created_utc int, comment_id string, comment_body string")
+    documents = spark.createDataFrame(
+        [(i, f'{{"reference_id":"{"pqr"[max(0, i - 5)]}"}}') for i in range(8)],
+        "id int, analysis_document string")
+    got = {size: service.bundle_groups(service.bundles(posts, comments, documents, size=size)) for size in (1000, 8)}
+    assert sorted(r["posts"] for r in got[1000].collect()) == [1, 2]
+    assert rows(got[8]) == rows(got[1000])
+
+
 def test_top_k_per_group(spark, rows):
     df = spark.range(100).selectExpr("id % 3 AS k", "id")
     got = top.top_k_per_group(df, ["k"], 2, F.desc("id"))

@@ -25,8 +25,13 @@ def _folder(path: str, batch_id: int) -> str:
 
 
 def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left; only the first batch has none."""
+    if batch_id == 0:
+        return None
     folder = _folder(path, batch_id - 1)
-    return spark.read.parquet(folder) if path_exists(spark, folder) else None
+    if not path_exists(spark, folder):
+        raise FileNotFoundError(f"state of the batch before {batch_id} is gone: {folder}")
+    return spark.read.parquet(folder)
 
 
 def _drop_old(spark: SparkSession, path: str, batch_id: int) -> None:

@@ -79,6 +79,13 @@ def test_restart_goes_on_from_the_state(spark, landing, tmp_path, rows):
     assert rows(spark.read.parquet(out + "/rows").select("id", "allowed")) == rows(expected)
 
 
+def test_lost_state_is_an_error(spark, tmp_path):
+    """Counters must not start again at zero when the state of the batch before is gone."""
+    assert state._previous(spark, str(tmp_path / "none"), 0) is None
+    with pytest.raises(FileNotFoundError, match="batch=2"):
+        state._previous(spark, str(tmp_path / "none"), 3)
+
+
 def test_feed_adds_unseen_posts_only(spark, tmp_path, rows):
     landing = tmp_path / "feed"
     landing.mkdir()

@@ -30,7 +30,8 @@ TRAIN_PAGES = 1_000
 TREES, DEPTH = 12, 4
 
 # Elements of HTML by the way they are treated.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "object")
+RAW = {"script", "style", "textarea", "title"}
+HIDDEN = {"noscript", "template", "iframe", "svg", "select", "button", "object"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
@@ -51,9 +52,11 @@ TOKEN_BUCKETS = 8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b[^>]*(?:>.*?(?:</(?P=raw)[^>]*(?:>|\Z)|\Z)|\Z)"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
+# A slash at the end of an unquoted value belongs to the value.
+UNQUOTED_END = re.compile(r"""=\s*[^\s"']+/\Z""")
 CLASSES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -74,13 +77,17 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The nodes of a page in page order, the root first; leaves have the tag ``text``.
 
-    Comments, scripts and other raw elements are left out; a paragraph, list item or cell
-    ends where the next one or an outer element does; a tag that the page's end cuts off
-    is not text.
+    Comments, scripts and other raw elements are left out, and buttons, drawings and other
+    hidden elements with all in them, if their own end tag or a slash closes them. One that
+    is never closed is a node like others, so what stands behind it is not lost; so is a
+    title or text area. A paragraph, list item or cell ends where the next one or an outer
+    element does; a tag that the page's end cuts off is not text.
     """
     root = Node("root", (), None)
     nodes, stack, links, at = [root], [root], 0, 0
     leaf: Node | None = None
+    hidden: dict[int, tuple] = {}  # where an open hidden element began, and the leaf and links around it
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def add_text(raw: str) -> None:
         nonlocal leaf
@@ -94,7 +101,7 @@ def parse(page: str) -> list[Node]:
         if links:
             leaf.linked += len(raw)
 
-    for found in TOKEN.finditer(page):
+    while found := TOKEN.search(page, at):
         if found.start() > at:
             add_text(page[at : found.start()])
         at = found.end()
@@ -102,6 +109,31 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag, closing = tag.lower(), found["close"]
+        empty = not closing and found["attrs"].endswith("/") and not UNQUOTED_END.search(found["attrs"])
+        if tag in RAW and not closing:
+            if empty:
+                continue
+            end = None if tag in endless else RAW_END[tag].search(page, at)
+            if end or tag in ("script", "style"):
+                at = end.end() if end else len(page)
+                continue
+            endless.add(tag)
+        if tag in HIDDEN:
+            if closing:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        first, leaf, links = hidden[id(stack[i])]
+                        del nodes[first:], stack[i:]
+                        stack[-1].children.pop()
+                        break
+            elif not empty:
+                node = Node(tag, (), stack[-1])
+                hidden[id(node)] = len(nodes), leaf, links
+                leaf, links = None, 0
+                stack[-1].children.append(node)
+                nodes.append(node)
+                stack.append(node)
+            continue
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else 1
@@ -123,7 +155,7 @@ def parse(page: str) -> list[Node]:
             stack.pop()
         if tag in CLOSED_BY:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in HOLDERS:
+                if stack[i].tag in HOLDERS or stack[i].tag in HIDDEN:
                     break
                 if stack[i].tag in ends:
                     del stack[i:]

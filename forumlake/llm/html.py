@@ -40,7 +40,7 @@ CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
              "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P_OPEN = INLINE | EMPTY
 HOLDERS = {"ul", "ol", "table", "dl", "body", "html", "article", "main", "section", "div"}
-# Elements and attribute tokens that are never main text, wherever a page has them.
+# Elements and attribute tokens that seldom are main text. The trees are told of them; see forbidden().
 NEVER = {"nav", "footer", "aside", "form", "menu", "dialog"}
 NEVER_TOKENS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
                 "cookie", "cookies", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "notice",
@@ -48,7 +48,10 @@ NEVER_TOKENS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb",
                 "widget"}
 TAGS = ("p", "h", "li", "ul", "div", "article", "section", "main", "nav", "footer", "header", "aside", "body",
         "td", "table", "form", "blockquote", "pre", "text")
+MAIN = {"article", "main"}
 TOKEN_BUCKETS = 8
+#: A name of which all elements together hold more of a page's text forbids none of them.
+MOST_FORBIDDEN = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,10 +64,14 @@ CLASSES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "depth", "parts", "linked", "children", "size", "links", "tags", "last")
-
-    def __init__(self, tag: str, tokens: tuple, parent: Node | None):
-        self.tag, self.tokens, self.parent = tag, tokens, parent
+    __slots__ = ("tag", "tokens", "names", "parent", "depth", "parts", "linked", "children", "size", "links", "tags",
+                 "last", "inside", "holds")
+
+    def __init__(self, tag: str, tokens: tuple, parent: Node | None, names: tuple = ()):
+        self.tag, self.tokens, self.parent, self.names = tag, tokens, parent, names
+        # Whether it is in an article, and whether it holds one, or is one or the body.
+        self.inside = parent is not None and (parent.inside or parent.tag in MAIN)
+        self.holds = tag in MAIN or tag in ("body", "html", "root")
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list[str] = []
         self.children: list[Node] = []
@@ -160,11 +167,11 @@ def parse(page: str) -> list[Node]:
                 if stack[i].tag in ends:
                     del stack[i:]
                     break
-        tokens = ()
+        tokens = names = ()
         if found["attrs"] and "=" in found["attrs"]:
-            values = " ".join(a or b or c for a, b, c in CLASSES.findall(found["attrs"]))
-            tokens = tuple(t for t in re.split(r"[^a-z0-9]+", values.lower()) if t)
-        node = Node(tag, tokens, stack[-1])
+            names = tuple((a or b or c).lower().strip() for a, b, c in CLASSES.findall(found["attrs"]))
+            tokens = tuple(t for t in re.split(r"[^a-z0-9]+", " ".join(names)) if t)
+        node = Node(tag, tokens, stack[-1], names)
         stack[-1].children.append(node)
         nodes.append(node)
         stack.append(node)
@@ -176,26 +183,35 @@ def parse(page: str) -> list[Node]:
             node.size, node.links = sum(map(len, node.parts)), node.linked
         else:
             for child in node.children:
+                node.holds = node.holds or child.holds
                 node.size += child.size
                 node.links += child.links
                 node.tags += child.tags + (child.tag != "text")
     return nodes
 
 
-def never(node: Node) -> bool:
-    return node.tag in NEVER or node.tag == "header" and not inside_article(node) or any(
-        t in NEVER_TOKENS for t in node.tokens)
+def named(node: Node) -> list[str]:
+    """The names that say as a whole that a node is not main text: its element, class, id or role."""
+    own = [n for n in node.names if n in NEVER_TOKENS]
+    return [*own, node.tag] if node.tag in NEVER or node.tag == "header" and not node.inside else own
 
 
-def inside_article(node: Node | None) -> bool:
-    while node:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+def forbidden(nodes: list[Node]) -> list[bool]:
+    """Whether a node is never main text, whatever the trees say.
 
+    It is so by a whole name only, never if the node holds an article or the body, and not if the
+    page has more text under that name than elsewhere. All else is left to the trees.
+    """
+    whole: dict[str, int] = {}
+    for node in nodes:
+        for name in named(node):
+            whole[name] = whole.get(name, 0) + node.size
+    most = MOST_FORBIDDEN * nodes[0].size
+    return [not node.holds and any(whole[name] <= most for name in named(node)) for node in nodes]
 
-FEATURES = 2 * len(TAGS) + TOKEN_BUCKETS + 13
+
+_TOKEN_AT = {t: i for i, t in enumerate(sorted(NEVER_TOKENS))}
+FEATURES = 2 * len(TAGS) + TOKEN_BUCKETS + 13 + len(_TOKEN_AT) + 4
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
 
@@ -207,13 +223,24 @@ def kind_of(tag: str) -> int:
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row per node: its element and its parent's, attribute tokens, depth, size, densities,
-    and how it stands among its siblings."""
+    how it stands among its siblings, and to articles and to what seldom is main text above it."""
     out = np.zeros((len(nodes), FEATURES), "float32")
     base = 2 * len(TAGS) + TOKEN_BUCKETS
     whole = max(1, nodes[0].size)
     index = {id(n): i for i, n in enumerate(nodes)}
+    own = base + 13 + len(_TOKEN_AT)
     for i, node in enumerate(nodes):
         row, parent = out[i], node.parent
+        if parent:
+            row[own] = out[index[id(parent)], own]
+        marks = [_TOKEN_AT[t] for t in node.tokens if t in _TOKEN_AT]
+        for k in marks:
+            row[base + 13 + k] = 1
+        if named(node) and not node.holds:  # told to all below: the share of the text outside of the nearest such node
+            row[own] = 1 - node.size / whole
+        row[own + 1] = len(marks)
+        row[own + 2] = node.inside
+        row[own + 3] = node.holds
         if (k := kind_of(node.tag)) >= 0:
             row[k] = 1
         if parent and (k := kind_of(parent.tag)) >= 0:
@@ -271,13 +298,14 @@ def decode(nodes: list[Node], odds: np.ndarray, mixed: float) -> list[bool]:
     """Whether each node is kept, by the likeliest labels that do not contradict each other.
 
     A node is main text with all below it, or nothing below it is, or, with children, it is a
-    mixture and each child is free. Nodes that are never main text take their subtree along.
+    mixture and each child is free. Forbidden nodes take their subtree along.
     """
     keep = -np.logaddexp(0, -odds)
     drop = -np.logaddexp(0, odds)
     n = len(nodes)
     at = {id(node): i for i, node in enumerate(nodes)}
     part = np.full(n, -np.inf)
+    never = forbidden(nodes)
     for i in range(n - 1, -1, -1):
         node = nodes[i]
         if node.children:
@@ -285,7 +313,7 @@ def decode(nodes: list[Node], odds: np.ndarray, mixed: float) -> list[bool]:
             part[i] = mixed + sum(max(keep[c], drop[c], part[c]) for c in own)
             keep[i] += sum(keep[c] for c in own)
             drop[i] += sum(drop[c] for c in own)
-        if never(node):
+        if never[i]:
             keep[i] = part[i] = -np.inf
     kept = [False] * n
     state = ["m"] * n  # of the parent: a(ll), n(othing) or m(ixture)

@@ -29,9 +29,10 @@ THRESHOLD = 0.5
 #: the whole item, must be found.
 RUN = 5
 PART_SHARE, WHOLE_SHARE = 0.5, 0.75
-#: Longer items are indexed in pieces of so many words; items of fewer words than a run are
-#: not told from chance and not searched.
+#: Longer items are retrieved by pieces of so many words, one every PIECE_STEP, and then compared
+#: as a whole and in every stretch of so many words. Items of fewer words than a run are one run.
 MOST_WORDS = 256
+PIECE_STEP = 64
 BLOCK = 16
 #: Characters of items in one index. A larger benchmark is searched as several indexes.
 INDEX_CHARS = 8_000_000
@@ -39,27 +40,46 @@ INDEX_CHARS = 8_000_000
 # Bytes that part words: all of ASCII but letters and digits. Texts are lower-cased before.
 _GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _VALUES = np.arange(1, 257, dtype="uint64")
+# Scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters. Each of
+# their characters is a word, and their punctuation parts words.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_WIDE_GAPS = re.compile("[\u3000-\u3003\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])|\n+")
 
 
 def coded(text: str | None) -> bytes:
-    return text.lower().encode("utf-8", "surrogatepass") if text else b""
+    if not text:
+        return b""
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", _WIDE_GAPS.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass")
 
 
 def words_in(text: str) -> np.ndarray:
     return next(hashed_words([coded(text)], _GAPS, _VALUES))[0]
 
 
-class Entry(NamedTuple):
-    """An item, or a piece of a long one; without an answer only the whole is compared."""
+class Item(NamedTuple):
+    """What is compared; without an answer only the whole is."""
 
     item_id: int
-    words: np.ndarray
+    size: int  # words
     question: np.ndarray  # runs
     answer: np.ndarray
-    whole: np.ndarray
+    whole: np.ndarray  # runs in their order
     sizes: tuple[int, int]  # words of question and answer
 
 
+class Entry(NamedTuple):
+    """An item, or a piece of a long one, as it is retrieved."""
+
+    words: np.ndarray
+    item: Item
+
+
 class Index(NamedTuple):
     entries: list[Entry]
     terms: np.ndarray  # sorted word hashes
@@ -76,19 +96,15 @@ class Index(NamedTuple):
 def entries_of(item_id: int, text: str | None) -> list[Entry]:
     """The answer is the last sentence, the question what comes before it."""
     words = words_in(text or "")
-    if len(words) < RUN:
+    if not len(words):
         return []
-    if len(words) > MOST_WORDS:
-        pieces = [words[i : i + MOST_WORDS] for i in range(0, len(words), MOST_WORDS)]
-        pieces[-1] = words[-MOST_WORDS:]
-        return [Entry(item_id, p, *[np.zeros(0, "int64")] * 2, np.unique(shingles_of(p, RUN)), (0, 0))
-                for p in pieces]
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if len(words_in(s))]
+    sentences = [s for s in _SENTENCES.split(text) if len(words_in(s))]
     n = len(words_in(sentences[-1])) if len(sentences) > 1 else 0
     question, answer = (words[:-n], words[-n:]) if n else (words, words[:0])
-    return [Entry(item_id, words, np.unique(shingles_of(question, RUN)),
-                  np.unique(shingles_of(answer, RUN)), np.unique(shingles_of(words, RUN)),
-                  (len(question), len(answer)))]
+    item = Item(item_id, len(words), np.unique(shingles_of(question, RUN)), np.unique(shingles_of(answer, RUN)),
+                shingles_of(words, RUN), (len(question), len(answer)))
+    last = max(0, len(words) - MOST_WORDS)
+    return [Entry(words[i : i + MOST_WORDS], item) for i in [*range(0, last, PIECE_STEP), last]]
 
 
 def build_index(items: list[tuple[int, str | None]]) -> Index:
@@ -116,9 +132,10 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     block_most = np.zeros(len(keys))
     np.maximum.at(block_most, where, weight)
     edges = np.arange(len(known) + 1)
+    stride = max([RUN, *(len(e.words) for e in entries)])
+    entries = [e._replace(words=e.words[:0].copy()) for e in entries]  # they are in the postings
     return Index(entries, known, most, np.searchsorted(term, edges), holder, weight,
-                 np.searchsorted(keys // n_blocks, edges), keys % n_blocks, block_most,
-                 max([RUN, *(len(e.words) for e in entries)]))
+                 np.searchsorted(keys // n_blocks, edges), keys % n_blocks, block_most, stride)
 
 
 def spread(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,22 +200,58 @@ def share(wanted: np.ndarray, words: np.ndarray, width: int) -> float:
     return float(np.isin(wanted, shingles_of(words, width)).mean())
 
 
+def stretch_share(found: np.ndarray) -> float:
+    """The largest share of an item's runs that are found in a stretch of MOST_WORDS of its words."""
+    width = min(len(found), MOST_WORDS - RUN + 1)
+    sums = np.concatenate([[0], np.cumsum(found)])
+    return float((sums[width:] - sums[:-width]).max() / width)
+
+
+def verified(item: Item, passage: np.ndarray) -> tuple[float, float] | None:
+    """The shares of question and answer in a passage, if that is enough."""
+    question = share(item.question, passage, min(RUN, item.sizes[0]))
+    answer = share(item.answer, passage, min(RUN, item.sizes[1]))
+    enough = min(question, answer) >= PART_SHARE
+    if not enough:
+        runs = shingles_of(passage, min(RUN, item.size))
+        if item.size <= MOST_WORDS:
+            enough = np.isin(np.unique(item.whole), runs).mean() >= WHOLE_SHARE
+        else:
+            enough = stretch_share(np.isin(item.whole, runs)) >= WHOLE_SHARE
+    return (question, answer) if enough else None
+
+
 def search(texts: list[str | None], index: Index) -> list[list[dict]]:
-    """The verified items of each text: item_id, score, question, answer (shares found)."""
+    """The verified items of each text: item_id, score, question, answer (shares found).
+
+    A short item is compared with the passage that retrieved it; a long one with the text
+    around, its own length to both sides.
+    """
     out: list[list[dict]] = []
     for words, cuts in hashed_words(map(coded, texts), _GAPS, _VALUES):
         best: list[dict[int, dict]] = [{} for _ in cuts[1:]]
+        # Pieces of a long item that are found near each other are compared once.
+        scores: dict[tuple[int, int, int, int], float] = {}
+        items: dict[int, Item] = {}
         for text, start, at, score in retrieve(words, cuts, index) if index.entries else []:
-            entry = index.entries[at]
-            passage = words[start : min(start + 2 * index.stride, cuts[text + 1])]
-            whole = share(entry.whole, passage, RUN)
-            question = share(entry.question, passage, min(RUN, entry.sizes[0]))
-            answer = share(entry.answer, passage, min(RUN, entry.sizes[1]))
-            if whole >= WHOLE_SHARE or min(question, answer) >= PART_SHARE:
-                own = best[text].get(entry.item_id)
-                if own is None or score > own["score"]:
-                    best[text][entry.item_id] = {
-                        "item_id": entry.item_id, "score": score, "question": question, "answer": answer}
+            item = index.entries[at].item
+            first, last = start, start + 2 * index.stride
+            if item.size > MOST_WORDS:
+                own = int(cuts[text])
+                near = own + (start - own) // item.size * item.size
+                first, last = max(own, near - item.size), near + 2 * item.size + 2 * index.stride
+            items[id(item)] = item
+            key = (text, id(item), first, min(last, int(cuts[text + 1])))
+            scores[key] = max(score, scores.get(key, 0.0))
+        for (text, at, first, last), score in scores.items():
+            item = items[at]
+            own = best[text].get(item.item_id)
+            if own is not None and score <= own["score"]:
+                continue
+            shares = verified(item, words[first:last])
+            if shares:
+                best[text][item.item_id] = {
+                    "item_id": item.item_id, "score": score, "question": shares[0], "answer": shares[1]}
         out.extend([[own[i] for i in sorted(own)] for own in best])
     return out
 
@@ -211,7 +264,8 @@ def hits_column(text: Column, items: DataFrame, id_col: str, text_col: str) -> C
     them, picked by a hash of the id, and each part is searched over all texts."""
     spark = items.sparkSession
     ship_package(spark)
-    chars = items.agg(F.sum(F.length(text_col))).first()[0] or 0
+    # By bytes, since a character of three bytes may be a word.
+    chars = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = chars // INDEX_CHARS + 1
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     columns = []
@@ -239,8 +293,9 @@ def find_leaks(
 
     ``score`` is the share of the item's own BM25 score, ``question`` and ``answer`` the shares
     of their runs of words that one passage has. Documents without a leak give no row.
-    Null or empty texts and items, items without an id or with fewer than five words, and
-    empty tables give none; repeated documents each give their own.
+    Null or empty texts and items, items without an id or without words, and empty tables
+    give none; repeated documents each give their own. Items of fewer than five words are found
+    word for word. In scripts without spaces each character counts as a word.
     """
     found = df.select(F.col(id_col).alias("doc_id"),
                       hits_column(F.col(text_col), items, item_id_col, item_text_col).alias("hits"))

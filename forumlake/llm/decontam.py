@@ -10,6 +10,7 @@ retrieved must then share runs of words with the question and with the answer.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from forumlake.llm.common import free_name, ship_package
 from forumlake.llm.words import hashed_words, shingles_of
+from forumlake.session import durable
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -34,8 +36,10 @@ PART_SHARE, WHOLE_SHARE = 0.5, 0.75
 MOST_WORDS = 256
 PIECE_STEP = 64
 BLOCK = 16
-#: Characters of items in one index. A larger benchmark is searched as several indexes.
-INDEX_CHARS = 8_000_000
+#: Bytes of items in one index. A larger benchmark is searched as several indexes, with the same
+#: results, since all use the statistics of the whole.
+INDEX_BYTES = 8_000_000
+CHUNK = 8 << 20
 
 # Bytes that part words: all of ASCII but letters and digits. Texts are lower-cased before.
 _GAPS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -107,18 +111,35 @@ def entries_of(item_id: int, text: str | None) -> list[Entry]:
     return [Entry(words[i : i + MOST_WORDS], item) for i in [*range(0, last, PIECE_STEP), last]]
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
-    entries = [e for i, t in items for e in entries_of(i, t)]
-    # Neighbours share blocks: entries with the same frequent words bound each other best.
+class Whole(NamedTuple):
+    """What an index of a part has to know of all items."""
+
+    entries: int
+    words: int
+    longest: int
+    terms: np.ndarray  # sorted, at least those of the part
+    df: np.ndarray
+
+
+def whole_of(entries: list[Entry]) -> Whole:
     known, df = np.unique(np.concatenate([np.unique(e.words) for e in entries] or [np.zeros(0, "uint64")]),
                           return_counts=True)
+    return Whole(len(entries), sum(len(e.words) for e in entries), max([RUN, *(len(e.words) for e in entries)]), known, df)
+
+
+def build_index(items: list[tuple[int, str | None]], whole: Whole | None = None) -> Index:
+    """An index of the items, which are all there are or those of a part of the ``whole``."""
+    entries = [e for i, t in items for e in entries_of(i, t)]
+    whole = whole or whole_of(entries)
+    known, df = whole.terms, whole.df
+    # Neighbours share blocks: entries with the same frequent words bound each other best.
     entries.sort(key=lambda e: (int(e.words[np.argmax(df[np.searchsorted(known, e.words)])]), len(e.words)))
-    mean = sum(len(e.words) for e in entries) / max(1, len(entries))
+    mean = whole.words / max(1, whole.entries)
     rows = []
     for at, entry in enumerate(entries):
         terms, tf = np.unique(entry.words, return_counts=True)
         term = np.searchsorted(known, terms)
-        idf = np.log1p((len(entries) - df[term] + 0.5) / (df[term] + 0.5))
+        idf = np.log1p((whole.entries - df[term] + 0.5) / (df[term] + 0.5))
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(entry.words) / mean))
         rows.append((term, np.full(len(term), at), weight / weight.sum()))
     term, holder, weight = (np.concatenate(c) if rows else np.zeros(0, t) for c, t in zip(
@@ -132,10 +153,9 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     block_most = np.zeros(len(keys))
     np.maximum.at(block_most, where, weight)
     edges = np.arange(len(known) + 1)
-    stride = max([RUN, *(len(e.words) for e in entries)])
     entries = [e._replace(words=e.words[:0].copy()) for e in entries]  # they are in the postings
     return Index(entries, known, most, np.searchsorted(term, edges), holder, weight,
-                 np.searchsorted(keys // n_blocks, edges), keys % n_blocks, block_most, stride)
+                 np.searchsorted(keys // n_blocks, edges), keys % n_blocks, block_most, whole.longest)
 
 
 def spread(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,21 +279,93 @@ def search(texts: list[str | None], index: Index) -> list[list[dict]]:
 HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
 
 
-def hits_column(text: Column, items: DataFrame, id_col: str, text_col: str) -> Column:
-    """The items found in a text. The items' size is checked: each index holds a bounded part of
-    them, picked by a hash of the id, and each part is searched over all texts."""
-    spark = items.sparkSession
-    ship_package(spark)
-    # By bytes, since a character of three bytes may be a word.
-    chars = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = chars // INDEX_CHARS + 1
-    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
-    columns = []
-    for i in range(n):
-        rows = items.where(F.col(id_col).isNotNull() & (part == i)).select(F.col(id_col).cast("long"), text_col)
-        columns.append(_search_column(text, spark.sparkContext.broadcast(
-            build_index([tuple(r) for r in rows.distinct().collect()]))))
-    return F.concat(*columns)
+def parts_of(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The different items with an id: id, text and the part by a hash of the id, and how many parts."""
+    ship_package(items.sparkSession)
+    size = items.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = size // INDEX_BYTES + 1
+    rows = items.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).distinct()
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n))), n
+
+
+def hits_column(text: Column, items: DataFrame) -> Column:
+    """The items found in a text, for items of one part."""
+    rows = items.select("id", "text").collect()
+    return _search_column(text, items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in rows])))
+
+
+def stored_indexes(items: DataFrame) -> DataFrame:
+    """part, seq and data: the index of each part in chunks, built in a task for each and stored.
+
+    Document frequencies, lengths and the number of entries are those of all items.
+    """
+    items = durable(items)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, own in batch.groupby("part"):
+                whole = whole_of([e for t in own["text"] for e in entries_of(0, t)])
+                terms = pd.DataFrame({"part": part, "term": pd.array(whole.terms.view("int64"), "Int64"), "n": whole.df,
+                                      "words": 0, "longest": RUN})
+                total = pd.DataFrame({"part": [part], "term": pd.array([None], "Int64"), "n": [whole.entries],
+                                      "words": [whole.words], "longest": [whole.longest]})
+                yield pd.concat([terms, total])
+
+    counted = durable(items.mapInPandas(count, "part long, term long, n long, words long, longest long"))
+    total = counted.where("term IS NULL").agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
+    entries, words, longest = (total[0] or 0), (total[1] or 0), (total[2] or RUN)
+    df = counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = counted.where("term IS NOT NULL").select("part", "term").distinct().join(df, "term")
+
+    def build(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(known["term"].to_numpy("int64").view("uint64"))
+        whole = Whole(entries, words, longest, known["term"].to_numpy("int64").view("uint64")[order],
+                      known["n"].to_numpy("int64")[order])
+        data = pickle.dumps(build_index(list(zip(own["id"].tolist(), own["text"], strict=True)), whole))
+        chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        return pd.DataFrame({"part": own["part"].iloc[0] if len(own) else known["part"].iloc[0],
+                             "seq": range(len(chunks)), "data": chunks})
+
+    return durable(items.groupBy("part").cogroup(terms.groupBy("part")).applyInPandas(
+        build, "part long, seq long, data binary"))
+
+
+def found_by_parts(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """key and hits of the rows of ``texts`` (key string, text), one row for each part that has hits.
+
+    Each part meets the texts in several cells. A cell's index comes before its texts in one
+    sorted partition, so a task holds one index at a time and none passes through the driver.
+    """
+    cells = texts.sparkSession.sparkContext.defaultParallelism
+    indexes = stored_indexes(items).select(
+        F.explode(F.expr(f"sequence(part * {cells}, part * {cells} + {cells - 1})")).alias("cell"), "seq", "data",
+        F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("text"))
+    salt = F.pmod(F.xxhash64("key", "text"), F.lit(cells))
+    wanted = texts.select("key", "text").where("text IS NOT NULL").withColumn("salt", salt).select(
+        F.explode(F.expr(f"transform(sequence(0L, {n - 1}L), p -> p * {cells} + salt)")).alias("cell"),
+        F.lit(1 << 40).cast("long").alias("seq"), F.lit(None).cast("binary").alias("data"), "key", "text")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, waiting, index = None, [], None
+        for batch in batches:
+            for at, own in batch.groupby("cell", sort=True):
+                if at != cell:
+                    cell, waiting, index = at, [], None
+                is_index = own["data"].notna()
+                waiting.extend(own["data"][is_index])
+                rows = own[~is_index]
+                if not len(rows):
+                    continue
+                if index is None and waiting:
+                    index, waiting = pickle.loads(b"".join(waiting)), []
+                if index is not None:  # a part without items has none
+                    hits = pd.Series(search(list(rows["text"]), index), dtype=object)
+                    out = pd.DataFrame({"key": rows["key"].to_numpy(), "hits": hits})
+                    yield out[hits.map(len) > 0]
+
+    both = indexes.unionByName(wanted).repartition("cell").sortWithinPartitions("cell", "seq")
+    return both.mapInPandas(read, f"key string, hits {HITS}")
 
 
 def _search_column(text: Column, shared) -> Column:
@@ -297,8 +389,13 @@ def find_leaks(
     give none; repeated documents each give their own. Items of fewer than five words are found
     word for word. In scripts without spaces each character counts as a word.
     """
-    found = df.select(F.col(id_col).alias("doc_id"),
-                      hits_column(F.col(text_col), items, item_id_col, item_text_col).alias("hits"))
+    rows, n = parts_of(items, item_id_col, item_text_col)
+    if n == 1:
+        found = df.select(F.col(id_col).alias("doc_id"), hits_column(F.col(text_col), rows).alias("hits"))
+    else:
+        texts = df.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+        found = found_by_parts(texts, rows, n).select(
+            F.col("key").cast(df.schema[id_col].dataType).alias("doc_id"), "hits")
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
@@ -308,5 +405,11 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of ``df`` in which no item is found, with all columns."""
     name = free_name(df.columns, "hits")
-    hits = hits_column(F.col(text_col), items, item_id_col, item_text_col)
+    rows, n = parts_of(items, item_id_col, item_text_col)
+    if n > 1:
+        digest = F.sha2(F.col(text_col), 256)
+        texts = df.select(digest.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+        leaks = durable(found_by_parts(texts, rows, n).select(F.col("key").alias(name)).distinct())
+        return df.withColumn(name, digest).join(leaks, name, "left_anti").select(*df.columns)
+    hits = hits_column(F.col(text_col), rows)
     return df.withColumn(name, hits).where(F.size(name) == 0).select(*df.columns)

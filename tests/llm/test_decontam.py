@@ -48,3 +48,29 @@ def test_scattered_words_of_a_long_item_are_no_leak():
     rng = np.random.default_rng(1)
     item = words("w", 600)
     assert found(" ".join(rng.permutation(item)), " ".join(item)) == [[], [], []]
+
+
+def test_parts_give_what_one_index_gives(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    vocabulary = words("v", 120)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(3, 40))) + ". " + " ".join(rng.choice(vocabulary, 6)) for _ in range(60)]
+    texts.append(" ".join(words("w", 600)))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (70, None), (3, texts[3]), (4, texts[5])]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = []
+    for i, t in enumerate(texts):
+        own = t.split()
+        docs.append((i, " ".join([*rng.choice(vocabulary, 90), *own[len(own) // 5:], *rng.choice(vocabulary, 90)]), "x"))
+    docs += [(100, None, "x"), (101, "", "x"), (None, texts[1], "x"), (2, docs[2][1], "x"), (102, FILLER, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, more string")
+
+    def results():
+        leaks = [(r["doc_id"], r["item_id"], round(r["score"], 9), r["question"], r["answer"])
+                 for r in decontam.find_leaks(df, items).collect()]
+        return sorted(leaks, key=repr), sorted(map(tuple, decontam.drop_leaks(df, items).collect()), key=repr)
+
+    one = results()
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 2_000)
+    assert decontam.parts_of(items, "item_id", "text")[1] > 3
+    assert results() == one
+    assert len(one[0]) > 20 and 3 <= len(one[1]) < len(docs)

@@ -1,4 +1,4 @@
-"""Reply trees and page bundles: grouped text in pieces of bounded size."""
+"""Reply trees and page bundles: grouped text, on request in pieces of bounded size."""
 
 from __future__ import annotations
 
@@ -9,20 +9,22 @@ from forumlake.functions.documents import sha256_hex
 from forumlake.functions.text import parent_comment_id
 from forumlake.operators.numbering import HOT_ROWS, running_number
 
-# Rows that go into one array or one JSON text. A post with more gives several pieces.
-PIECE_ROWS = 10_000
 
-
-def _pieces(df: DataFrame, keys, order, size: int, max_rows: int,
+def _pieces(df: DataFrame, keys, order, size: int | None, max_rows: int,
             counted: DataFrame | None = None) -> DataFrame:
     numbered = running_number(df, keys, order, "_n", max_rows, counted)
-    return numbered.withColumn("piece", F.floor((F.col("_n") - 1) / size).cast("int"))
+    return numbered.withColumn("piece", piece_of("_n", size))
+
+
+def piece_of(number: str, size: int | None) -> Column:
+    """The piece of an item by its number from 1; without a ``size`` all are in piece 0."""
+    return F.lit(0) if size is None else F.floor((F.col(number) - 1) / size).cast("int")
 
 
 def ordered_array(value: Column, order: Column) -> Column:
     """Array aggregate in a fixed order that keeps NULLs.
 
-    Use it on groups of bounded size (see ``collect_in_pieces``).
+    A group must fit into memory; ``collect_in_pieces`` can cut larger ones.
     """
     return F.transform(
         F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))),
@@ -32,11 +34,11 @@ def ordered_array(value: Column, order: Column) -> Column:
 
 def collect_in_pieces(
     df: DataFrame, keys: list[str], value: str, order: list[str], out: str,
-    size: int = PIECE_ROWS, max_rows: int = HOT_ROWS,
+    size: int | None = None, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per key the values in ``order``, NULLs kept, in arrays of at most ``size``.
+    """Per key the values in ``order``, NULLs kept, in one array or in arrays of at most ``size``.
 
-    ``piece`` counts from 0; nearly every key has only piece 0.
+    ``piece`` counts from 0.
     """
     cut = _pieces(df, keys, order, size, max_rows)
     return cut.groupBy(*keys, "piece").agg(
@@ -62,13 +64,14 @@ def reply_edges(comments: DataFrame) -> DataFrame:
 
 
 def comment_trees(
-    comments: DataFrame, size: int = PIECE_ROWS, max_rows: int = HOT_ROWS
+    comments: DataFrame, size: int | None = None, max_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(post_id, piece, parent_child_tree, shasum256): parent → children, in feed order.
 
-    Feed order is (creation time, id). Each piece holds at most ``size`` edges
-    and is a tree document of its own; together they hold every edge once. A
-    post without replies among its comments gives ``{}``.
+    Feed order is (creation time, id). A post is one tree document, whatever its
+    size. With ``size``, each piece holds at most so many edges and is a document of
+    its own; together they hold every edge once. A post without replies among
+    its comments gives ``{}``.
     """
     edges = _pieces(
         reply_edges(comments), ["post_id"], ["created", "child"], size, max_rows, comments

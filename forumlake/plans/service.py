@@ -11,9 +11,7 @@ from forumlake.functions.text import title_and_body
 from forumlake.operators.joins import not_in
 from forumlake.operators.numbering import HOT_ROWS, number_parts
 from forumlake.operators.top import sample_one
-
-# Items of a page in one row; the texts of a row must fit into memory together.
-PAGE_ITEMS = 1_000
+from forumlake.operators.trees import piece_of
 
 
 def new_subreddits(posts: DataFrame, subscription: DataFrame) -> DataFrame:
@@ -43,13 +41,13 @@ def _parsed(documents: DataFrame) -> DataFrame:
 
 def bundles(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, post_id: str | None = None,
-    size: int = PAGE_ITEMS, max_rows: int = HOT_ROWS,
+    size: int | None = None, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Posts that have documents and comments, each with both, or one such post.
 
     Columns: post_id, subreddit, post, piece, analysis_docs, comment_bodies. A post
-    with up to ``size`` items is one row. A larger one gives several rows, its
-    documents first, so that no row grows without bound. NULL bodies are kept.
+    is one row, whatever its size. With ``size``, one with more items gives several
+    rows, its documents first, so that no row grows without bound. NULL bodies are kept.
     Documents and comments are numbered and collected in one shuffle by post.
     """
     docs = _parsed(documents).select(
@@ -90,10 +88,10 @@ def bundles(
     )
 
 
-def _collect(numbered: DataFrame, size: int) -> DataFrame:
-    """Arrays of at most ``size`` items in all, by post and piece."""
+def _collect(numbered: DataFrame, size: int | None) -> DataFrame:
+    """Arrays of all items, or of at most ``size`` in all, by post and piece."""
     entry = F.struct("n", "text")
-    return numbered.withColumn("piece", F.floor((F.col("n") - 1) / size).cast("int")).groupBy(
+    return numbered.withColumn("piece", piece_of("n", size)).groupBy(
         "post_id", "piece"
     ).agg(*[
         F.transform(
@@ -106,7 +104,7 @@ def _collect(numbered: DataFrame, size: int) -> DataFrame:
 
 def post_bundle(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, seed=0, llm: str = "phi4",
-    size: int = PAGE_ITEMS, max_rows: int = HOT_ROWS,
+    size: int | None = None, max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The bundle of one sampled post that a document of ``llm`` names.
 

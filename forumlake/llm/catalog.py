@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumlake.llm import decontam, dedup, html, jaccard, langid, packing, secrets, sharding, tokens, urls
+from forumlake.llm import (
+    decontam, dedup, html, jaccard, langid, packing, runs, secrets, sharding, tokens, topk, urls, whitening,
+)
 from forumlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +157,38 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_shards(table(spark, sf_dir, "documents"))
+
+
+def with_planted_repeats(documents: DataFrame) -> DataFrame:
+    """Every tenth document, by its id's checksum, repeats a stretch of itself from some word on."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    found = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.col("h") % 10 == 0
+    found = found.withColumn("words", F.when(chosen, words)).withColumn("n", F.size("words"))
+    found = found.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    found = found.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    word = "words[CAST(if(i < a, i, a + (i - a) % p) AS INT)]"
+    planted = F.expr(f"array_join(transform(sequence(0, n - 1), i -> {word}), ' ')")
+    return found.select("doc_id", F.when(F.expr("n > 0"), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length AS less, r.start AS start, r.period AS period)))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        (-F.col("top.less")).alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * -top.less div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_exact_topk")
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -24,26 +24,32 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
-DOCUMENT_FIELDS = ("post_id", "comment_id", "reference_id")
+DOCUMENT_FIELDS = ("post_id", "comment_id", "reference_id", "category", "llm")
 
 
 def with_id_columns(documents: DataFrame, document: str = "analysis_document") -> DataFrame:
-    """Documents with the ids they name as columns.
+    """Documents with the ids they name, their category and model as columns.
 
-    Stored like this, the queries read the narrow id columns and leave the JSON
-    text alone.
+    Stored like this, the queries read the narrow columns and leave the JSON text alone.
     """
-    return fields(documents, document, *DOCUMENT_FIELDS)
+    return with_named(documents, DOCUMENT_FIELDS, document)
 
 
-def named_ids(
+def with_named(
     documents: DataFrame, names: Sequence[str], document: str = "analysis_document"
 ) -> DataFrame:
-    """The ids under the given fields, one column each: stored columns if the table has
-    them all, otherwise one parse of the document."""
+    """Documents with the given fields as columns: stored columns if the table has them
+    all, otherwise one parse of the document."""
     if set(names) <= set(documents.columns):
-        return documents.select(*names)
-    return documents.select(F.json_tuple(document, *names).alias(*names))
+        return documents
+    return fields(documents.drop(*names), document, *names)
+
+
+def named_ids(
+    documents: DataFrame, names: Sequence[str], document: str = "analysis_document"
+) -> DataFrame:
+    """The given fields only, one column each."""
+    return with_named(documents, names, document).select(*names)
 
 
 def document_ids(

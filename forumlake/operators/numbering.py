@@ -1,142 +1,70 @@
-"""Row numbers within a key that stay exact when one key holds much of the data."""
+"""Row numbers within a key, batches and quotas, exact also when one key holds much of the data.
+
+There is one way for all keys. Range partitions cut the rows anywhere, also inside a key.
+Each piece numbers its own rows, and a key that began in an earlier piece goes on from the
+number of its rows there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlake.session import durable
 
-# A key with more rows than this is spread over many tasks.
-HOT_ROWS = 1_000_000
-# At most this many hot keys are listed. A key beyond the list holds less than
-# 1/HOT_LIST of all rows, which an ordinary task can sort.
-HOT_LIST = 100_000
-
-
-@dataclass
-class HotKeys:
-    """At most ``HOT_LIST`` keys and the number of rows they have together."""
-
-    frame: DataFrame
-    rows: int
-
-    def pieces(self) -> int:
-        """Partitions that hold about ``HOT_ROWS`` rows each, one per shuffle partition at
-        least."""
-        configured = int(self.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(2, configured, -(-self.rows // HOT_ROWS))
 
-
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_ROWS) -> HotKeys | None:
-    """The heaviest keys with more than ``max_rows`` rows, or None if there are none."""
-    listed = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_rows)
-        .orderBy(F.desc("_rows")).limit(HOT_LIST)
-    )
-    found = listed.collect()
-    if not found:
-        return None
-    frame = df.sparkSession.createDataFrame(found, schema=listed.schema).select(*keys)
-    return HotKeys(frame, sum(r["_rows"] for r in found))
+def _columns(order: str | Column | Sequence[str | Column]) -> list[Column]:
+    order = [order] if isinstance(order, (str, Column)) else list(order)
+    return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot: HotKeys
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of other keys, rows of hot keys). NULL is a key like any other.
+def _rows_before(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(_p, _o_key …, _before): rows of a piece's first key in earlier pieces, where there are any.
 
-    The broadcast side has at most ``HOT_LIST`` rows.
+    Only the first and the last key of a piece can lie in another piece too, so two counts a
+    piece are enough, and at most one row a piece comes out.
     """
-    marks = F.broadcast(hot.frame.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    same = [df[k].eqNullSafe(marks[f"_hot_{k}"]) for k in keys]
-    return df.join(marks, same, "left_anti"), df.join(marks, same, "left_semi")
+    key = F.struct(*[F.col(k).alias(f"_o_{k}") for k in keys])
+    edges = pieces.groupBy(F.col("_part").alias("_p")).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    shared = pieces.join(F.broadcast(edges), F.col("_part") == F.col("_p")).where(
+        key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high")))
+    counted = shared.groupBy("_p", key.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_key").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("_before", F.sum("_rows").over(earlier)).where("_before IS NOT NULL").select(
+        "_p", "_key.*", "_before")
 
 
-def _number_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, parts: int
+def running_number(
+    df: DataFrame, keys: str | Sequence[str], order: str | Column | Sequence[str | Column],
+    out: str = "n",
 ) -> DataFrame:
-    """Range partitions cut a key anywhere; each piece is numbered on its own and
-    moved on by the rows of the same key in earlier pieces."""
+    """1-based position of each row within its key. ``order`` must be total. NULL is a key
+    like any other.
+
+    The rows are written once, in pieces that follow the shuffle partitions. The broadcast
+    has at most one row a piece.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = _columns(order)
     pieces = durable(
-        df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # One row per key and piece: at most (pieces + hot keys) rows.
-    offsets = (
-        pieces.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(earlier))
-        .filter(F.col("_before").isNotNull())
-        .select(F.col("_part").alias("_p"), "_before", *[F.col(k).alias(f"_o_{k}") for k in keys])
+        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
     )
+    before = F.broadcast(_rows_before(pieces, keys))
     within = Window.partitionBy("_part", *keys).orderBy(*order)
     numbered = pieces.withColumn(out, F.row_number().over(within).cast("bigint"))
-    same = [numbered[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys]
+    same = [numbered[k].eqNullSafe(before[f"_o_{k}"]) for k in keys]
     return (
-        numbered.join(F.broadcast(offsets), [F.col("_part") == F.col("_p"), *same], "left")
+        numbered.join(before, [F.col("_part") == F.col("_p"), *same], "left")
         .withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0)))
         .drop("_part", "_p", "_before", *[f"_o_{k}" for k in keys])
     )
 
 
-def number_parts(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: str | Column | Sequence[str | Column],
-    out: str = "n",
-    max_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(numbered rows of other keys, numbered rows of hot keys, hot keys).
-
-    For callers that go on to join by key: no key of the first part is too large
-    for a task, and the hot keys, at most ``HOT_LIST``, can be broadcast.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    order = [order] if isinstance(order, (str, Column)) else list(order)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
-    window = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df if counted is None else counted, keys, max_rows)
-    if hot is None:
-        return df.withColumn(out, F.row_number().over(window).cast("bigint")), None, None
-    cold_rows, hot_rows = split_hot(df, keys, hot)
-    return (
-        cold_rows.withColumn(out, F.row_number().over(window).cast("bigint")),
-        _number_hot(hot_rows, keys, order, out, hot.pieces()),
-        hot.frame,
-    )
-
-
-def running_number(
-    df: DataFrame,
-    keys: str | Sequence[str],
-    order: str | Column | Sequence[str | Column],
-    out: str = "n",
-    max_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """1-based position of each row within its key. ``order`` must be total.
-
-    Hot keys are looked for in ``counted``, a cheaper table with at least as many
-    rows per key, or in ``df`` itself.
-    """
-    cold, hot, _ = number_parts(df, keys, order, out, max_rows, counted)
-    return cold if hot is None else cold.unionByName(hot)
-
-
-def batch_numbers(
-    df: DataFrame, keys, order, size: int = 25, out: str = "batch_no", max_rows: int = HOT_ROWS
-) -> DataFrame:
+def batch_numbers(df: DataFrame, keys, order, size: int = 25, out: str = "batch_no") -> DataFrame:
     """Split each key's rows, in order, into batches of ``size``; batches count from 0."""
-    numbered = running_number(df, keys, order, "_n", max_rows)
-    return numbered.withColumn(
+    return running_number(df, keys, order, "_n").withColumn(
         out, F.floor((F.col("_n") - 1) / size).cast("bigint")
     ).drop("_n")
 
@@ -161,35 +89,26 @@ def quota_flags(
     counters: DataFrame | None = None,
     quota: int = QUOTA,
     out: str = "allowed",
-    max_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``quota`` calls per key pass, the next is refused and starts the count again.
 
     ``counters`` (key, value) holds the counts before the first call here; a
-    stored value above the quota refuses every call.
+    stored value above the quota refuses every call. Its join keeps both sides directly
+    behind a shuffle, where the adaptive skew join can split a heavy key.
     """
-    cold, hot, hot_names = number_parts(calls, key, order, "_n", max_rows)
+    numbered = running_number(calls, key, order, "_n")
     zero = F.lit(0).cast("bigint")
     if counters is None:
-        numbered = (cold if hot is None else cold.unionByName(hot)).withColumn("_v", zero)
+        started = numbered.withColumn("_v", zero)
     else:
         before = counters.select(
             F.col(key).alias("_k"), F.col("value").cast("bigint").alias("_v")
         )
-
-        def start(rows: DataFrame, values: DataFrame) -> DataFrame:
-            joined = rows.join(values, F.col(key).eqNullSafe(F.col("_k")), "left")
-            return joined.drop("_k").withColumn("_v", F.coalesce("_v", zero))
-
-        numbered = start(cold, before)
-        if hot is not None:
-            few = before.join(
-                F.broadcast(hot_names), F.col("_k").eqNullSafe(F.col(key)), "left_semi"
-            )
-            numbered = numbered.unionByName(start(hot, F.broadcast(few)))
+        started = numbered.join(before, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k").withColumn(
+            "_v", F.coalesce("_v", zero))
     total = F.col("_v") + F.col("_n")
     refused = (F.col("_v") > quota) | ((total > 0) & (total % (quota + 1) == 0))
-    return numbered.withColumn(out, ~refused).drop("_n", "_v")
+    return started.withColumn(out, ~refused).drop("_n", "_v")
 
 
 def quota_counters(

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from forumlake.functions.documents import sha256_hex
 from forumlake.functions.text import parent_comment_id
-from forumlake.operators.numbering import HOT_ROWS, running_number
+from forumlake.operators.numbering import running_number
 
 
-def _pieces(df: DataFrame, keys, order, size: int | None, max_rows: int,
-            counted: DataFrame | None = None) -> DataFrame:
-    numbered = running_number(df, keys, order, "_n", max_rows, counted)
-    return numbered.withColumn("piece", piece_of("_n", size))
+def _pieces(df: DataFrame, keys: list[str], order: list[str], size: int | None) -> DataFrame:
+    """``df`` with ``_n``, which has the order within the key, and ``piece``. Only pieces need numbers."""
+    if size is None:
+        return df.withColumn("_n", F.struct(*order)).withColumn("piece", F.lit(0))
+    return running_number(df, keys, order, "_n").withColumn("piece", piece_of("_n", size))
 
 
 def piece_of(number: str, size: int | None) -> Column:
@@ -34,13 +35,13 @@ def ordered_array(value: Column, order: Column) -> Column:
 
 def collect_in_pieces(
     df: DataFrame, keys: list[str], value: str, order: list[str], out: str,
-    size: int | None = None, max_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Per key the values in ``order``, NULLs kept, in one array or in arrays of at most ``size``.
 
     ``piece`` counts from 0.
     """
-    cut = _pieces(df, keys, order, size, max_rows)
+    cut = _pieces(df, keys, order, size)
     return cut.groupBy(*keys, "piece").agg(
         ordered_array(F.col(value), F.col("_n")).alias(out)
     )
@@ -63,9 +64,7 @@ def reply_edges(comments: DataFrame) -> DataFrame:
     )
 
 
-def comment_trees(
-    comments: DataFrame, size: int | None = None, max_rows: int = HOT_ROWS
-) -> DataFrame:
+def comment_trees(comments: DataFrame, size: int | None = None) -> DataFrame:
     """(post_id, piece, parent_child_tree, shasum256): parent → children, in feed order.
 
     Feed order is (creation time, id). A post is one tree document, whatever its
@@ -73,16 +72,14 @@ def comment_trees(
     its own; together they hold every edge once. A post without replies among
     its comments gives ``{}``.
     """
-    edges = _pieces(
-        reply_edges(comments), ["post_id"], ["created", "child"], size, max_rows, comments
-    )
+    edges = _pieces(reply_edges(comments), ["post_id"], ["created", "child"], size)
     lists = edges.groupBy("post_id", "piece", "parent").agg(
         F.min("_n").alias("first"), ordered_array(F.col("child"), F.col("_n")).alias("children")
     )
     # One row without a parent per post, so that posts without edges appear too.
     posts = comments.select("post_id").distinct().select(
         "post_id", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("parent"),
-        F.lit(None).cast("bigint").alias("first"),
+        F.lit(None).cast(lists.schema["first"].dataType).alias("first"),
         F.lit(None).cast("array<string>").alias("children"),
     )
     entry = F.when(F.col("parent").isNotNull(), F.struct("first", "parent", "children"))

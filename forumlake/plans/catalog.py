@@ -1172,9 +1172,27 @@ def _(t):
 
 # --- streams -----------------------------------------------------------------
 
-def _claims_as_stream(t: TestTables) -> DataFrame:
-    events = ingest.stream_parquet(t.spark, t.sf_dir, "events.parquet", t.events.schema)
-    return events.select(
+SLICES, FILES = 6, 2
+
+
+def _arriving(t: TestTables, folder: str) -> DataFrame:
+    """The events as a stream of six micro-batches or more, each later in time than the one before.
+
+    They land slice by slice, in the same number of files each, and a batch takes so many.
+    """
+    shares = [i / SLICES for i in range(1, SLICES)]
+    cuts = t.events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), shares)).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = [None, *(cuts or []), None]
+    for low, high in zip(edges, edges[1:]):
+        own = t.events if low is None else t.events.where(at >= low)
+        own = own if high is None else own.where(at < high)
+        own.repartition(FILES).write.mode("append").parquet(folder)
+    return ingest.stream_parquet(t.spark, folder, "*.parquet", t.events.schema, files_per_trigger=FILES)
+
+
+def _claims_as_stream(t: TestTables, folder: str) -> DataFrame:
+    return _arriving(t, folder).select(
         F.concat(F.lit("post_id_"), F.col("user_id")).alias("key"), "event_id", "ts"
     )
 
@@ -1195,8 +1213,8 @@ SELECT key, ts, event_id, won AS claimed FROM walk
 def _(t):
     out = fresh_path(t.spark, "claims")
     state.claim_stream(
-        _claims_as_stream(t), "key", "ts", "event_id", out + "/rows", out + "/checkpoint",
-        FIVE_DAYS,
+        _claims_as_stream(t, out + "/landing"), "key", "ts", "event_id", out + "/rows",
+        out + "/checkpoint", FIVE_DAYS,
     ).awaitTermination()
     return t.spark.read.parquet(out + "/rows").select("key", "ts", "event_id", "claimed")
 
@@ -1209,7 +1227,7 @@ FROM registry_claims
 def _(t):
     out = fresh_path(t.spark, "quota")
     state.quota_stream(
-        _claims_as_stream(t), "key", ["ts", "event_id"], out + "/rows", out + "/state",
+        _claims_as_stream(t, out + "/landing"), "key", ["ts", "event_id"], out + "/rows",
         out + "/checkpoint",
     ).awaitTermination()
     return t.spark.read.parquet(out + "/rows").select("event_id", "key", "allowed")
@@ -1221,8 +1239,8 @@ WHERE post_author IS NULL OR post_author <> 'AutoModerator'
 """)
 def _(t):
     out = fresh_path(t.spark, "feed")
-    post_records(t).write.text(out + "/landing")
-    records = feeds.stream_records(t.spark, "posts", out + "/landing", 4)
+    post_records(t).repartition(6).write.text(out + "/landing")
+    records = feeds.stream_records(t.spark, "posts", out + "/landing", 2)
     ingest.insert_ignore_stream(
         feeds.post_rows(records), out + "/posts", UNIQUE_KEYS["posts"],
         ["post_created_utc", F.md5("post_body")], out + "/checkpoint", "post_author",
@@ -1256,8 +1274,7 @@ FROM prompt_completion_details WHERE tokens_per_second > 0 GROUP BY 1
 """)
 def _(t):
     out = fresh_path(t.spark, "daily")
-    events = ingest.stream_parquet(t.spark, t.sf_dir, "events.parquet", t.events.schema)
-    details = events.selectExpr(
+    details = _arriving(t, out + "/landing").selectExpr(
         "ts AS expires_at", "CAST(floor(value) AS INT) AS prompt_completion_time",
         "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 0D "
         "ELSE value / 8 END AS tokens_per_second",

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forumlake.functions.documents import fields
 from forumlake.functions.predicates import is_answer, not_profile_page, not_removed_by_site
 from forumlake.functions.text import title_and_body
+from forumlake.operators import joins
 from forumlake.operators.joins import not_in
-from forumlake.operators.numbering import HOT_ROWS, number_parts
+from forumlake.operators.numbering import running_number
 from forumlake.operators.top import sample_one
 from forumlake.operators.trees import piece_of
+from forumlake.session import durable
 
 
 def new_subreddits(posts: DataFrame, subscription: DataFrame) -> DataFrame:
@@ -32,90 +34,84 @@ def answered_posts(documents: DataFrame, post_id: str | None = None) -> DataFram
     return rows.filter(wanted & is_answer("analysis")).select("post_id", "analysis")
 
 
-def _parsed(documents: DataFrame) -> DataFrame:
-    return fields(
-        documents.select("id", "analysis_document"), "analysis_document",
-        "reference_id", "category", "llm",
-    )
-
-
 def bundles(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, post_id: str | None = None,
-    size: int | None = None, max_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Posts that have documents and comments, each with both, or one such post.
 
     Columns: post_id, subreddit, post, piece, analysis_docs, comment_bodies. A post
     is one row, whatever its size. With ``size``, one with more items gives several
     rows, its documents first, so that no row grows without bound. NULL bodies are kept.
-    Documents and comments are numbered and collected in one shuffle by post.
+    Documents come by id, comments by time and id.
+
+    The ids come first: which posts have both is found from id columns alone (of the
+    documents their stored ones, see ``joins.with_id_columns``; the JSON text is parsed where
+    they are missing). Texts are fetched for these posts only. Where these are few, the
+    others' texts are not even shuffled.
     """
-    docs = _parsed(documents).select(
-        F.col("reference_id").alias("post_id"), F.lit(0).alias("kind"),
-        F.col("id").cast("bigint").alias("at"), F.lit("").alias("tie"),
+    named = joins.with_named(documents, ["reference_id"]).where("reference_id IS NOT NULL")
+    docs = named.withColumnRenamed("reference_id", "post_id")
+    heads = posts.filter(not_removed_by_site("post_body"))
+    bodies = comments
+    if post_id is not None:
+        docs, bodies, heads = (d.filter(F.col("post_id") == post_id) for d in (docs, bodies, heads))
+    else:
+        both = heads.select("post_id")
+        for other in (docs, bodies):
+            both = both.join(other.select("post_id"), "post_id", "left_semi")
+        both = joins.broadcast_if_small(durable(both))
+        docs, bodies, heads = (d.join(both, "post_id", "left_semi") for d in (docs, bodies, heads))
+    items = docs.select(
+        "post_id", F.lit(0).alias("kind"), F.col("id").cast("bigint").alias("at"), F.lit("").alias("tie"),
         F.col("analysis_document").alias("text"),
-    ).filter(F.col("post_id").isNotNull())
-    bodies = comments.select(
-        "post_id", F.lit(1).alias("kind"),
-        F.col("comment_created_utc").cast("bigint").alias("at"),
+    ).unionByName(bodies.select(
+        "post_id", F.lit(1).alias("kind"), F.col("comment_created_utc").cast("bigint").alias("at"),
         F.col("comment_id").alias("tie"), F.col("comment_body").alias("text"),
-    )
-    heads = posts.filter(not_removed_by_site("post_body")).select(
-        "post_id", "subreddit", title_and_body("post_title", "post_body", "  -  ").alias("post")
-    )
+    ))
+    order = ["kind", "at", "tie", "text"]
+    if size is None:
+        numbered = items.select("post_id", F.lit(0).alias("piece"), "kind", F.struct("at", "tie").alias("n"), "text")
+    else:
+        numbered = running_number(items, "post_id", order, "n").withColumn("piece", piece_of("n", size))
+    entry = F.struct("n", "text")
+    pieces = numbered.groupBy("post_id", "piece").agg(*[
+        F.transform(
+            F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))), lambda e: e["text"],
+        ).alias(name)
+        for kind, name in enumerate(("docs", "comment_bodies"))
+    ])
     if post_id is not None:
-        docs, bodies, heads = (d.filter(F.col("post_id") == post_id) for d in (docs, bodies, heads))
-    items = docs.unionByName(bodies)
-    order = ["kind", "at", "tie"]
-    cold, hot, hot_ids = number_parts(items, "post_id", order, "n", max_rows)
-    # A post outside the hot list is small enough to look at its pieces together.
-    of_post = Window.partitionBy("post_id")
-    pieces = _collect(cold, size).withColumns({
-        "_docs": F.max(F.size("docs")).over(of_post),
-        "_bodies": F.max(F.size("comment_bodies")).over(of_post),
-    }).filter((F.col("_docs") > 0) & (F.col("_bodies") > 0)).drop("_docs", "_bodies")
-    found = heads.join(pieces, "post_id", "inner")
-    if hot is not None:
-        both = (
-            items.join(F.broadcast(hot_ids), "post_id", "left_semi").groupBy("post_id")
-            .agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).filter("_a = 0 AND _b = 1")
-        )
-        hot_heads = heads.join(F.broadcast(both.select("post_id")), "post_id", "left_semi")
-        found = found.unionByName(hot_heads.join(_collect(hot, size), "post_id", "inner"))
-    return found.select(
+        pieces = pieces.join(_of_both_kinds(items), "post_id", "left_semi")
+    return heads.select(
+        "post_id", "subreddit", title_and_body("post_title", "post_body", "  -  ").alias("post")
+    ).join(pieces, "post_id").select(
         "post_id", "subreddit", "post", "piece",
         F.array_join("docs", ", ").alias("analysis_docs"), "comment_bodies",
     )
 
 
-def _collect(numbered: DataFrame, size: int | None) -> DataFrame:
-    """Arrays of all items, or of at most ``size`` in all, by post and piece."""
-    entry = F.struct("n", "text")
-    return numbered.withColumn("piece", piece_of("n", size)).groupBy(
-        "post_id", "piece"
-    ).agg(*[
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))),
-            lambda e: e["text"],
-        ).alias(name)
-        for kind, name in enumerate(("docs", "comment_bodies"))
-    ])
+def _of_both_kinds(items: DataFrame) -> DataFrame:
+    return items.groupBy("post_id").agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).where(
+        "_a = 0 AND _b = 1").select("post_id")
 
 
 def post_bundle(
     posts: DataFrame, comments: DataFrame, documents: DataFrame, seed=0, llm: str = "phi4",
-    size: int | None = None, max_rows: int = HOT_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """The bundle of one sampled post that a document of ``llm`` names.
 
-    The id is picked first, so that every use of it sees the same post and all
-    scans look for one value. A post without comments gives no row.
+    The id is picked first, by a job that reads the documents' id columns, so that every use
+    of it sees the same post and all scans look for one value. A post without comments
+    gives no row.
     """
-    named = _parsed(documents).filter((F.col("category") == "post") & (F.col("llm") == llm))
+    names = ["reference_id", "category", "llm"]
+    named = joins.with_named(documents, names).filter((F.col("category") == "post") & (F.col("llm") == llm))
     picked = sample_one(named.select(F.col("reference_id").alias("pid")), "pid", seed).first()
     pid = picked["pid"] if picked else None
     found = posts.limit(0) if pid is None else posts
-    return bundles(found, comments, documents, pid or "", size, max_rows).drop("post_id")
+    return bundles(found, comments, documents, pid or "", size).drop("post_id")
 
 
 def bundle_groups(found: DataFrame) -> DataFrame:

@@ -1,105 +1,149 @@
 """Keyed state over micro-batches: claims that expire and quota counters.
 
-Each micro-batch runs the batch operator against what earlier batches left. That
-lies in a folder per batch id, so a batch that is run again after a failure
-finds the same start and replaces its own result. Heavy keys are handled by the
-batch operators.
+Each key has one value in the state store. A micro-batch reads and writes the values of
+its own keys only, so its work and the growth of the state do not depend on how many
+batches went before. Answers are appended to a table by the file sink, once each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from forumlake.operators.dml import conflicting_rows
-from forumlake.operators.numbering import HOT_ROWS, QUOTA, quota_counters, quota_flags
-from forumlake.operators.registry import FOLD_ROWS, TTL_SECONDS, claim_flags
-from forumlake.session import path_exists
+from forumlake.operators.numbering import QUOTA
+from forumlake.operators.registry import TTL_SECONDS
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+# Fixed value: the store that keeps state on disk and saves what changed.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _folder(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch={batch_id}"
 
+class ClaimProcessor(StatefulProcessor):
+    """The time of the last accepted claim of a key, until a timer at its expiry takes it away."""
 
-def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What the batch before left; only the first batch has none."""
-    if batch_id == 0:
-        return None
-    folder = _folder(path, batch_id - 1)
-    if not path_exists(spark, folder):
-        raise FileNotFoundError(f"state of the batch before {batch_id} is gone: {folder}")
-    return spark.read.parquet(folder)
+    def __init__(self, order: list[str], ttl_seconds: int):
+        self.order, self.ttl = order, ttl_seconds * 1_000_000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at bigint")
 
-def _drop_old(spark: SparkSession, path: str, batch_id: int) -> None:
-    """States before the previous one are not read again."""
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(path, batch_id - 2))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        limit = self.last.get()[0] + self.ttl if self.last.exists() else None
+        known = frame["micros_"].notna().to_numpy() & (key[0] is not None)
+        times = frame["micros_"].fillna(0).to_numpy("int64")[known]
+        won = np.zeros(len(times), bool)
+        # From one accepted claim to the first that is late enough.
+        at = 0 if limit is None else int(np.searchsorted(times, limit))
+        while at < len(times):
+            won[at] = True
+            at = max(at + 1, int(np.searchsorted(times, times[at] + self.ttl)))
+        if won.any():
+            if limit is not None:
+                self.handle.deleteTimer(limit // 1000)
+            last = int(times[won][-1])
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.ttl) // 1000)
+        claimed = np.zeros(len(frame), bool)
+        claimed[known] = won
+        yield frame.drop(columns="micros_").assign(claimed=claimed)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
 
-def _start(stream: DataFrame, step: Callable, checkpoint: str, available_now: bool
+    def close(self) -> None:
+        pass
+
+
+class QuotaProcessor(StatefulProcessor):
+    """The counter of a key: calls since the last refusal."""
+
+    def __init__(self, order: list[str], quota: int):
+        self.order, self.quota = order, quota
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "calls bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        before = self.count.get()[0] if self.count.exists() else 0
+        total = before + np.arange(1, len(frame) + 1)
+        self.count.update((int(total[-1] % (self.quota + 1)),))
+        yield frame.assign(allowed=total % (self.quota + 1) != 0)
+
+    def close(self) -> None:
+        pass
+
+
+def _answered(stream: DataFrame, key: str, processor: StatefulProcessor, schema: T.StructType,
+              time_mode: str = "None") -> DataFrame:
+    return stream.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
+
+
+def _start(spark: SparkSession, answers: DataFrame, out: str, checkpoint: str, available_now: bool
            ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    """Append to ``out``. The query takes the kind of its state store from the session when it
+    starts; the setting is put back for other queries."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        writer = answers.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        if available_now:
+            writer = writer.trigger(availableNow=True)
+        return writer.start(out)
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
 
 
 def claim_stream(
     stream: DataFrame, key: str, ts: str, tie: str, out: str, checkpoint: str,
-    ttl_seconds: int = TTL_SECONDS, max_rows: int = FOLD_ROWS, available_now: bool = True,
+    ttl_seconds: int = TTL_SECONDS, late: str = "1 day", available_now: bool = True,
 ) -> StreamingQuery:
-    """Write every claim with its answer (``claimed``) to ``out``, a folder per batch.
-
-    The claims accepted in earlier batches are the state: of those that can still
-    hold at the earliest time in the batch, the ones of the batch's keys are
-    read, by time and with few columns. Nothing is rewritten.
+    """Append every claim with its answer (``claimed``) to ``out``.
+
+    The first claim of a key is accepted, then the first that comes at least ``ttl_seconds``
+    after the last accepted one. Claims of one batch are taken in (``ts``, ``tie``) order,
+    and a batch may hold older claims than the one before. A claim without key or time
+    is refused. The state of a key is dropped once the newest time seen is ``late`` past
+    the end of its claim, so the state holds live keys only. No claim is dropped, but one that
+    comes still later counts as the first of its key. The claims of one key in one
+    batch must fit into a task: bound the batch at its source.
     """
-    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, ts)}
-    schema = f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, claimed boolean"
-
-    def earlier_claims(batch: DataFrame, batch_id: int) -> DataFrame | None:
-        spark = batch.sparkSession
-        first = batch.agg(F.min(ts).cast("string")).first()[0]
-        if first is None or not path_exists(spark, out):
-            return None
-        moment = F.lit(first).cast(batch.schema[ts].dataType)
-        held = spark.read.schema(f"{schema}, batch bigint").parquet(out).filter(
-            (F.col("batch") < batch_id) & F.col("claimed")
-            & (F.col(ts) > moment - F.make_dt_interval(secs=F.lit(ttl_seconds)))
-        )
-        return conflicting_rows(held, batch, [[key]]).select(key, F.col(ts).alias("claimed_at"))
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        registry = earlier_claims(batch, batch_id)
-        claim_flags(batch, key, ts, tie, registry, ttl_seconds, max_rows).write.mode(
-            "overwrite").parquet(_folder(out, batch_id))
-
-    return _start(stream, step, checkpoint, available_now)
+    moment = F.col(ts).cast("timestamp")
+    stamped = stream.withColumn("micros_", F.unix_micros(moment)).withColumn("clock_", moment)
+    # The clock of the timers; without its column on the rows none is filtered for being late.
+    stamped = stamped.withWatermark("clock_", late).drop("clock_")
+    schema = T.StructType([*stream.schema.fields, T.StructField("claimed", T.BooleanType())])
+    answers = _answered(stamped, key, ClaimProcessor(["micros_", tie], ttl_seconds), schema, "EventTime")
+    return _start(stream.sparkSession, answers, out, checkpoint, available_now)
 
 
 def quota_stream(
-    stream: DataFrame, key: str, order: list[str], out: str, state: str, checkpoint: str,
-    quota: int = QUOTA, max_rows: int = HOT_ROWS, available_now: bool = True,
+    stream: DataFrame, key: str, order: list[str], out: str, checkpoint: str, quota: int = QUOTA,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Write every call with its answer (``allowed``) to ``out``."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        counters = _previous(spark, state, batch_id)
-        quota_flags(batch, key, order, counters, quota, "allowed", max_rows).write.mode(
-            "overwrite").parquet(_folder(out, batch_id))
-        calls = spark.read.parquet(_folder(out, batch_id))
-        quota_counters(calls, key, counters, quota).write.mode("overwrite").parquet(
-            _folder(state, batch_id))
-        _drop_old(spark, state, batch_id)
-
-    return _start(stream, step, checkpoint, available_now)
+    """Append every call with its answer (``allowed``) to ``out``.
+
+    ``quota`` calls per key pass, the next is refused and starts the count again. Calls of
+    one batch are taken in ``order``; the calls of one key in one batch must fit into a
+    task. NULL is a key like any other.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("allowed", T.BooleanType())])
+    answers = _answered(stream, key, QuotaProcessor(list(order), quota), schema)
+    return _start(stream.sparkSession, answers, out, checkpoint, available_now)
 
 
 def claims_at_least_apart(stream: DataFrame, key: str, ts: str, ttl: str = "30 days"

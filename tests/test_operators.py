@@ -29,9 +29,17 @@ def events(spark):
     return spark.createDataFrame(skewed_events(), "key string, ts timestamp_ntz, id bigint")
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 50])
-def test_running_number(events, max_rows):
-    got = numbering.running_number(events, "key", ["ts", "id"], "n", max_rows)
+@pytest.fixture(params=["few pieces", "many pieces"])
+def pieces(spark, request):
+    """Small partitions are put together, or all eight shuffle partitions stay apart."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(request.param == "few pieces").lower())
+    yield
+    spark.conf.set(name, "true")
+
+
+def test_running_number(events, pieces):
+    got = numbering.running_number(events, "key", ["ts", "id"], "n")
     found = {(r["key"], r["id"]): r["n"] for r in got.collect()}
     groups = defaultdict(list)
     for key, ts, i in skewed_events():
@@ -42,8 +50,8 @@ def test_running_number(events, max_rows):
     assert found == expected
 
 
-def test_running_number_descending(events):
-    got = numbering.running_number(events, "key", [F.desc("ts"), F.desc("id")], "n", 50)
+def test_running_number_descending(events, pieces):
+    got = numbering.running_number(events, "key", [F.desc("ts"), F.desc("id")], "n")
     found = {(r["key"], r["id"]): r["n"] for r in got.collect()}
     groups = defaultdict(list)
     for key, ts, i in skewed_events():
@@ -73,14 +81,24 @@ def quota_by_hand(calls, start):
     return out, state
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 20])
-def test_quota_with_counters(spark, max_rows):
+def test_running_number_of_two_keys_and_of_nothing(spark, pieces):
+    rows = [(i % 2, None if i % 3 else "x", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b string, i int")
+    got = {r["i"]: r["n"] for r in numbering.running_number(df, ["a", "b"], "i").collect()}
+    seen = defaultdict(int)
+    for a, b, i in rows:
+        seen[a, b] += 1
+        assert got[i] == seen[a, b]
+    assert numbering.running_number(df.limit(0), ["a", "b"], "i").count() == 0
+
+
+def test_quota_with_counters(spark, pieces):
     calls = [e for e in skewed_events() if e[0] is not None]
     calls.sort(key=lambda e: (e[1], e[2]))
     start = {"hot": 10, "a": 11, "b": 4, "idle": 7, "c": -3}
     df = spark.createDataFrame(calls, "key string, ts timestamp_ntz, id bigint")
     counters = spark.createDataFrame(list(start.items()), "key string, value bigint")
-    flags = numbering.quota_flags(df, "key", ["ts", "id"], counters, max_rows=max_rows)
+    flags = numbering.quota_flags(df, "key", ["ts", "id"], counters)
     answers, state = quota_by_hand(calls, start)
     assert {r["id"]: r["allowed"] for r in flags.collect()} == answers
     after = numbering.quota_counters(df, "key", counters)
@@ -103,21 +121,57 @@ def claims_by_hand(events, ttl, last=None):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("max_rows", [100_000, 50])
-@pytest.mark.parametrize("days", [7, 30, 200])
-def test_claims(events, rows, days, max_rows):
-    got = registry.claim_keys(events, "key", "ts", "id", None, days * 86400, max_rows)
+@pytest.mark.parametrize("days", [0, 1, 7, 30, 200])
+def test_claims(events, rows, days, pieces):
+    got = registry.claim_keys(events, "key", "ts", "id", None, days * 86400)
     assert rows(got) == claims_by_hand(skewed_events(), dt.timedelta(days=days))
 
 
-@pytest.mark.parametrize("max_rows", [100_000, 50])
-def test_claims_after_a_registry(spark, events, rows, max_rows):
+def test_claims_after_a_registry(spark, events, rows, pieces):
     held = {"hot": DAY0 + dt.timedelta(days=3), "a": DAY0 - dt.timedelta(days=29)}
     reg = spark.createDataFrame(list(held.items()), "key string, claimed_at timestamp_ntz")
-    got = registry.claim_keys(events, "key", "ts", "id", reg, 30 * 86400, max_rows)
+    got = registry.claim_keys(events, "key", "ts", "id", reg, 30 * 86400)
     assert rows(got) == claims_by_hand(skewed_events(), dt.timedelta(days=30), held)
 
 
+@pytest.mark.parametrize("days", [1, 20, 60])
+def test_registry_of_the_future_and_unknown_keys(spark, events, rows, pieces, days):
+    """Claims before the end of a held one are refused, also those that are older than it."""
+    held = {"hot": DAY0 + dt.timedelta(days=50), "a": DAY0 + dt.timedelta(days=500), "new": DAY0}
+    reg = spark.createDataFrame(list(held.items()), "key string, claimed_at timestamp_ntz")
+    got = registry.claim_keys(events, "key", "ts", "id", reg, days * 86400)
+    assert rows(got) == claims_by_hand(skewed_events(), dt.timedelta(days=days), held)
+
+
+def test_claim_flags_answer_every_claim(spark, events, pieces):
+    odd = spark.createDataFrame([("hot", None, 9000), (None, None, 9001)], events.schema)
+    flags = registry.claim_flags(events.unionByName(odd), "key", "ts", "id", None, 7 * 86400)
+    assert flags.columns == [*events.columns, "claimed"]
+    won = {i for _, _, i in claims_by_hand(skewed_events(), dt.timedelta(days=7))}
+    assert {r["id"]: r["claimed"] for r in flags.collect()} == {
+        **{i: i in won for _, _, i in skewed_events()}, 9000: False, 9001: False}
+    assert registry.claim_keys(events.limit(0), "key", "ts", "id").count() == 0
+
+
+@pytest.mark.parametrize("ttl,most", [(3, 25), (100_000, 45)])
+def test_a_million_claims_of_one_key(spark, ttl, most):
+    """Few jobs, whatever the length of the chain; more where an expiry reaches over pieces."""
+    rows = 1_000_000
+    claims = spark.range(0, rows, 1, 8).selectExpr("'k' AS key", "timestamp_seconds(pmod(xxhash64(id), 2000000)) AS ts", "id")
+    context = spark.sparkContext
+    context.setJobGroup("claims", "claims")
+    got = sorted(r["claimed_at"].timestamp() for r in registry.claim_keys(claims, "key", "ts", "id", None, ttl).collect())
+    context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("claims"))
+    want, last = [], None
+    for t in sorted(r["ts"].timestamp() for r in claims.select("ts").collect()):
+        if last is None or t >= last + ttl:
+            want.append(t)
+            last = t
+    assert got == want and len(want) > 10
+    assert jobs <= most
+
+
 def test_expiry_counts_from_the_accepted_claim(spark):
     days = [0, 40, 41, 110, 115]
     df = spark.createDataFrame([("k", DAY0 + dt.timedelta(days=d), d) for d in days],
@@ -316,22 +370,22 @@ def tree_by_hand(rows):
     return tree
 
 
-@pytest.mark.parametrize("size,max_rows", [(10_000, 1_000_000), (7, 1_000_000), (7, 20)])
-def test_comment_trees(spark, size, max_rows):
+@pytest.mark.parametrize("size", [10_000, 7, None])
+def test_comment_trees(spark, size, pieces):
     import json
 
     data = thread("p", 60) + thread("q", 5) + [("r", "rc0", "t3_r", 0), ("s", "sc0", "t1_pc0", 0)]
-    got = trees.comment_trees(spark.createDataFrame(data, COMMENTS), size, max_rows).collect()
+    got = trees.comment_trees(spark.createDataFrame(data, COMMENTS), size).collect()
     merged = defaultdict(dict)
     for r in sorted(got, key=lambda r: (r["post_id"], r["piece"])):
         tree = json.loads(r["parent_child_tree"])
-        assert sum(len(c) for c in tree.values()) <= size
+        assert size is None or sum(len(c) for c in tree.values()) <= size
         for parent, children in tree.items():
             merged[r["post_id"]].setdefault(parent, []).extend(children)
         merged[r["post_id"]]
     for post in "pqrs":
         assert merged[post] == tree_by_hand([d for d in data if d[0] == post])
-    if size == 10_000:
+    if size != 7:
         for r in got:
             own = tree_by_hand([d for d in data if d[0] == r["post_id"]])
             assert r["parent_child_tree"] == json.dumps(own, separators=(",", ":"))
@@ -352,7 +406,7 @@ def test_array_keeps_nulls(spark):
     assert sorted((r["piece"], r["x"]) for r in cut) == [(0, ["a", None]), (1, ["b"])]
 
 
-def test_bundle_in_pieces_loses_nothing(spark):
+def test_bundle_in_pieces_loses_nothing(spark, pieces):
     posts = spark.createDataFrame([("p", "sub", "title", "body")],
                                   "post_id string, subreddit string, post_title string, post_body string")
     comments = spark.createDataFrame(
@@ -363,7 +417,7 @@ def test_bundle_in_pieces_loses_nothing(spark):
         "id int, analysis_document string")
     whole = service.post_bundle(posts, comments, documents).collect()
     assert len(whole) == 1 and whole[0]["post"] == "title  -  body"
-    cut = sorted(service.post_bundle(posts, comments, documents, size=10, max_rows=5).collect(),
+    cut = sorted(service.post_bundle(posts, comments, documents, size=10).collect(),
                  key=lambda r: r["piece"])
     assert len(cut) == 5
     assert sum((r["comment_bodies"] for r in cut), []) == whole[0]["comment_bodies"]
@@ -499,8 +553,12 @@ def test_hot_and_cold_bundles_agree(spark, rows):
         "id int, analysis_document string")
     whole = service.bundles(posts, comments, documents, size=1000)
     assert {r["post_id"] for r in whole.collect()} == {"p0", "p4"}
-    assert rows(service.bundles(posts, comments, documents, size=1000, max_rows=20)) == rows(whole)
-    assert rows(service.bundles(posts, comments, documents, "p0", 7, 20)) == rows(
+    assert rows(service.bundles(posts, comments, documents)) == rows(whole)
+    assert rows(service.bundles(posts, comments, joins.with_id_columns(documents))) == rows(whole)
+    assert rows(service.bundles(posts, comments, documents, "p0")) == [
+        r for r in rows(whole) if r[0] == "p0"]
+    assert service.bundles(posts, comments, documents, "p1").count() == 0
+    assert rows(service.bundles(posts, comments, documents, "p0", 7)) == rows(
         service.bundles(posts, comments, documents, size=7).filter("post_id = 'p0'"))
 
 

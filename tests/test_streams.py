@@ -36,39 +36,77 @@ def stream(spark, path):
     return ingest.stream_parquet(spark, path, "*.parquet", SCHEMA, files_per_trigger=1)
 
 
-@pytest.mark.parametrize("max_rows", [100_000, 15])
-def test_claims(spark, landing, tmp_path, rows, max_rows):
+def states(query):
+    """Keys held and rows put into the state, by micro-batch that had input."""
+    return [(p["stateOperators"][0]["numRowsTotal"], p["stateOperators"][0]["numRowsUpdated"])
+            for p in query.recentProgress if p["numInputRows"]]
+
+
+def test_claims(spark, landing, tmp_path, rows):
     path, events = landing
     out = str(tmp_path / "out")
     query = state.claim_stream(
         stream(spark, path), "key", "ts", "id", out + "/rows", out + "/ckpt",
-        ttl_seconds=30 * 86400, max_rows=max_rows)
+        ttl_seconds=30 * 86400)
     query.awaitTermination()
-    assert len(query.recentProgress) >= 6
+    assert len(states(query)) == 6
     got = spark.read.parquet(out + "/rows").select("id", "claimed")
     expected = registry.claim_flags(events, "key", "ts", "id", None, 30 * 86400)
     assert rows(got) == rows(expected.select("id", "claimed"))
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 15])
-def test_quota(spark, landing, tmp_path, rows, max_rows):
+def test_claims_without_key_or_time(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    part = [(None, DAY0, 1, 0.0), ("k", None, 2, 0.0), ("k", DAY0, 3, 0.0), ("k", DAY0, 4, 0.0)]
+    spark.createDataFrame(part, SCHEMA).write.parquet(path)
+    state.claim_stream(stream(spark, path), "key", "ts", "id", out + "/rows", out + "/ckpt").awaitTermination()
+    got = {r["id"]: r["claimed"] for r in spark.read.parquet(out + "/rows").collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False}
+
+
+def test_claims_that_ended_leave_the_state(spark, tmp_path):
+    """Each batch claims keys of its own, long after the claims of the batch before have ended."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(5):
+        part = [(f"k{n}-{i}", DAY0 + dt.timedelta(days=100 * n), n * 10 + i, 0.0) for i in range(10)]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    query = state.claim_stream(stream(spark, path), "key", "ts", "id", out + "/rows", out + "/ckpt")
+    query.awaitTermination()
+    totals = [total for total, _ in states(query)]
+    assert len(totals) == 5 and totals[-1] <= 3 * totals[0]
+    assert spark.read.parquet(out + "/rows").where("claimed").count() == 50
+
+
+def test_quota(spark, landing, tmp_path, rows):
     path, events = landing
     out = str(tmp_path / "out")
-    state.quota_stream(
-        stream(spark, path), "key", ["ts", "id"], out + "/rows", out + "/state", out + "/ckpt",
-        max_rows=max_rows).awaitTermination()
+    query = state.quota_stream(
+        stream(spark, path), "key", ["ts", "id"], out + "/rows", out + "/ckpt")
+    query.awaitTermination()
+    assert len(states(query)) == 6 and all(total <= 3 for total, _ in states(query))
     got = spark.read.parquet(out + "/rows").select("id", "allowed")
     expected = numbering.quota_flags(events, "key", ["ts", "id"]).select("id", "allowed")
     assert rows(got) == rows(expected)
 
 
+def test_only_the_counters_of_a_batch_are_written(spark, tmp_path):
+    """A batch of one key among many leaves the other counters alone."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [(f"k{i}", DAY0, i, 0.0) for i in range(200)]
+    for part in (first, *([("k0", DAY0, 1000 + n, 0.0)] for n in range(4))):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    query = state.quota_stream(stream(spark, path), "key", ["ts", "id"], out + "/rows", out + "/ckpt")
+    query.awaitTermination()
+    assert states(query) == [(200, 200), *[(200, 1)] * 4]
+
+
 def test_restart_goes_on_from_the_state(spark, landing, tmp_path, rows):
     path, events = landing
     out = str(tmp_path / "out")
 
     def run():
         state.quota_stream(stream(spark, path), "key", ["ts", "id"], out + "/rows",
-                           out + "/state", out + "/ckpt").awaitTermination()
+                           out + "/ckpt").awaitTermination()
 
     run()
     later = [("a", DAY0 + dt.timedelta(days=200 + i), 1000 + i, 0.0) for i in range(13)]
@@ -79,13 +117,6 @@ def test_restart_goes_on_from_the_state(spark, landing, tmp_path, rows):
     assert rows(spark.read.parquet(out + "/rows").select("id", "allowed")) == rows(expected)
 
 
-def test_lost_state_is_an_error(spark, tmp_path):
-    """Counters must not start again at zero when the state of the batch before is gone."""
-    assert state._previous(spark, str(tmp_path / "none"), 0) is None
-    with pytest.raises(FileNotFoundError, match="batch=2"):
-        state._previous(spark, str(tmp_path / "none"), 3)
-
-
 def test_feed_adds_unseen_posts_only(spark, tmp_path, rows):
     landing = tmp_path / "feed"
     landing.mkdir()

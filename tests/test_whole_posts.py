@@ -21,9 +21,8 @@ def test_large_tree_is_one_document(spark):
     for _, child, parent, _, _ in data[1:]:
         want.setdefault(parent[3:], []).append(child)
     text = json.dumps(want, separators=(",", ":"))
-    for max_rows in (1_000_000, 50):
-        got = trees.comment_trees(frame, max_rows=max_rows).collect()
-        assert [(r["post_id"], r["piece"], r["parent_child_tree"]) for r in got] == [("p", 0, text)]
+    got = trees.comment_trees(frame).collect()
+    assert [(r["post_id"], r["piece"], r["parent_child_tree"]) for r in got] == [("p", 0, text)]
     assert len(trees.comment_trees(frame, size=10_000).collect()) == 2
 
 
@@ -33,9 +32,8 @@ def test_large_bundle_is_one_row(spark):
     documents = spark.createDataFrame(
         [(i, json.dumps({"reference_id": "p", "category": "post", "llm": "phi4", "n": i})) for i in range(3)],
         "id long, analysis_document string")
-    for max_rows in (1_000_000, 50):
-        got = service.bundles(posts, frame, documents, max_rows=max_rows).collect()
-        assert [(r["piece"], r["comment_bodies"]) for r in got] == [(0, [f"b{i}" for i in range(N)])]
-        assert got[0]["analysis_docs"].count("reference_id") == 3
+    got = service.bundles(posts, frame, documents).collect()
+    assert [(r["piece"], r["comment_bodies"]) for r in got] == [(0, [f"b{i}" for i in range(N)])]
+    assert got[0]["analysis_docs"].count("reference_id") == 3
     assert len(service.post_bundle(posts, frame, documents).collect()) == 1
     assert len(service.bundles(posts, frame, documents, size=1_000).collect()) == 11

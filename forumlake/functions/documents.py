@@ -40,18 +40,21 @@ def analysis_document(category, reference_id, llm, analysis) -> Column:
     )
 
 
+# Strict JSON, whatever the session says.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE",
+          "columnNameOfCorruptRecord": "_bad"}
+
+
 def is_json(text) -> Column:
-    """Whether the whole text is one JSON value; null is not.
+    """Whether the whole text is one JSON value; null is not. Repeated keys of an object are valid.
 
     The parser stops behind a value, so the text is tried as the only element of an array
-    and as a field: what trails a value breaks one of them. Repeated keys of an object
-    count as valid where ``spark.sql.variant.allowDuplicateKeys`` is set, as
-    ``build_session`` does.
+    and as a field: what trails a value breaks one of them.
     """
     line = _col(text)
-    element = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).cast("array<variant>")
-    field = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
-    return F.coalesce((F.size(element) == 1) & field.isNotNull(), F.lit(False))
+    element = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "array<string>", STRICT)
+    field = F.from_json(F.concat(F.lit('{"v":'), line, F.lit("}")), "v string, _bad string", STRICT)
+    return F.coalesce((F.size(element) == 1) & field["_bad"].isNull(), F.lit(False))
 
 
 def parsed_documents(documents, schema: str) -> Column:

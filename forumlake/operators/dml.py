@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forumlake.functions.predicates import survives_purge
 from forumlake.operators.joins import BROADCAST_ROWS
-from forumlake.session import durable, path_exists, shared_dir
+from forumlake.operators.numbering import running_number
+from forumlake.session import durable, path_exists
 
 Keys = Sequence[Sequence[str]]
 
@@ -151,17 +152,18 @@ def purge_bot(table: DataFrame, author: str) -> DataFrame:
 def count_rows(tables: Mapping[str, DataFrame], *excluded: str) -> DataFrame:
     """(table_name, rows_n) per table, empty tables included.
 
-    One aggregate over all tables; the scans read no columns.
+    Each table is counted on its own. Of a table read by ``footer_table``, also behind
+    projections, only the files' footers are read.
     """
     from forumlake.sources.tables import table_names
 
     names = table_names(tables, *excluded)
     spark = next(iter(tables.values())).sparkSession
-    zero = spark.createDataFrame([(n, 0) for n in names], "table_name string, one int")
-    ones = [tables[n].select(F.lit(n).alias("table_name"), F.lit(1).alias("one")) for n in names]
-    return reduce(DataFrame.unionByName, [zero, *ones]).groupBy("table_name").agg(
-        F.sum("one").alias("rows_n")
-    )
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    counts = [tables[n].agg(F.count(F.lit(1)).alias("rows_n")).select(F.lit(n).alias("table_name"), "rows_n")
+              for n in names]
+    return reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame(
+        [], "table_name string, rows_n long")
 
 
 def row_count_snapshot(tables: Mapping[str, DataFrame], as_of: Column | None = None) -> DataFrame:
@@ -178,17 +180,49 @@ def append_row_counts(tables: Mapping[str, DataFrame], path: str,
     row_count_snapshot(tables, as_of).coalesce(1).write.mode("append").parquet(path)
 
 
+def checksum(columns: Sequence[str]) -> Column:
+    """Sum over all rows of a number taken from the row's MD5; the order of rows does not matter."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")), F.lit(0))
+
+
+def exact_columns(table: DataFrame) -> list[str]:
+    """The columns whose text is the same everywhere: all but floating and nested ones."""
+    kinds = ("string", "int", "bigint", "boolean", "date")
+    return [f.name for f in table.schema if f.dataType.simpleString() in kinds]
+
+
 def export_snapshot(
     tables: Mapping[str, DataFrame], base: str, epoch: int, compression: str = "zstd"
 ) -> str:
-    """All tables, compressed, below ``base``/``epoch``. Refuses to write over an export."""
+    """All tables, compressed, below ``base``/``epoch``. Refuses to write over an export.
+
+    A manifest beside them has a row per table: table_name, rows_n, checksum. Both are observed
+    while the rows are written, so that no table is read again for them.
+    """
     folder = f"{base.rstrip('/')}/{int(epoch)}"
+    found = []
     for name, table in tables.items():
-        table.write.mode("errorifexists").option("compression", compression).parquet(
+        seen = Observation(f"export {name}")
+        watched = table.observe(
+            seen, F.count(F.lit(1)).alias("rows_n"), checksum(exact_columns(table)).alias("checksum"))
+        watched.write.mode("errorifexists").option("compression", compression).parquet(
             f"{folder}/{name}"
         )
+        found.append((name, seen.get["rows_n"], seen.get["checksum"]))
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(found, "table_name string, rows_n long, checksum long").coalesce(1).write.json(
+        f"{folder}/manifest")
     return folder
 
 
-def export_to_shared(spark: SparkSession, tables: Mapping[str, DataFrame], epoch: int) -> str:
-    return export_snapshot(tables, shared_dir(spark) + "/exports", epoch)
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """What an export holds, as it was observed."""
+    return spark.read.schema("table_name string, rows_n long, checksum long").json(f"{folder}/manifest")
+
+
+def with_ids(target: DataFrame | None, new: DataFrame, order) -> DataFrame:
+    """``new`` with ``id``, which goes on from the largest id of ``target`` in ``order``."""
+    largest = 0 if target is None else target.agg(F.max("id")).first()[0] or 0
+    numbered = running_number(new.withColumn("_all", F.lit(0)), "_all", order, "id").drop("_all")
+    return numbered.withColumn("id", (F.col("id") + largest).cast("int"))

@@ -125,12 +125,15 @@ def stored_answers(answers: DataFrame) -> DataFrame:
 
 
 def document_rows(stored: DataFrame) -> DataFrame:
-    """Rows of the document table (without surrogate id)."""
-    return stored.select(
-        "timestamp", "shasum_512",
+    """Rows of the document table, with the ids, category and model that they name as columns.
+    Where the answers have an ``id``, so have the rows."""
+    rows = stored.select(
+        *[c for c in ("id",) if c in stored.columns], "timestamp", "shasum_512",
         analysis_document("category", "reference_id", "llm", "analysis").alias("analysis_document"),
-        "ollama_ver",
+        "ollama_ver", F.lit(None).cast("string").alias("post_id"),
+        F.lit(None).cast("string").alias("comment_id"), "reference_id", "category", "llm",
     )
+    return rows
 
 
 def performance_rows(stored: DataFrame, models: DataFrame, created_at: Column | None = None
@@ -141,15 +144,14 @@ def performance_rows(stored: DataFrame, models: DataFrame, created_at: Column |
     table's existing rows.
     """
     stamp = F.current_timestamp() if created_at is None else created_at
-    inventory = models.select(
-        "name", F.col("model").alias("model"), "size", "details", "expires_at", "size_vram"
-    )
+    kind = models.schema["details"].dataType.simpleString()
+    text = F.col("details") if kind == "string" else F.to_json("details", {"ignoreNullFields": "false"})
+    inventory = models.select("name", "model", "size", text.alias("details"), "expires_at", "size_vram")
     return with_model(stored, "llm", inventory).select(
         F.col("shasum_512").alias("doc_shasum_512"), F.lit("").alias("ollama_host"),
         F.col("ollama_ver"), F.col("model_name").alias("name"), "model", "size",
         F.col("shasum_512").alias("digest"),
-        F.to_json("details", {"ignoreNullFields": "false"}).alias("details"),
-        "expires_at", "size_vram", stamp.alias("created_at"),
+        "details", "expires_at", "size_vram", stamp.alias("created_at"),
         "prompt_completion_time", "tokens_per_second",
     )
 

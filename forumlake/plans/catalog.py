@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.functions import documents as docs
-from forumlake.functions import keys, predicates, text, times, versions
-from forumlake.operators import dml, enrichment, joins, language, numbering, registry, trees
+from forumlake.functions import keys, predicates, sql_functions, text, times, versions
+from forumlake.operators import dml, enrichment, joins, language, numbering, registry, top, trees
 from forumlake.plans import dashboard, service
 from forumlake.schemas import UNIQUE_KEYS
 from forumlake.session import fresh_path, spread
@@ -106,7 +106,8 @@ def _(t):
 
 
 def _counted(t: TestTables) -> dict[str, DataFrame]:
-    """Tables for the row counts; the last four stand for tables that filters name."""
+    """Tables for the row counts, read by footers; the last four stand for tables that filters name."""
+    t = TestTables(t.spark, t.sf_dir, footers=True)
     names = [*BASE_TABLES, "posts", "comments", "authors", "subscription",
              "analysis_documents", "prompt_completion_details"]
     found = {n: getattr(t, n) for n in names}
@@ -336,12 +337,36 @@ def _(t):
     return found.withColumn("comment_bodies", F.array_join("comment_bodies", "|", "<null>"))
 
 
-@query("bundle_groups", _DOC_VIEWS, f"""WITH {_PAGES.strip()}
+# Each comment under its own post and under a second one of its subreddit, so that groups merge.
+_TWINS = _PAGES.replace("FROM comments GROUP BY", "FROM twin_comments GROUP BY").replace(
+    "FROM posts JOIN", "FROM twin_posts JOIN").replace("FROM named GROUP BY", "FROM twin_named GROUP BY")
+_TWIN_SQL = """
+twin_posts AS (SELECT post_id, subreddit, post_title, post_body FROM posts
+  UNION ALL SELECT post_id || '+', subreddit, post_title || '+', post_body FROM posts),
+twin_comments AS (SELECT post_id, comment_created_utc, comment_id, comment_body FROM comments
+  UNION ALL SELECT post_id || '+', comment_created_utc, comment_id, comment_body FROM comments),
+"""
+
+
+@query("bundle_groups", _DOC_VIEWS, f"""WITH {_TWIN_SQL.strip()}
+{_TWINS.strip().replace("answers AS (", """twin_named AS (
+  SELECT post_id, id, doc FROM named UNION ALL SELECT post_id || '+', id, doc FROM named),
+answers AS (""")}
 SELECT subreddit, comment_bodies, max(post) AS post, count(*) AS posts FROM pages
 GROUP BY ALL
 """)
 def _(t):
-    found = service.bundles(t.posts, t.comments, t.analysis_documents)
+    posts = t.posts.select("post_id", "subreddit", "post_title", "post_body")
+    comments = t.comments.select("post_id", "comment_created_utc", "comment_id", "comment_body")
+    named = joins.with_named(t.analysis_documents, ["reference_id", "category", "llm"]).where(
+        "reference_id IS NOT NULL")
+
+    def twice(df, *columns):
+        second = df.withColumns({c: F.concat(c, F.lit("+")) for c in columns})
+        return df.unionByName(second)
+
+    found = service.bundles(
+        twice(posts, "post_id", "post_title"), twice(comments, "post_id"), twice(named, "reference_id"))
     return service.bundle_groups(found).withColumn(
         "comment_bodies", F.array_join("comment_bodies", "|", "<null>")
     )
@@ -415,13 +440,15 @@ def _(t):
 @query("comment_tree_rows", "comments", f"""WITH {_TREE_SQL.strip()}
 SELECT '1704067200' AS timestamp, sha256(parent_child_tree) AS shasum256,
   min(post_id) AS post_id, parent_child_tree
-FROM trees GROUP BY parent_child_tree
+FROM trees WHERE parent_child_tree NOT IN (SELECT parent_child_tree FROM trees WHERE post_id LIKE '%3')
+GROUP BY parent_child_tree
 """)
 def _(t):
+    """The trees of some posts are stored already."""
     rows = trees.tree_rows(trees.comment_trees(t.comments),
                            F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return dml.rows_to_insert(
-        rows.limit(0), rows, UNIQUE_KEYS["parent_child_tree_data"], ["post_id"]
+        rows.where("post_id LIKE '%3'"), rows, UNIQUE_KEYS["parent_child_tree_data"], ["post_id"]
     )
 
 
@@ -522,16 +549,45 @@ def _(t):
     )
 
 
-@query("export_snapshot", _COUNTED_VIEWS, """
-SELECT 'posts' AS table_name, count(*) AS rows_n FROM posts
-UNION ALL SELECT 'comments', count(*) FROM comments
-UNION ALL SELECT 'authors', count(*) FROM authors
-UNION ALL SELECT 'analysis_documents', count(*) FROM analysis_documents
-""")
-def _(t):
-    stored = {n: getattr(t, n) for n in ("posts", "comments", "authors", "analysis_documents")}
+# The exported tables and what stands for those that the test tables lack.
+EXPORTED = {
+    "posts": "posts", "comments": "comments", "authors": "authors", "subscription": "subscription",
+    "analysis_documents": "analysis_documents",
+    "prompt_completion_details": "prompt_completion_details",
+    "parent_child_tree_data": "conversations", "program_logs": "service_log_lines",
+    "servicelogs": "customer", "row_count_history": "labels", "websearch_results_ts": "pages",
+    "errors": "nation",
+}
+# The columns of each that are neither floating nor nested nor a moment.
+_EXACT = {
+    "posts": "post_id, subreddit, post_author, post_title, post_body, post_created_utc, is_post_oc, "
+             "is_post_video, post_upvote_count, post_downvote_count, subreddit_members",
+    "comments": "comment_id, parent_id, comment_author, is_comment_submitter, is_comment_edited, "
+                "comment_created_utc, comment_body, post_id, subreddit, comment_upvote_count, "
+                "comment_downvote_count",
+    "authors": "author_id, author_name, author_created_utc",
+    "subscription": "datetimesubscribed, subreddit",
+    "analysis_documents": "id, shasum_512, analysis_document",
+    "prompt_completion_details": "id, model, ollama_ver, prompt_completion_time",
+    "conversations": "conv_id, turn, role, text", "service_log_lines": "line_no, line",
+    "customer": "c_custkey, c_name, c_nationkey, c_mktsegment", "labels": "doc_id, quality, toxic",
+    "pages": "page_id, url, html", "nation": "n_nationkey, n_name, n_regionkey",
+}
+
+
+def _exact_text(columns: str) -> str:
+    texts = [f"coalesce(CAST({c.strip()} AS VARCHAR), '')" for c in columns.split(",")]
+    return f"concat_ws('|', {', '.join(texts)})"
+
+
+@query("export_snapshot", _COUNTED_VIEWS + " service_log_lines", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS rows_n, CAST(coalesce(sum(CAST('0x' || "
+    f"substr(md5({_exact_text(_EXACT[source])}), 1, 8) AS BIGINT)), 0) AS BIGINT) AS checksum FROM {source}"
+    for name, source in EXPORTED.items()))
+def _(t):
+    stored = {name: getattr(t, source) for name, source in EXPORTED.items()}
     folder = dml.export_snapshot(stored, fresh_path(t.spark, "export"), 1704067200)
-    return dml.count_rows({n: t.spark.read.parquet(f"{folder}/{n}") for n in stored})
+    return dml.manifest(t.spark, folder)
 
 
 @query("claim_keys", "registry_claims", """
@@ -692,6 +748,21 @@ def _(t):
     return logs.rejected_lines(t.service_log_lines, "line_no", F.col("ts"))
 
 
+@query("service_log_split", "service_log_lines", """
+SELECT ts AS at, 'row' AS kind, line AS text FROM service_log_lines WHERE json_valid(line)
+UNION ALL
+SELECT ts, CAST(line_no AS VARCHAR), 'malformed line: ' || line FROM service_log_lines
+WHERE NOT json_valid(line)
+""")
+def _(t):
+    found = logs.sorted_lines(t.service_log_lines, F.lit("h"), "model-server", "line_no", F.col("ts"))
+    folder = fresh_path(t.spark, "lines")
+    logs.store_lines(found, folder)
+    rows, rejects = (logs.stored_lines(t.spark, folder, found.schema, bad) for bad in (False, True))
+    return rows.selectExpr("timestamp AS at", "'row' AS kind", "message AS text").union(
+        rejects.select("created_at", "item_id", "error"))
+
+
 @query("service_log_recent", "service_log_lines", """
 SELECT line_no, ts, line FROM service_log_lines
 WHERE ts >= (SELECT max(ts) FROM service_log_lines) - INTERVAL 10 MINUTE
@@ -722,21 +793,45 @@ _LINK = 'href="([^"]*)"'
 
 @query("websearch_ingest", "", f"""
 SELECT 'duckduckgo' AS source, concat('p', page_id) AS post_id, url AS lookup_text,
-  CAST(generate_subscripts(links, 1) AS INT) AS result_no, unnest(links) AS href
-FROM (SELECT page_id, url, regexp_extract_all(html, '{_LINK}', 1) AS links FROM pages)
+  CAST(generate_subscripts(links, 1) AS INT) AS result_no,
+  '{{"href":"' || unnest(links) || '","more":{{"bytes":' || CAST(length(html) AS VARCHAR)
+    || ',"tags":["a",null,true]}},"rank":' || CAST(page_id AS VARCHAR) || '}}' AS websearch_result
+FROM (SELECT page_id, url, html, regexp_extract_all(html, '{_LINK}', 1) AS links FROM pages)
 """)
 def _(t):
-    lookups = t.pages.select(
+    more = F.struct(F.length("html").alias("bytes"), F.parse_json(F.lit('["a",null,true]')).alias("tags"))
+    lookups = t.pages.select(docs.to_document(
         F.lit("duckduckgo").alias("source"),
         F.concat(F.lit("p"), F.col("page_id")).alias("post_id"), F.col("url").alias("lookup_text"),
         F.transform(
             F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)),
-            lambda h: F.create_map(F.lit("href"), h),
+            lambda h: F.struct(F.col("page_id").alias("rank"), h.alias("href"), more.alias("more")),
         ).alias("results"),
-    )
-    rows = feeds.websearch_rows(lookups, F.lit("2024-01-01").cast("timestamp"))
-    return rows.select("source", "post_id", "lookup_text", "result_no",
-                       docs.field("websearch_result", "href").alias("href"))
+    ).alias("value"))
+    records = feeds.parse_records(lookups, "websearch")
+    rows = feeds.websearch_rows(records, F.lit("2024-01-01").cast("timestamp"))
+    return rows.select("source", "post_id", "lookup_text", "result_no", "websearch_result")
+
+
+@query("model_ingest", "", """
+SELECT concat(p_brand, ':', p_partkey) AS name, p_brand AS model, p_partkey * 1000 AS size,
+  md5(p_name) AS digest, '{"families":["' || p_brand || '","x"],"family":"' || p_brand
+    || '","more":{"deep":{"n":' || CAST(p_size AS VARCHAR) || '}},"parameter_size":"7B","quant":null}' AS details,
+  p_partkey * 10 AS size_vram
+FROM part
+""")
+def _(t):
+    records = t.part.select(docs.to_document(
+        F.concat("p_brand", F.lit(":"), "p_partkey").alias("name"), F.col("p_brand").alias("model"),
+        (F.col("p_partkey") * 1000).alias("size"), F.md5("p_name").alias("digest"),
+        F.struct(
+            F.lit("7B").alias("parameter_size"), F.lit(None).cast("string").alias("quant"),
+            F.col("p_brand").alias("family"), F.array("p_brand", F.lit("x")).alias("families"),
+            F.struct(F.struct(F.col("p_size").alias("n")).alias("deep")).alias("more"),
+        ).alias("details"),
+        F.lit("2024-01-01T00:00:00Z").alias("expires_at"), (F.col("p_partkey") * 10).alias("size_vram"),
+    ).alias("value"))
+    return feeds.model_rows(feeds.parse_records(records, "models")).drop("expires_at")
 
 
 @query("price_list", "", """
@@ -954,12 +1049,15 @@ def _(t):
 SELECT '4' AS schema_version, 'reddit' AS source, category, reference_id, llm, analysis
 FROM (SELECT *, row_number() OVER (PARTITION BY analysis ORDER BY reference_id, pos) AS n
       FROM answers)
-WHERE n = 1
+WHERE n = 1 AND analysis NOT IN (SELECT analysis FROM answers WHERE reference_id LIKE '%1')
 """)
 def _(t):
+    """The answers to some items are stored already, under their hashes."""
     stored = enrichment.finish_answers(enrichment.stored_answers(answer_records(t)))
+    held = t.analysis_documents.select("shasum_512").union(
+        stored.where("reference_id LIKE '%1'").select("shasum_512"))
     new = dml.rows_to_insert(
-        t.analysis_documents, stored, UNIQUE_KEYS["analysis_documents"],
+        held, stored, UNIQUE_KEYS["analysis_documents"],
         ["timestamp", "reference_id", "llm_pos"],
     )
     names = ("schema_version", "source", "category", "reference_id", "llm", "analysis")
@@ -1170,6 +1268,74 @@ def _(t):
     )
 
 
+@query("sql_text", "", """
+SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment
+""")
+def _(t):
+    return tables.run_sql(
+        t.spark, f"SELECT c_mktsegment, count(*) AS n FROM parquet.`{t.path('customer')}` GROUP BY c_mktsegment")
+
+
+@query("point_lookup", "posts comments", f"""
+SELECT post_id AS id, post_title || post_body AS text FROM posts
+WHERE post_id = 'p16' AND post_body NOT IN {NO_TEXT}
+UNION ALL SELECT comment_id, comment_body FROM comments
+WHERE comment_id = (SELECT min(comment_id) FROM comments WHERE comment_body NOT IN {NO_TEXT})
+""")
+def _(t):
+    first = enrichment.comment_text(t.comments).agg(F.min("comment_id")).first()[0]
+    post = enrichment.post_text(t.posts, "p16").toDF("id", "text")
+    return post.union(enrichment.comment_text(t.comments, first))
+
+
+@query("plucked_names", "", "SELECT c_name FROM customer")
+def _(t):
+    return tables.pluck(t.customer, "c_name")
+
+
+@query("first_row", "posts", "SELECT post_id FROM posts ORDER BY post_id LIMIT 1")
+def _(t):
+    return top.first_row(t.posts.select("post_id").orderBy("post_id"))
+
+
+@query("document_lists", "analysis_documents", """
+SELECT json_extract_string(analysis_document, '$.category') AS category,
+  json_extract_string(analysis_document, '$.llm') AS llm, count(*) AS n
+FROM analysis_documents GROUP BY ALL
+""")
+def _(t):
+    lists = t.analysis_documents.groupBy(F.col("id") % 100).agg(F.collect_list("analysis_document").alias("d"))
+    parsed = lists.select(F.explode(docs.parsed_documents("d", "category string, llm string")).alias("r"))
+    return parsed.groupBy("r.category", "r.llm").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("document_text", "analysis_documents", "SELECT id, analysis_document AS text FROM analysis_documents")
+def _(t):
+    return t.analysis_documents.select("id", F.col("analysis_document").alias("text"))
+
+
+@query("answer_hashes", "", """
+SELECT lang, count(DISTINCT text) AS hashes, 128 AS length FROM documents GROUP BY lang
+""")
+def _(t):
+    return t.documents.select("lang", docs.sha512_hex("text").alias("h")).groupBy("lang").agg(
+        F.countDistinct("h").alias("hashes"), F.max(F.length("h")).alias("length"))
+
+
+@query("epoch_times", "posts", """
+SELECT post_id, CAST(to_timestamp(post_created_utc) AT TIME ZONE 'UTC' AS TIMESTAMP) AS created FROM posts
+""")
+def _(t):
+    return t.posts.select(
+        "post_id", times.epoch_to_timestamp("post_created_utc").cast("timestamp_ntz").alias("created"))
+
+
+@query("format_width_sql", "", ORACLE["format_width"])
+def _(t):
+    sql_functions.register(t.spark)
+    return t.documents.selectExpr("doc_id", "format_width(text, 80) AS formatted")
+
+
 # --- streams -----------------------------------------------------------------
 
 SLICES, FILES = 6, 2
@@ -1257,13 +1423,15 @@ SELECT 'reject', 'malformed line: ' || line FROM service_log_lines WHERE NOT jso
 """)
 def _(t):
     out = fresh_path(t.spark, "logs")
-    t.service_log_lines.select("line").write.text(out + "/landing")
-    lines = ingest.stream_lines(t.spark, out + "/landing")
+    t.service_log_lines.select("line").repartition(5).write.text(out + "/landing")
+    lines = ingest.stream_lines(t.spark, out + "/landing", 1)
     ingest.service_log_stream(
-        lines, "host", "model-server", out + "/rows", out + "/rejects", out + "/checkpoint"
+        lines, "host", "model-server", out + "/lines", out + "/checkpoint"
     ).awaitTermination()
-    rows = t.spark.read.parquet(out + "/rows").selectExpr("'row' AS kind", "message AS line")
-    return rows.union(t.spark.read.parquet(out + "/rejects").selectExpr("'reject'", "error"))
+    schema = logs.sorted_lines(lines, F.lit("host"), "", F.lit(""), F.col("ts")).schema
+    rows, rejects = (logs.stored_lines(t.spark, out + "/lines", schema, bad) for bad in (False, True))
+    return rows.selectExpr("'row' AS kind", "message AS line").union(
+        rejects.selectExpr("'reject'", "error"))
 
 
 @query("daily_window", "prompt_completion_details", """
@@ -1283,3 +1451,47 @@ def _(t):
         windows.daily_tokens(details), out + "/days", out + "/checkpoint"
     ).awaitTermination()
     return rounded(t.spark.read.parquet(out + "/days"), "total_tokens")
+
+
+# Rows of every 50th event arrive a batch or more late, behind the end of their day.
+_LATE_SECONDS = 3600
+
+
+def _with_stragglers(t: TestTables, folder: str) -> DataFrame:
+    """The events day by day; the first slice's rows with ids divisible by 50 land last."""
+    _arriving(t, folder)
+    first = t.events.agg(F.min("ts")).first()[0]
+    late = t.events.where((F.col("event_id") % 50 == 0) & (F.to_date("ts") == F.lit(first).cast("date")))
+    late.withColumn("event_id", -F.col("event_id") - 1).repartition(FILES).write.mode("append").parquet(folder)
+    return ingest.stream_parquet(t.spark, folder, "*.parquet", t.events.schema, files_per_trigger=FILES)
+
+
+_FINAL_SQL = """
+SELECT CAST(ts AS DATE) AS date, {sums}, 'final' AS kind FROM events
+WHERE CAST(ts AS DATE) < CAST((SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS DATE) {more} GROUP BY 1
+UNION ALL
+SELECT CAST(ts AS DATE), {sums}, 'late' FROM events
+WHERE event_id % 50 = 0 AND CAST(ts AS DATE) = CAST((SELECT min(ts) FROM events) AS DATE) {more} GROUP BY 1
+"""
+
+
+def _final(t: TestTables, name: str, sums: dict, where: str) -> DataFrame:
+    out = fresh_path(t.spark, name)
+    rows = _with_stragglers(t, out + "/landing").where(where)
+    windows.final_days(rows, "ts", sums, out, out + "/checkpoint", _LATE_SECONDS).awaitTermination()
+    final = t.spark.read.parquet(out + "/final").select("date", *sums, F.lit("final").alias("kind"))
+    late = t.spark.read.parquet(out + "/late").groupBy(F.to_date("ts").alias("date")).agg(
+        *[F.sum(v).alias(n) for n, v in sums.items()]).withColumn("kind", F.lit("late"))
+    return final.unionByName(late)
+
+
+@query("final_documents", "", _FINAL_SQL.format(sums="CAST(count(*) AS BIGINT) AS num_documents", more=""))
+def _(t):
+    return _final(t, "final", {"num_documents": F.lit(1)}, "TRUE")
+
+
+@query("final_tokens", "", _FINAL_SQL.format(
+    sums="CAST(sum(CAST(floor(value / 8 * floor(value)) AS BIGINT)) AS BIGINT) AS total_tokens", more="AND value > 1"))
+def _(t):
+    total = F.floor(F.col("value") / 8 * F.floor("value"))
+    return _final(t, "tokens", {"total_tokens": total}, "value > 1")

@@ -14,7 +14,6 @@ from forumlake.sources import feeds
 from forumlake.sources.tables import read_table
 
 REGISTRY = "registry"  # table of seen keys: key, claimed_at
-PROMPTS = "prompts"
 
 
 def _table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -92,7 +91,9 @@ def store_answers(
     spark: SparkSession, base: str, answers: DataFrame, models: DataFrame,
     key: Column | str | bytes | None = None, created_at: Column | None = None,
 ) -> None:
-    """Answer records to document rows and performance rows."""
+    """Answer records to document rows and performance rows, with ids that go on from the stored ones.
+
+    One writer at a time: ids are counted on from the largest one stored."""
     finished = durable(enrichment.finish_answers(enrichment.stored_answers(answers), key))
     order = ["timestamp", "reference_id", "llm_pos"]
     unique = UNIQUE_KEYS["analysis_documents"]
@@ -103,9 +104,19 @@ def store_answers(
     else:
         target = finished.select("shasum_512").limit(0)
     new = dml.rows_to_insert(target, finished, unique, order)
-    performance = enrichment.performance_rows(finished, models, created_at)
-    performance.write.mode("append").parquet(f"{base}/prompt_completion_details")
-    enrichment.document_rows(new).write.mode("append").parquet(path)
+    before = spark.read.schema("id int").parquet(path) if path_exists(spark, path) else None
+    enrichment.document_rows(dml.with_ids(before, new, [*order, "shasum_512"])).write.mode(
+        "append").parquet(path)
+
+    # Behind the documents, and only of answers without one, so that a repeat adds nothing.
+    path = f"{base}/prompt_completion_details"
+    rows = enrichment.performance_rows(finished, models, created_at)
+    before = None
+    if path_exists(spark, path):
+        before = spark.read.schema("id int, doc_shasum_512 string").parquet(path)
+        rows = rows.join(before.select("doc_shasum_512"), "doc_shasum_512", "left_anti")
+    order = ["doc_shasum_512", "name", "prompt_completion_time", "tokens_per_second", "ollama_ver"]
+    dml.with_ids(before, rows, order).write.mode("append").parquet(path)
 
 
 def purge(spark: SparkSession, base: str, out: str) -> None:

@@ -67,11 +67,10 @@ ANSWER_RECORD = (
 )
 MODEL_RECORD = (
     "name STRING, model STRING, size BIGINT, digest STRING, "
-    "details STRUCT<family: STRING, parameter_size: STRING, quantization_level: STRING>, "
-    "expires_at TIMESTAMP, size_vram BIGINT"
+    "details VARIANT, expires_at TIMESTAMP, size_vram BIGINT"
 )
 WEBSEARCH_RECORD = (
-    "source STRING, post_id STRING, lookup_text STRING, results ARRAY<MAP<STRING, STRING>>"
+    "source STRING, post_id STRING, lookup_text STRING, results ARRAY<VARIANT>"
 )
 PRICE_LIST = (
     "embeddings MAP<STRING, DOUBLE>, images MAP<STRING, MAP<STRING, MAP<STRING, DOUBLE>>>, "

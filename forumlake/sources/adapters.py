@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from forumlake.sources.tables import footer_table
+
 VIEWS: dict[str, str] = {
     "posts": """
 SELECT concat('p',doc_id) AS post_id,
@@ -113,13 +115,17 @@ def view_sql(name: str) -> str:
 
 
 class TestTables:
-    """Test tables and views as attributes: ``t.posts``, ``t.events``."""
+    """Test tables and views as attributes: ``t.posts``, ``t.events``.
+
+    With ``footers`` they are read so that counts come from the files' footers.
+    """
 
     __test__ = False
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, footers: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.footers = footers
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -129,6 +135,8 @@ class TestTables:
             text = VIEWS[name].replace("{", "{{").replace("}", "}}")
             used = {n: getattr(self, n) for n in _BASE_NAME.findall(text)}
             return self.spark.sql(_BASE_NAME.sub(r"{\1}", text), **used)
+        if name in BASE_TABLES and self.footers:
+            return footer_table(self.spark, self.path(name), BASE_TABLES[name])
         if name in BASE_TABLES:
             return self.spark.read.schema(BASE_TABLES[name]).parquet(self.path(name))
         raise AttributeError(name)

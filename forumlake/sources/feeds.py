@@ -107,7 +107,8 @@ def author_rows(records: DataFrame) -> DataFrame:
 
 
 def websearch_rows(records: DataFrame, ts: Column | None = None) -> DataFrame:
-    """One row per result of a lookup, in result order; ``result_no`` counts from 1."""
+    """One row per result of a lookup, in result order; ``result_no`` counts from 1. A result keeps
+    its numbers, nested values and all its keys (in the order of their names)."""
     stamp = F.current_timestamp() if ts is None else ts
     return records.select(
         stamp.alias("ts"), "source", "post_id", "lookup_text", F.posexplode("results")
@@ -118,6 +119,12 @@ def websearch_rows(records: DataFrame, ts: Column | None = None) -> DataFrame:
     )
 
 
+def model_rows(records: DataFrame) -> DataFrame:
+    """The model inventory; ``details`` is JSON text with all its keys (in the order of their names)."""
+    return records.filter(F.col("name").isNotNull()).select(
+        "name", "model", "size", "digest", F.to_json("details").alias("details"), "expires_at", "size_vram")
+
+
 def price_rows(lists: DataFrame, column: str = "value", *keep: str) -> DataFrame:
     """Nested price lists to one row per price: kind, model, quality, size, price.
 

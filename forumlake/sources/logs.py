@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.functions.documents import is_json
@@ -14,9 +14,45 @@ def recent_lines(lines: DataFrame, as_of: Column, minutes: int = 10, ts: str = "
     return lines.filter((F.col(ts) >= start) & (F.col(ts) <= as_of))
 
 
+ROW = ("timestamp", "host_name", "service_name", "message")
+REJECT = ("item_id", "item_type", "error", "created_at")
+
+
+def sorted_lines(
+    lines: DataFrame, host: Column, service: str, item_id, created_at: Column, line: str = "line",
+    ts: str = "ts",
+) -> DataFrame:
+    """Every line that is not null once, as a log row or, where it is no JSON, as a row of the
+    ``errors`` table: ``rejected`` tells which, the other's columns are null. Lines are parsed once."""
+    item = F.col(item_id) if isinstance(item_id, str) else item_id
+    found = lines.filter(F.col(line).isNotNull()).withColumn("rejected", ~is_json(line))
+    bad, good = F.col("rejected"), ~F.col("rejected")
+    return found.select(
+        "rejected",
+        F.when(good, F.col(ts)).alias("timestamp"), F.when(good, host).alias("host_name"),
+        F.when(good, F.lit(service)).alias("service_name"), F.when(good, F.col(line)).alias("message"),
+        F.when(bad, item.cast("string")).alias("item_id"),
+        F.when(bad, F.lit("service_log")).alias("item_type"),
+        F.when(bad, F.concat(F.lit("malformed line: "), F.col(line))).alias("error"),
+        F.when(bad, created_at).alias("created_at"),
+    )
+
+
+def store_lines(found: DataFrame, folder: str) -> None:
+    """One write for both kinds, parted by ``rejected``."""
+    found.write.mode("overwrite").partitionBy("rejected").parquet(folder)
+
+
+def stored_lines(spark: SparkSession, folder: str, schema, rejected: bool) -> DataFrame:
+    """The log rows or the rejects of a stored folder; only their part is read."""
+    rows = spark.read.schema(schema).parquet(folder).where(F.col("rejected") == F.lit(rejected))
+    return rows.select(*(REJECT if rejected else ROW))
+
+
 def service_log_rows(
     lines: DataFrame, host: Column, service: str, line: str = "line", ts: str = "ts"
 ) -> DataFrame:
+    """The log rows alone."""
     return lines.filter(is_json(line)).select(
         F.col(ts).alias("timestamp"),
         host.alias("host_name"),
@@ -29,13 +65,8 @@ def rejected_lines(
     lines: DataFrame, item_id, created_at: Column, line: str = "line"
 ) -> DataFrame:
     """Lines that are no JSON, as rows of the ``errors`` table."""
-    item = F.col(item_id) if isinstance(item_id, str) else item_id
-    return lines.filter(F.col(line).isNotNull() & ~is_json(line)).select(
-        item.cast("string").alias("item_id"),
-        F.lit("service_log").alias("item_type"),
-        F.concat(F.lit("malformed line: "), F.col(line)).alias("error"),
-        created_at.alias("created_at"),
-    )
+    found = sorted_lines(lines, F.lit(None).cast("string"), "", item_id, created_at, line, line)
+    return found.filter("rejected").select(*REJECT)
 
 
 def program_log_rows(

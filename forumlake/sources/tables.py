@@ -24,6 +24,19 @@ def run_sql(spark: SparkSession, query: str) -> DataFrame:
     return spark.sql(query)
 
 
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
+def footer_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A Parquet table through the reader that can answer counts from the files' footers."""
+    before = spark.conf.get(V1_SOURCES)
+    spark.conf.set(V1_SOURCES, "")
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    finally:
+        spark.conf.set(V1_SOURCES, before)
+
+
 def select_rows(
     spark: SparkSession, query: str, params: Mapping | Sequence | None = None
 ) -> DataFrame | bool:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from forumlake.functions.predicates import survives_purge
 from forumlake.operators.dml import append_ignore
-from forumlake.sources.logs import rejected_lines, service_log_rows
+from forumlake.sources.logs import sorted_lines, store_lines
 
 
 def _start(rows: DataFrame, step: Callable, checkpoint: str, available_now: bool
@@ -36,17 +36,15 @@ def insert_ignore_stream(
 
 
 def service_log_stream(
-    lines: DataFrame, host: str, service: str, out: str, rejects: str, checkpoint: str,
+    lines: DataFrame, host: str, service: str, out: str, checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Lines (ts, line) to log rows and rejects, each batch in its own folder, so that
-    a repeated batch replaces itself."""
+    """Lines (ts, line) to log rows and rejects (see ``logs.sorted_lines``), in one pass and one
+    write, each batch in its own folder, so that a repeated batch replaces itself."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        service_log_rows(batch, F.lit(host), service).write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}")
-        rejected_lines(batch, F.sha2("line", 256), F.col("ts")).write.mode("overwrite").parquet(
-            f"{rejects}/batch={batch_id}")
+        found = sorted_lines(batch, F.lit(host), service, F.sha2("line", 256), F.col("ts"))
+        store_lines(found, f"{out}/batch={batch_id}")
 
     return _start(lines, step, checkpoint, available_now)
 

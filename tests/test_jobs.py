@@ -79,10 +79,18 @@ def test_from_feed_to_documents(spark, tmp_path, rows):
     assert json.loads(stored[0]["analysis_document"]) == {
         "schema_version": "4", "source": "reddit", "category": "post", "reference_id": "p1",
         "llm": "gemma2", "analysis": "answer 1"}
-    # Performance rows have no unique key: each run adds its own.
+    assert [r["id"] for r in stored] == [1]
+    named = spark.read.parquet(base + "/analysis_documents").select("reference_id", "category", "llm")
+    assert rows(named) == [("p1", "post", "gemma2")]
+    # A repeated run adds neither documents nor performance rows; another answer goes on counting.
     speed = spark.read.parquet(base + "/prompt_completion_details").collect()
     assert [(r["name"], r["tokens_per_second"], r["prompt_completion_time"]) for r in speed] == [
-        ("gemma2:latest", 2.0, 2)] * 2
+        ("gemma2:latest", 2.0, 2)]
+    other = answers.withColumn("message", F.struct(F.lit("another").alias("content"))).withColumn(
+        "reference_id", F.lit("p9"))
+    jobs.store_answers(spark, base, other, models, created_at=now)
+    for name in ("analysis_documents", "prompt_completion_details"):
+        assert rows(spark.read.parquet(f"{base}/{name}"), "id") == [(1,), (2,)]
     # After 30 days only posts without a document come up again.
     again = jobs.claim_and_prompt(spark, base, "post", ["phi4"], much_later)
     assert rows(again, "reference_id") == [("p3",), ("p4",)]

@@ -336,6 +336,24 @@ def test_snapshot_export_refuses_to_overwrite(spark, tmp_path):
         dml.export_snapshot(tables, str(tmp_path), 1704067200)
 
 
+def test_export_is_observed_as_it_is_written(spark, tmp_path):
+    import hashlib
+
+    data = [("a", 1, 0.5), (None, 2, None)]
+    tables = {"t": spark.createDataFrame(data, "s string, i int, d double"), "empty": spark.createDataFrame([], "s string")}
+    folder = dml.export_snapshot(tables, str(tmp_path), 1)
+    total = sum(int(hashlib.md5(text.encode()).hexdigest()[:8], 16) for text in ("a|1", "|2"))
+    got = {tuple(r) for r in dml.manifest(spark, folder).collect()}
+    assert got == {("t", 2, total), ("empty", 0, 0)}
+
+
+def test_ids_go_on_from_the_stored_ones(spark, rows):
+    new = spark.createDataFrame([("c",), ("a",), ("b",)], "k string")
+    assert rows(dml.with_ids(None, new, ["k"]), "k", "id") == [("a", 1), ("b", 2), ("c", 3)]
+    held = spark.createDataFrame([(7,), (4,)], "id int")
+    assert rows(dml.with_ids(held, new, ["k"]), "k", "id") == [("a", 8), ("b", 9), ("c", 10)]
+
+
 def test_row_count_history(spark, tmp_path):
     path = str(tmp_path / "h")
     tables = {"posts": spark.range(3), "row_count_history": spark.range(9), "pg_x": spark.range(1)}

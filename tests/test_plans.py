@@ -13,7 +13,8 @@ from forumlake.schemas import TABLES
 from forumlake.sources.tables import read_table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-STREAMS = {"claim_stream", "quota_stream", "feed_stream", "service_log_stream", "daily_window"}
+STREAMS = {"claim_stream", "quota_stream", "feed_stream", "service_log_stream", "daily_window",
+           "final_documents", "final_tokens"}
 
 
 def plan(df) -> str:
@@ -88,3 +89,38 @@ def test_stored_ids_leave_the_documents_unread(lake, no_auto_broadcast):
     assert "analysis_document" not in stored.columns
     text = plan(enrichment.unanalyzed_posts(lake["posts"], stored))
     assert "LeftAnti" in text
+
+
+def test_counts_come_from_the_footers(spark, tmp_path):
+    from forumlake.operators import dml
+    from forumlake.sources.tables import footer_table
+
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "CAST(id AS STRING) AS body").repartition(3).write.parquet(path)
+    table = footer_table(spark, path)
+    counted = dml.count_rows({"t": table, "view": table.selectExpr("concat(body, 'x') AS y")})
+    text = plan(counted)
+    assert text.count("PushedAggregation: [COUNT(*)]") == 2
+    assert sorted(map(tuple, counted.collect())) == [("t", 1000), ("view", 1000)]
+
+
+def test_log_lines_are_read_and_parsed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from forumlake.sources import logs
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([('{"a":1}',), ("{bad",)], "line string").write.parquet(path)
+    lines = spark.read.parquet(path).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    found = logs.sorted_lines(lines, F.lit("h"), "s", "line", F.col("ts"))
+    assert plan(found).count("Scan parquet") == 2  # the tree line and the detail of one scan
+
+
+def test_bundles_of_stored_ids_parse_no_json(lake, no_auto_broadcast):
+    from forumlake.plans import service
+
+    stored = joins.with_id_columns(lake["analysis_documents"])
+    named = stored.select("id", "analysis_document", "reference_id", "category", "llm")
+    frame = named.sparkSession.createDataFrame([], named.schema)
+    text = plan(service.bundles(lake["posts"], lake["comments"], frame))
+    assert "json_tuple" not in text and "LeftSemi" in text

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forumlake.operators import numbering, registry
 from forumlake.schemas import UNIQUE_KEYS
-from forumlake.sources import feeds
+from forumlake.sources import feeds, logs
 from forumlake.streaming import ingest, state, windows
 
 SCHEMA = "key string, ts timestamp_ntz, id bigint, value double"
@@ -145,13 +145,31 @@ def test_logs_and_rejects(spark, tmp_path):
     (landing / "1.log").write_text('{"a":1}\n{bad\n')
     (landing / "2.log").write_text('{"a":2}\n')
     out = str(tmp_path / "out")
-    ingest.service_log_stream(
-        ingest.stream_lines(spark, str(landing), 1), "h", "svc", out + "/rows", out + "/bad",
-        out + "/ckpt").awaitTermination()
-    assert sorted(r["message"] for r in spark.read.parquet(out + "/rows").collect()) == [
-        '{"a":1}', '{"a":2}']
-    assert [r["error"] for r in spark.read.parquet(out + "/bad").collect()] == [
-        "malformed line: {bad"]
+    lines = ingest.stream_lines(spark, str(landing), 1)
+    ingest.service_log_stream(lines, "h", "svc", out + "/lines", out + "/ckpt").awaitTermination()
+    schema = logs.sorted_lines(lines, F.lit("h"), "svc", F.lit("i"), F.col("ts")).schema
+    rows, bad = (logs.stored_lines(spark, out + "/lines", schema, r).collect() for r in (False, True))
+    assert sorted(r["message"] for r in rows) == ['{"a":1}', '{"a":2}']
+    assert {(r["host_name"], r["service_name"]) for r in rows} == {("h", "svc")}
+    assert [(r["item_type"], r["error"]) for r in bad] == [("service_log", "malformed line: {bad")]
+
+
+def test_days_are_final_once(spark, tmp_path):
+    """Days come out when the clock is an hour past them; what comes later is set aside."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    hours = [[1, 2, 23], [25, 24.5], [26, 5, 50], [3, 27, 74], [None, 100]]
+    for n, batch in enumerate(hours):
+        part = [("k", h if h is None else DAY0 + dt.timedelta(hours=h), n * 10 + i, 1.0) for i, h in enumerate(batch)]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    query = windows.final_days(stream(spark, path), "ts", {"n": F.lit(1), "total": F.col("value")}, out, out + "/ckpt", 3600)
+    query.awaitTermination()
+    final = {(r["date"].day, r["n"], r["total"]) for r in spark.read.parquet(out + "/final").collect()}
+    # Hour 25 closes the first day; hours 5 and 3 come after it, hour 27 after the second was closed.
+    assert final == {(1, 3, 3.0), (2, 3, 3.0), (3, 1, 1.0), (4, 1, 1.0)}
+    late = [r["ts"] and (r["ts"] - DAY0).total_seconds() / 3600 for r in spark.read.parquet(out + "/late").collect()]
+    assert sorted(late, key=repr) == sorted([5.0, 3.0, 27.0, None], key=repr)
+    open_ = spark.read.parquet(out + "/open/batch=4/days").collect()
+    assert [(r["date"].day, r["n"]) for r in open_] == [(5, 1)]
 
 
 def test_days_stay_current(spark, landing, tmp_path, rows):

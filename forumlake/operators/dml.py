@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from forumlake.functions.predicates import survives_purge
 from forumlake.operators.joins import BROADCAST_ROWS
 from forumlake.operators.numbering import running_number
-from forumlake.session import durable, path_exists
+from forumlake.session import durable, list_folder, path_exists
 
 Keys = Sequence[Sequence[str]]
 
@@ -113,19 +114,80 @@ def conflicting_rows(target: DataFrame, batch: DataFrame, unique: Keys) -> DataF
     return reduce(DataFrame.unionByName, parts) if parts else target
 
 
+# A new table with one unique key is stored in so many folders by the key's hash; the name of
+# the folders' column tells the number, so that another one can be used for other tables.
+BUCKETS = 64
+# A batch puts the files of a folder together when there are more of them.
+MOST_FILES = 16
+_BUCKET_NAME = re.compile(r"^key(\d+)$")
+
+
+def bucket_column(spark: SparkSession, path: str) -> str | None:
+    """The column by which the table at ``path`` is stored, if it is stored by key."""
+    names = {f.getPath().getName().split("=")[0] for f in list_folder(spark, path)}
+    return next((n for n in names if _BUCKET_NAME.match(n)), None)
+
+
+def bucket(cols: Sequence[str], column: str) -> Column:
+    texts = [F.col(c).cast("string") for c in cols]
+    return F.pmod(F.xxhash64(*texts), F.lit(int(_BUCKET_NAME.match(column)[1]))).cast("int").alias(column)
+
+
+def touched_rows(
+    spark: SparkSession, path: str, staged: DataFrame, cols: Sequence[str], column: str
+) -> DataFrame:
+    """The key columns of the folders that the batch falls into; the others are not read."""
+    touched = sorted(r[0] for r in staged.select(column).distinct().collect())
+    schema = staged.select(*cols, column).schema
+    held = spark.read.schema(schema).parquet(path)
+    return held.where(F.col(column).isin(touched)).select(*cols)
+
+
+def compact(spark: SparkSession, path: str, column: str, most_files: int = MOST_FILES) -> list[int]:
+    """Put together the folders that hold more than ``most_files`` files; which ones.
+
+    Their rows are staged in the shared folder first, so that a broken run loses none.
+    """
+    full = []
+    for folder in list_folder(spark, path):
+        name = folder.getPath().getName()
+        if name.startswith(f"{column}=") and len(list_folder(spark, str(folder.getPath()))) > most_files:
+            full.append(int(name.split("=")[1]))
+    if full:
+        staged = durable(spark.read.parquet(path).where(F.col(column).isin(full)))
+        staged.repartition(column).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    return sorted(full)
+
+
 def append_ignore(
     spark: SparkSession, path: str, batch: DataFrame, unique: Keys, order
 ) -> None:
     """Insert-or-ignore into the Parquet table at ``path``. With a unique key, running it
-    again adds nothing."""
-    new = batch
-    if unique and path_exists(spark, path):
-        columns = sorted({c for cols in unique for c in cols})
-        target = spark.read.schema(batch.select(*columns).schema).parquet(path)
-        new = rows_to_insert(conflicting_rows(target, batch, unique), batch, unique, order)
-    elif unique:
-        new = rows_to_insert(batch.limit(0), batch, unique, order)
-    new.write.mode("append").parquet(path)
+    again adds nothing.
+
+    A table with one unique key is stored by the hash of the key. The batch is computed
+    once, meets the key columns of its own folders only, and puts their files together
+    when they have become many. Readers see the folders' column behind the table's own.
+    """
+    exists = path_exists(spark, path)
+    column = bucket_column(spark, path) if exists else f"key{BUCKETS}"
+    if len(unique) != 1 or column is None:
+        new = batch
+        if unique and exists:
+            columns = sorted({c for cols in unique for c in cols})
+            target = spark.read.schema(batch.select(*columns).schema).parquet(path)
+            new = rows_to_insert(conflicting_rows(target, batch, unique), batch, unique, order)
+        elif unique:
+            new = rows_to_insert(batch.limit(0), batch, unique, order)
+        new.write.mode("append").parquet(path)
+        return
+    cols = unique[0]
+    staged = durable(batch.select("*", bucket(cols, column)))
+    target = touched_rows(spark, path, staged, cols, column) if exists else staged.limit(0)
+    new = rows_to_insert(target, staged, unique, order)
+    new.repartition(column).write.mode("append").partitionBy(column).parquet(path)
+    compact(spark, path, column)
 
 
 def update_by_key(

@@ -509,6 +509,31 @@ def _(t):
     return target.unionByName(new.drop("feed_no"))
 
 
+@query("insert_by_batches", "posts", """
+WITH batch AS (
+  SELECT concat('p', doc_id * 2) AS post_id, source AS subreddit, doc_id AS feed_no,
+    text AS post_body FROM documents
+  UNION ALL
+  SELECT concat('p', c_custkey), c_mktsegment, c_custkey, c_name FROM customer)
+SELECT post_id, subreddit, post_body FROM posts
+UNION ALL
+SELECT post_id, subreddit, post_body FROM (
+  SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY feed_no % 3, feed_no, md5(post_body)) AS n
+  FROM batch)
+WHERE n = 1 AND post_id NOT IN (SELECT post_id FROM posts)
+""")
+def _(t):
+    """Four batches into a table that is stored by key."""
+    path = fresh_path(t.spark, "keyed")
+    columns = ["post_id", "subreddit", "post_body"]
+    order = ["feed_no", F.md5("post_body")]
+    first = t.posts.select(*columns, F.lit(0).cast("bigint").alias("feed_no"))
+    batch = _insert_batch(t).select(*columns, "feed_no")
+    for own in (first, *(batch.where(F.col("feed_no") % 3 == n) for n in range(3))):
+        dml.append_ignore(t.spark, path, own, UNIQUE_KEYS["posts"], order)
+    return t.spark.read.parquet(path).select(*columns)
+
+
 @query("insert_without_key", "subscription", """
 SELECT * FROM subscription
 UNION ALL SELECT '1704067200', source FROM documents

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,11 @@ from forumlake.schemas import TABLES
 
 
 def read_table(spark: SparkSession, name: str, base: str, fmt: str = "parquet") -> DataFrame:
-    """One of the twelve tables under ``base``, read with its declared schema."""
-    return spark.read.schema(TABLES[name]).format(fmt).load(f"{base.rstrip('/')}/{name}")
+    """One of the twelve tables under ``base``, read with its declared schema. The column of the
+    folders of a table that is stored by key is left out."""
+    table = spark.read.schema(TABLES[name]).format(fmt).load(f"{base.rstrip('/')}/{name}")
+    extra = [c for c in table.columns if re.match(r"^key\d+$", c)]
+    return table.drop(*extra)
 
 
 def read_tables(spark: SparkSession, base: str, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -124,3 +124,34 @@ def test_bundles_of_stored_ids_parse_no_json(lake, no_auto_broadcast):
     frame = named.sparkSession.createDataFrame([], named.schema)
     text = plan(service.bundles(lake["posts"], lake["comments"], frame))
     assert "json_tuple" not in text and "LeftSemi" in text
+
+
+def test_a_batch_reads_its_own_folders_of_the_target(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from forumlake.operators import dml
+
+    path = str(tmp_path / "t")
+    rows = spark.range(2000).selectExpr("concat('k', id) AS k", "id AS v")
+    dml.append_ignore(spark, path, rows, [["k"]], ["v"])
+    column = dml.bucket_column(spark, path)
+    assert column == "key64"
+    batch = spark.createDataFrame([("k7", 1), ("new", 2), ("new", 3)], "k string, v bigint")
+    staged = batch.select("*", dml.bucket(["k"], column))
+    held = dml.touched_rows(spark, path, staged, ["k"], column)
+    line = next(x for x in plan(held).splitlines() if "PartitionFilters" in x)
+    assert f"{column}" in line and "IN (" in line
+    assert 0 < len(held.inputFiles()) and held.count() < 200
+    for _ in range(2):
+        dml.append_ignore(spark, path, batch, [["k"]], ["v"])
+    got = spark.read.parquet(path)
+    assert got.count() == 2001 and got.where("k = 'new'").first()["v"] == 2
+    assert got.groupBy("k").count().where("count > 1").count() == 0
+    # Only folders with many files are put together.
+    for n in range(3):
+        dml.append_ignore(spark, path, spark.createDataFrame([(f"x{n}", n)], "k string, v bigint"), [["k"]], ["v"])
+    before = got.count() + 3
+    full = dml.compact(spark, path, column, most_files=1)
+    assert full and len(full) < 64
+    after = spark.read.parquet(path)
+    assert after.count() == before == 2004 and after.where(F.col(column).isin(full)).count() > 0

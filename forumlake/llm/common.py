@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forumlake.session import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -30,6 +32,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a stage table behind its last use. Only whole tables in the shared folder go.
+
+    What was computed from it must be stored by then: a lost executor's work is repeated
+    from the tables that are left.
+    """
+    spark = stored.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    shared = path_of(shared_dir(spark)).toUri().getPath()
+    for folder in folders:
+        path = path_of(folder)
+        if path.getName().startswith("stage-") and path.getParent().toUri().getPath() == shared:
+            path.getFileSystem(conf).delete(path, True)
+
+
 class Cache(dict):
     """Values by key, computed when first asked for; emptied to its base when full.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forumlake.llm.common import discard
 from forumlake.session import durable
 
 
@@ -26,9 +27,11 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select("v", "v").distinct())
         mark = tuple(state)
         both = edges.union(edges.select("v", "u"))
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        first = least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = durable(large.where("u <> v").distinct())
         least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.union(least).where("u <> v").distinct())
+        before, edges = edges, durable(small.union(least).where("u <> v").distinct())
+        for stage in (before, first, large, least):
+            discard(stage)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import free_name, ship_package
+from forumlake.llm.common import discard, free_name, ship_package
 from forumlake.llm.components import components
 from forumlake.llm.words import hashed_words, shingles_of
 from forumlake.session import durable
@@ -116,10 +116,19 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     both = durable(texts.mapInPandas(read, SET_COLUMNS))
     counted = both.where("shingles IS NOT NULL").select(
         F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("x.shingles", "x.counts")
-    frequent = counted.groupBy("shingles").agg(F.sum("counts").alias("n")).where(
-        F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingles").limit(MOST_FREQUENT)
-    last = np.sort(frequent.select("shingles").toPandas()["shingles"].to_numpy("int64"))
-    return both.where("n IS NOT NULL").select("doc_id", "n", "sig"), last
+    frequent = durable(counted.groupBy("shingles").agg(F.sum("counts").alias("n")).where(F.col("n") >= FREQUENT))
+    # Those above a count that keeps the list in its bound; no task sorts them all.
+    least, listed = FREQUENT, 0
+    for row in sorted(frequent.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        listed += row["rows"]
+        if listed > MOST_FREQUENT:
+            least = row["n"] + 1
+            break
+    last = np.sort(frequent.where(F.col("n") >= least).select("shingles").toPandas()["shingles"].to_numpy("int64"))
+    documents = durable(both.where("n IS NOT NULL").select("doc_id", "n", "sig"))
+    discard(both)
+    discard(frequent)
+    return documents, last
 
 
 def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
@@ -232,7 +241,9 @@ def index_lists(first: DataFrame) -> DataFrame:
     few = likely_in(entries, "shingle", counts)
     lists = few.join(counts, "shingle").groupBy("shingle", "sig").agg(
         F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("length").alias("length"))
-    return durable(lists)
+    lists = durable(lists)
+    discard(counts)
+    return lists
 
 
 def met_by_blocks(entries: DataFrame, more: str = "TRUE") -> DataFrame:
@@ -241,9 +252,10 @@ def met_by_blocks(entries: DataFrame, more: str = "TRUE") -> DataFrame:
     An entry meets the blocks of its list from three quarters of its size to the largest
     size that its place allows.
     """
-    most = "greatest(n, CAST(floor((4 * n - 7 * pos) / 3) AS BIGINT))"
+    most = "CAST(floor((4 * n - 7 * pos) / 3) AS BIGINT)"
     low = f"greatest(0, {band('greatest(1, floor(3 * n / 4))')})"
-    probes = entries.withColumn("block", F.explode(F.expr(f"sequence({low}, {band(most)})"))).alias("x")
+    able = entries.where(f"{most} >= 1 AND 4 * {most} >= 3 * n")
+    probes = able.withColumn("block", F.explode(F.expr(f"sequence({low}, {band(most)})"))).alias("x")
     blocks = entries.withColumn("block", F.expr(band("n"))).alias("y")
     joined = probes.join(blocks, F.expr(
         f"x.shingle = y.shingle AND x.block = y.block AND x.sig < y.sig AND {fits('x', 'y')} AND {more}"))
@@ -272,7 +284,9 @@ def possible(pairs: DataFrame, first: DataFrame) -> DataFrame:
     few = likely_in(first, "sig", ends_of(pairs)).dropDuplicates(["sig"])
     counted = both_sets(pairs, few, "first")
     behind = "greatest(CAST(floor((3 * n + 3) / 4) AS BIGINT), CAST(floor((3 * m + 3) / 4) AS BIGINT)) - 1"
-    return durable(counted.where(f"overlap + {behind} >= {need('n', 'm')}"))
+    kept = durable(counted.where(f"overlap + {behind} >= {need('n', 'm')}"))
+    discard(pairs)
+    return kept
 
 
 def overlaps(df: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
@@ -316,8 +330,11 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     All links between sets in different components of the first round are met, so the
     components of the result are those of all links.
     """
-    first = durable(prefixes(df, text_col, last))
-    lists = index_lists(first)
+    every = durable(prefixes(df, text_col, last))
+    lists = index_lists(every)
+    # Most sets stand in no list: nothing of theirs is asked for again.
+    first = durable(likely_in(every, "sig", lists.select("sig").distinct()))
+    discard(every)
     short = lists.where(F.col("length") <= SHORT_LIST)
     sketches = first.select("sig", "sketch").dropDuplicates(["sig"])
     long_ = durable(lists.where(F.col("length") > SHORT_LIST).join(sketches, "sig"))
@@ -338,6 +355,7 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     # The sketches leave few that their first elements could still rule out.
     met = durable(best.union(led).distinct())
     known = overlaps(df, text_col, met)
+    discard(leaders)
     roots = durable(components(linked(known)))
 
     def with_root(frame: DataFrame, key: str, name: str) -> DataFrame:
@@ -346,16 +364,24 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
 
     apart = with_root(with_root(close.select("a", "b"), "a", "r"), "b", "q").where("r <> q").select("a", "b")
     rooted = durable(with_root(long_, "sig", "root"))
+    discard(long_)
+    discard(lists)
     open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
     entries = rooted.join(open_.select("shingle"), "shingle", "left_semi")
     far = met_by_blocks(entries, f"x.root <> y.root AND {alike}")
     rest = possible(apart.union(far).distinct().join(met, ["a", "b"], "left_anti"), first)
+    for stage in (first, rooted, close, met, roots):
+        discard(stage)
     derived = durable(answered(rest.select("a", "b", "n", "m"), known))
+    discard(rest)
     wanted = need("n", "m")
     by_bound = derived.where(f"least >= {wanted}").select("a", "b")
     unclear = derived.where(f"coalesce(least < {wanted} AND most >= {wanted}, TRUE)")
     checked = overlaps(df, text_col, unclear)
-    return durable(linked(known).union(by_bound).union(linked(checked)))
+    links = durable(linked(known).union(by_bound).union(linked(checked)))
+    for stage in (known, derived, checked):
+        discard(stage)
+    return links
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +398,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     alone = documents.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig",
         F.col("sig").alias("root"))
-    roots = durable(components(links_of(df, text_col, last)))
+    links = links_of(df, text_col, last)
+    roots = durable(components(links))
+    discard(links)
     sets = documents.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     sets = durable(sets.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn(
         "root", F.coalesce("root", "sig")))

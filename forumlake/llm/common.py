@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterable
@@ -27,6 +28,11 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names; a dot in one is part of it."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """A to Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -49,6 +55,16 @@ def discard(stored: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nobody holds any more.
+
+    Its cleaner learns of them when the driver's memory is collected, which a small driver
+    that only waits for jobs does rarely.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Cache(dict):
     """Values by key, computed when first asked for; emptied to its base when full.
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import free_name, ship_package
+from forumlake.llm.common import all_columns, free_name, ship_package
 from forumlake.llm.words import hashed_words, shingles_of
 from forumlake.session import durable
 
@@ -410,6 +410,6 @@ def drop_leaks(
         digest = F.sha2(F.col(text_col), 256)
         texts = df.select(digest.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
         leaks = durable(found_by_parts(texts, rows, n).select(F.col("key").alias(name)).distinct())
-        return df.withColumn(name, digest).join(leaks, name, "left_anti").select(*df.columns)
+        return df.withColumn(name, digest).join(leaks, name, "left_anti").select(*all_columns(df))
     hits = hits_column(F.col(text_col), rows)
-    return df.withColumn(name, hits).where(F.size(name) == 0).select(*df.columns)
+    return df.withColumn(name, hits).where(F.size(name) == 0).select(*all_columns(df))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from forumlake.llm.common import free_name
+from forumlake.llm.common import all_columns, free_name
 from forumlake.session import durable
 
 #: A digest on more than this share of the rows is certain to be among the frequent ones.
@@ -91,4 +91,4 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                       | F.col(f"rows.{id_col}").eqNullSafe(F.col("hot.hot_id")))
     left = left.select("rows.*")
     stay = groups.where("kept").select(keyed(F.col("digest"), F.col("id")).alias(key))
-    return left.join(stay, key, "left_semi").dropDuplicates([key]).select(*df.columns)
+    return left.join(stay, key, "left_semi").dropDuplicates([key]).select(*all_columns(df))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from forumlake.llm.common import free_name, ship_package
+from forumlake.llm.common import all_columns, free_name, ship_package
 from forumlake.session import durable
 
 ORDER = 4
@@ -39,9 +39,11 @@ STANDARD_ERRORS = 4.0
 #: The score counts the evidence of at most so many characters.
 SCORE_CHARS = 100
 
+# Characters that count as parts of words elsewhere, but are numbers: fractions, powers, circled ones.
+NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 # Letters next to digits belong to codes and are not words of a language.
-WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
-LETTER = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"(?<!\w)[^\W\d_{NUMBERS}]+(?!\w)")
+LETTER = re.compile(rf"[^\W\d_{NUMBERS}]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -356,4 +358,4 @@ def keep_accepted(df: DataFrame, model: Model, text_col: str = "text") -> DataFr
     """The rows of ``df`` whose text the model accepts, with all their columns."""
     name = free_name(df.columns, "language")
     found = df.withColumn(name, language_columns(df, model, text_col))
-    return found.where(F.col(name)["accepted"]).select(*df.columns)
+    return found.where(F.col(name)["accepted"]).select(*all_columns(df))

@@ -340,3 +340,21 @@ def test_url_odd_rows(spark):
     assert urls.url_verdicts(pages.limit(0), catalog.RULES, listed).count() == 0
     none = urls.compile_list(spark.createDataFrame([], "url string"))
     assert urls.url_verdicts(pages, [], none).where("verdict = 'block'").count() == 0
+
+
+def test_only_letters_make_words():
+    assert langid.words_of("½ ² ① Ⅷ x² haus 中文 a1") == ["haus", "中文"]
+    assert langid.words_of("½²①") == []
+
+
+@pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup", "decontamination", "language_id"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    import corpus_pipeline
+
+    text = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(i, text if i < 3 else f"{text} {i} " * 3 if i else None, "en", i, "v") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `x.y` int, `a``b` string")
+    kept = dict(corpus_pipeline.STAGES)[stage](spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    for row in kept.collect():
+        assert row["x.y"] == row["doc_id"] and row["a`b"] == "v"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forumlake.operators.joins import broadcast_if_small
@@ -85,6 +85,20 @@ def train_profiles(labelled: DataFrame, text: str, lang: str) -> Profiles:
     return Profiles(grams, durable(common), langs)
 
 
+def save_profiles(profiles: Profiles, folder: str) -> None:
+    """Store what was learned, so that later jobs only score."""
+    profiles.grams.write.mode("errorifexists").parquet(f"{folder}/grams")
+    profiles.words.write.mode("errorifexists").parquet(f"{folder}/words")
+    langs = profiles.grams.sparkSession.createDataFrame(list(enumerate(profiles.langs)), "at int, lang string")
+    langs.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/langs")
+
+
+def load_profiles(spark: SparkSession, folder: str) -> Profiles:
+    langs = spark.read.parquet(f"{folder}/langs").orderBy("at").collect()
+    grams, words = (spark.read.parquet(f"{folder}/{name}") for name in ("grams", "words"))
+    return Profiles(grams, words, [r["lang"] for r in langs])
+
+
 def _common_words(counted: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` words that are frequent in some language.
 

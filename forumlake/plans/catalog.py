@@ -991,6 +991,24 @@ def _(t):
     return language.detect_language(documents, "doc_id", "text", profiles)
 
 
+_HELD_OUT_SQL = ORACLE["detect_language"].replace(
+    "FROM grams GROUP BY lang, gram", "FROM grams WHERE doc_id % 2 = 0 GROUP BY lang, gram").replace(
+    "FROM grams GROUP BY doc_id, gram", "FROM grams WHERE doc_id % 2 = 1 GROUP BY doc_id, gram").replace(
+    "SELECT d.doc_id, b.l AS detected FROM documents d", "SELECT d.lang, b.l AS detected, count(*) AS n FROM documents d")
+
+
+@query("detect_held_out", "", _HELD_OUT_SQL + " WHERE d.doc_id % 2 = 1 GROUP BY ALL")
+def _(t):
+    """Learned from one half of the documents and stored; how the other half comes out."""
+    folder = fresh_path(t.spark, "profiles")
+    even = F.col("doc_id") % 2 == 0
+    language.save_profiles(language.train_profiles(t.documents.where(even), "text", "lang"), folder)
+    rows = t.documents.where(~even)
+    found = language.detect_language(rows, "doc_id", "text", language.load_profiles(t.spark, folder))
+    return found.join(rows.select("doc_id", "lang"), "doc_id").groupBy("lang", "detected").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("language_gate", "posts", f"""
 SELECT p.post_id, p.post_title || p.post_body AS text FROM posts p
 LEFT JOIN documents d ON concat('p', d.doc_id) = p.post_id

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
 from collections.abc import Iterable
@@ -55,16 +54,6 @@ def discard(stored: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that nobody holds any more.
-
-    Its cleaner learns of them when the driver's memory is collected, which a small driver
-    that only waits for jobs does rarely.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Cache(dict):
     """Values by key, computed when first asked for; emptied to its base when full.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import discard, free_name, ship_package
+from forumlake.llm.common import all_columns, discard, free_name, ship_package
 from forumlake.llm.components import components
 from forumlake.llm.words import hashed_words, shingles_of
 from forumlake.session import durable
@@ -448,9 +448,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = df.withColumn(sig, set_number(F.col(text_col))).withColumn(word, _word(sig))
     rows = rows.join(F.broadcast(words), word, "left").withColumn(
         likely, F.coalesce(F.col(bits).bitwiseAND(_bits(sig)) == _bits(sig), F.lit(False)))
-    alone = rows.where(~F.col(likely)).select(*df.columns)
+    alone = rows.where(~F.col(likely)).select(*all_columns(df))
     rows = rows.where(likely).withColumn(key, keyed(F.col(id_col).cast("long"), F.col(sig)))
     rows = rows.join(held.withColumn(word, F.lit(1)).select(F.col(sig), F.col(word).alias(copy)), sig, "left")
-    false_hits = rows.where(F.col(copy).isNull()).select(*df.columns)
+    false_hits = rows.where(F.col(copy).isNull()).select(*all_columns(df))
     together = rows.where(F.col(copy).isNotNull()).join(stay, key, "left_semi").dropDuplicates([key])
-    return alone.union(false_hits).union(together.select(*df.columns))
+    return alone.union(false_hits).union(together.select(*all_columns(df)))

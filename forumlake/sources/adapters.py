@@ -136,7 +136,9 @@ class TestTables:
             used = {n: getattr(self, n) for n in _BASE_NAME.findall(text)}
             return self.spark.sql(_BASE_NAME.sub(r"{\1}", text), **used)
         if name in BASE_TABLES and self.footers:
-            return footer_table(self.spark, self.path(name), BASE_TABLES[name])
+            # Kept, so that views over one table look for its files once.
+            self.__dict__[name] = footer_table(self.spark, self.path(name), BASE_TABLES[name])
+            return self.__dict__[name]
         if name in BASE_TABLES:
             return self.spark.read.schema(BASE_TABLES[name]).parquet(self.path(name))
         raise AttributeError(name)

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,33 @@ def test_claims_that_come_late(spark, tmp_path):
                            ttl_seconds=30 * 86400).awaitTermination()
     got = spark.read.parquet(out + "/rows").filter("claimed").collect()
     assert sorted((r["ts"] - DAY0).days for r in got) == [0, 40, 75, 105]
+
+
+class MapInMemory(dict):
+    """What a processor asks of the state store, and how often rows of it were written."""
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_one_call_answers_all_keys_of_a_group():
+    """Rows of several keys, in two frames and out of order, with counters from batches before."""
+    quota = state.QuotaProcessor(["id"], 2)
+    quota.count = MapInMemory({("a",): (2,)})
+    frames = [pd.DataFrame({"key_": keys, "group_": 0, "id": ids}) for keys, ids in ((["b", "a"], [3, 5]), (["a", "b"], [1, 2]))]
+    got = pd.concat(quota.handleInputRows((0,), iter(frames), None))
+    assert dict(zip(got["id"], got["allowed"])) == {1: False, 5: True, 2: True, 3: True}
+    assert quota.count == {("a",): (1,), ("b",): (2,)} and list(got) == ["id", "allowed"]
+
+
+def test_keys_of_any_type_and_null(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    part = [(k, DAY0, i, 0.0) for i, k in enumerate([None, 1, None, 2, 1] * 5)]
+    spark.createDataFrame(part, "key int, ts timestamp_ntz, id bigint, value double").coalesce(1).write.parquet(path)
+    rows = ingest.stream_parquet(spark, path, "*.parquet", "key int, ts timestamp_ntz, id bigint, value double", files_per_trigger=1)
+    state.quota_stream(rows, "key", ["id"], out + "/rows", out + "/ckpt", 4).awaitTermination()
+    refused = [tuple(r) for r in spark.read.parquet(out + "/rows").where("NOT allowed").select("key", "id").collect()]
+    assert sorted(refused, key=repr) == [(1, 11), (1, 24), (2, 23), (None, 10), (None, 22)]

@@ -41,14 +41,23 @@ SCORE_CHARS = 100
 
 # Characters that count as parts of words elsewhere, but are numbers: fractions, powers, circled ones.
 NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+# Sets of plain characters are looked up at once, without the rare ones behind U+FFFF. Beside
+# classes like \W each character would be compared with all of them.
+NUMBER = re.compile(f"[{''.join(c for c in NUMBERS if c <= chr(0xFFFF))}]")
+RARE = re.compile(f"[{chr(0x10000)}-{chr(0x10FFFF)}]")
+RARE_NUMBER = re.compile(f"[{''.join(c for c in NUMBERS if c > chr(0xFFFF))}]")
 # Letters next to digits belong to codes and are not words of a language.
-WORD = re.compile(rf"(?<!\w)[^\W\d_{NUMBERS}]+(?!\w)")
-LETTER = re.compile(rf"[^\W\d_{NUMBERS}]+")
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+LETTER = re.compile(r"[^\W\d_]+")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
+    if not text.isascii():  # numbers of every kind part words as digits do
+        text = NUMBER.sub("0", text)
+        if RARE.search(text):
+            text = RARE_NUMBER.sub("0", text)
     return WORD.findall(text) or LETTER.findall(text)
 
 

@@ -45,6 +45,8 @@ LEADERS = 8
 SKETCH_BITS = 1024
 #: Words of the bit map that tells which sets are compared (8 MB); false hits cost time only.
 MAP_WORDS = 1 << 20
+#: Rows with sets that a Python task hands over at once.
+FRAME_ROWS = 1_000
 
 # Bytes as they are counted: A to Z lower-cased, and one more so that none is zero.
 _LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], "uint64")
@@ -77,6 +79,19 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
+def counted_twice(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that occur twice or more, in order, and how often. Empties the list and sorts in
+    place, so that all hashes are in memory once."""
+    every = np.concatenate(sets)
+    sets.clear()
+    every.sort()
+    again = every[1:] == every[:-1]
+    # A hash begins where it equals the next one, but not the one before.
+    edges = np.diff(np.concatenate([[False], again, [False]]).astype("int8"))
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    return every[first], (last - first + 1).astype("int32")
+
+
 SET_COLUMNS = "doc_id long, n long, sig long, shingles array<long>, counts array<int>"
 
 
@@ -91,8 +106,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         waiting, size = [], 0
 
         def repeated() -> Iterator[pd.DataFrame]:
-            found, n = np.unique(np.concatenate(waiting), return_counts=True)
-            found, n = found[n > 1], n[n > 1].astype("int32")
+            found, n = counted_twice(waiting)
             for i in range(0, len(found), 100_000):
                 own = slice(i, i + 100_000)
                 yield pd.DataFrame({"doc_id": [None], "n": [None], "sig": [None],
@@ -108,7 +122,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             size += sum(map(len, sets))
             if size > 3_000_000:
                 yield from repeated()
-                waiting, size = [], 0
+                size = 0
         if waiting:
             yield from repeated()
 
@@ -147,7 +161,11 @@ def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
                 at = np.minimum(np.searchsorted(last, shingles), max(0, len(last) - 1))
                 late = last[at] == shingles if len(last) else np.zeros(len(shingles), bool)
                 ordered = np.concatenate([shingles[~late], shingles[late]])
-                rows.append((sig, len(shingles), ordered[: prefix_length(len(shingles))], sketch(shingles)))
+                # A copy, which does not hold the whole set.
+                rows.append((sig, len(shingles), ordered[: prefix_length(len(shingles))].copy(), sketch(shingles)))
+                if len(rows) == FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=["sig", "n", "first", "sketch"])
+                    rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["sig", "n", "first", "sketch"])
 
@@ -187,6 +205,9 @@ def whole_sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 if int(table[sig >> 10 & MAP_WORDS - 1]) & bits & (1 << 64) - 1 == bits:
                     seen.add(sig)
                     rows.append((sig, len(shingles), shingles))
+                    if len(rows) == FRAME_ROWS:
+                        yield pd.DataFrame(rows, columns=["sig", "n", "shingles"])
+                        rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["sig", "n", "shingles"])
 

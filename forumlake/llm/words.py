@@ -9,7 +9,7 @@ import numpy as np
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-LOT = 1 << 20
+LOT = 1 << 18
 
 
 def _powers(n: int, base: int) -> np.ndarray:

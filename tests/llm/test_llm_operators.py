@@ -4,6 +4,7 @@ import collections
 import os
 import re
 import struct
+import timeit
 import zlib
 
 import numpy as np
@@ -358,3 +359,28 @@ def test_stages_keep_columns_of_any_name(spark, stage):
     assert kept.columns == docs.columns
     for row in kept.collect():
         assert row["x.y"] == row["doc_id"] and row["a`b"] == "v"
+
+
+def test_number_characters_cost_little():
+    """Words are split about as fast as without the rule for numbers, whatever the script."""
+    text = "Straße über naïve façade " * 8_000
+
+    def seconds(split):
+        return min(timeit.repeat(lambda: split(text), number=1, repeat=5))
+
+    assert seconds(langid.words_of) < 12 * seconds(re.compile(r"\w+").findall)
+
+
+def test_words_next_to_numbers_are_no_words():
+    for number in "²½①Ⅷ٣\U0001f10a\U00010107\U0001d7ce9_":
+        assert langid.words_of(f"Haus m{number} {number}b c{number}d Baum") == ["haus", "baum"]
+        assert langid.words_of(f"m{number}d") == ["m", "d"]
+
+
+def test_counts_of_repeated_hashes():
+    rng = np.random.default_rng(5)
+    for most in (1, 2, 40, 10**12):
+        sets = [np.unique(rng.integers(-most, most, n)) for n in (0, 1, 30, 50)]
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        got, times = jaccard.counted_twice(sets)
+        assert got.tolist() == found[n > 1].tolist() and times.tolist() == n[n > 1].tolist() and not sets

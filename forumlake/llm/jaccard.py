@@ -14,13 +14,12 @@ the overlaps of its two sets with a third, which bound its own overlap from both
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forumlake.llm.common import all_columns, discard, free_name, ship_package
@@ -37,8 +36,8 @@ FREQUENT = 32
 MOST_FREQUENT = 1_000_000
 #: Lists up to this length are met as a whole in the first round, longer ones by leaders.
 SHORT_LIST = 32
-#: Leaders of a long list, the smallest by as many hashes. More of them leave fewer sets of a
-#: large group of near copies for the second round.
+#: Leaders of a long list, the first by a hash of the set alone, so that the lists of a group of
+#: near copies have the same ones. More of them leave fewer sets of a large group for the second round.
 LEADERS = 8
 #: Bits of a set's sketch, which tells sets apart that differ too much. Sets of far more elements
 #: fill it, and are then compared without its help.
@@ -257,16 +256,38 @@ def band(n: str) -> str:
 def index_lists(first: DataFrame) -> DataFrame:
     """The entries of all lists with at least two sets, stored: shingle, sig, n, pos, length."""
     entries = first.select("sig", "n", F.posexplode("first").alias("pos", "shingle"))
-    counts = durable(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
+    # Counted by 40 of their bits, which are shorter in the shuffle. Two shingles that share them
+    # are counted as one, so that no list is missed; all entries of a list have the same length.
+    start = F.expr("shiftrightunsigned(shingle, 24)")
+    counts = durable(entries.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("length")).where("length > 1"))
     # Most shingles stand in one set only: a bit map of a fixed size keeps them from the shuffle.
-    few = likely_in(entries, "shingle", counts)
-    lists = few.join(counts, "shingle").groupBy("shingle", "sig").agg(
-        F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("length").alias("length"))
+    marked = entries.withColumn("mark", F.xxhash64(start))
+    few = likely_in(marked, "mark", counts.select(F.xxhash64("start").alias("mark"))).drop("mark")
+    lists = few.join(counts, start == F.col("start")).groupBy("start", "shingle", "sig").agg(
+        F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("length").alias("length")).drop("start")
     lists = durable(lists)
     discard(counts)
     return lists
 
 
+def met_as_whole(entries: DataFrame) -> DataFrame:
+    """Pairs (a < b) of sets that share a short list and fit, once for each list they share.
+
+    Both sides are the same rows by the same key, which are shuffled once.
+    """
+    own = entries.select("shingle", "sig", "n", "pos")
+    joined = own.alias("x").join(own.alias("y"), F.expr(
+        f"x.shingle = y.shingle AND x.sig < y.sig AND {fits('x', 'y')}"))
+    return joined.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+
+
+def leaders_of(entries: DataFrame) -> DataFrame:
+    """The LEADERS entries of each list that come first by a hash of their set."""
+    order = Window.partitionBy("shingle").orderBy(F.xxhash64("sig"), "sig")
+    ranked = entries.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= LEADERS).select("shingle", "sig", "n", "pos", "sketch")
+
+
 def met_by_blocks(entries: DataFrame, more: str = "TRUE") -> DataFrame:
     """Pairs (a < b) of sets that share a list and fit, once for each list they share.
 
@@ -295,6 +316,17 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
 
 
+def alike_by_sketch(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs that the sketches of their sets do not rule out, stored."""
+    pairs = durable(pairs.select("a", "b"))  # read twice below
+    few = likely_in(first.select("sig", "n", "sketch"), "sig", ends_of(pairs)).dropDuplicates(["sig"])
+    both = pairs.join(few.select(F.col("sig").alias("a"), F.struct("n", "sketch").alias("x")), "a").join(
+        few.select(F.col("sig").alias("b"), F.struct("n", "sketch").alias("y")), "b")
+    kept = durable(both.where(f"{can_differ('x', 'y')} AND {can_differ('y', 'x')}").select("a", "b"))
+    discard(pairs)
+    return kept
+
+
 def possible(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs that may link, stored, with n, m and the overlap of their first elements.
 
@@ -361,15 +393,18 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     long_ = durable(lists.where(F.col("length") > SHORT_LIST).join(sketches, "sig"))
     alike = f"{can_differ('x', 'y')} AND {can_differ('y', 'x')}"
 
-    close = possible(met_by_blocks(short).distinct(), first)
+    # Sketches first: they are far shorter than the first elements, and leave few pairs.
+    near = alike_by_sketch(met_as_whole(short).distinct(), first)
+    close = possible(near, first)
     either = close.select("a", "b", "overlap").union(close.select("b", "a", "overlap"))
     best = either.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("best")).select(
         F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+    # From here on only sets in long lists are asked for their first elements.
+    listed = durable(likely_in(first, "sig", long_.select("sig").distinct()))
+    for stage in (near, first, lists):
+        discard(stage)
 
-    ranks = [F.xxhash64("sig", "shingle", F.lit(i)) for i in range(LEADERS)]
-    lowest = long_.groupBy("shingle").agg(*[F.min(r).alias(f"lowest{i}") for i, r in enumerate(ranks)])
-    leads = functools.reduce(Column.__or__, [r == F.col(f"lowest{i}") for i, r in enumerate(ranks)])
-    leaders = durable(long_.join(lowest, "shingle").where(leads).select("shingle", "sig", "n", "pos", "sketch"))
+    leaders = durable(leaders_of(long_))
     led = long_.alias("x").join(leaders.alias("y"), F.expr(
         f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')} AND {alike}")).select(
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
@@ -383,17 +418,19 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
         own = roots.select(F.col("node").alias(key), F.col("root").alias(name))
         return frame.join(own, key, "left").withColumn(name, F.coalesce(name, key))
 
-    apart = with_root(with_root(close.select("a", "b"), "a", "r"), "b", "q").where("r <> q").select("a", "b")
+    apart = with_root(with_root(close, "a", "r"), "b", "q").where("r <> q").select("a", "b", "n", "m")
+    apart = durable(apart.join(met, ["a", "b"], "left_anti"))
     rooted = durable(with_root(long_, "sig", "root"))
-    discard(long_)
-    discard(lists)
     open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
-    entries = rooted.join(open_.select("shingle"), "shingle", "left_semi")
-    far = met_by_blocks(entries, f"x.root <> y.root AND {alike}")
-    rest = possible(apart.union(far).distinct().join(met, ["a", "b"], "left_anti"), first)
-    for stage in (first, rooted, close, met, roots):
+    # A list of one component that gets through has no two roots and so gives no pair.
+    entries = likely_in(rooted, "shingle", open_)
+    far = met_by_blocks(entries, f"x.root <> y.root AND {alike}").distinct()
+    asked = met.union(apart.select("a", "b"))
+    beyond = possible(far.join(asked, ["a", "b"], "left_anti"), listed)
+    rest = durable(apart.union(beyond.select("a", "b", "n", "m")))
+    for stage in (listed, long_, rooted, close, met, roots, apart, beyond):
         discard(stage)
-    derived = durable(answered(rest.select("a", "b", "n", "m"), known))
+    derived = durable(answered(rest, known))
     discard(rest)
     wanted = need("n", "m")
     by_bound = derived.where(f"least >= {wanted}").select("a", "b")

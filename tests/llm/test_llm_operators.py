@@ -93,6 +93,47 @@ def test_jaccard_long_lists(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_jaccard_lists_of_a_group_have_the_same_leaders(spark):
+    rows = [(shingle, sig, 100, 0, [0]) for shingle in range(50) for sig in range(40)]
+    entries = spark.createDataFrame(rows, "shingle long, sig long, n long, pos int, sketch array<long>")
+    leaders = jaccard.leaders_of(entries)
+    assert leaders.count() == 50 * jaccard.LEADERS
+    assert leaders.select("sig").distinct().count() == jaccard.LEADERS
+
+
+def test_jaccard_short_lists_are_shuffled_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(shingle, int(sig), int(20 + sig % 9), int(rng.integers(0, 6)))
+            for shingle in range(60) for sig in rng.choice(40, 6, False)]
+    entries = spark.createDataFrame(rows, "shingle long, sig long, n long, pos int").withColumn("length", F.lit(6))
+    got = {(r["a"], r["b"]) for r in jaccard.met_as_whole(entries).collect()}
+    assert got and got == {(r["a"], r["b"]) for r in jaccard.met_by_blocks(entries).collect()}
+    plan = jaccard.met_as_whole(entries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_jaccard_sketches_leave_all_links(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(-2**62, 2**62, 200)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(-2**62, 2**62, k)])) for k in (0, 5, 20, 120, 200)]
+    first = spark.createDataFrame(
+        [(i, len(s), s.tolist(), jaccard.sketch(s).tolist()) for i, s in enumerate(sets)],
+        "sig long, n long, first array<long>, sketch array<long>")
+    pairs = [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    got = {(r["a"], r["b"]) for r in jaccard.alike_by_sketch(spark.createDataFrame(pairs, "a long, b long"), first).collect()}
+    linked = {(a, b) for a, b in pairs
+              if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert (0, 1) in linked and linked <= got and (0, 4) not in got
+
+
+def test_jaccard_lists_of_shingles_with_equal_starts(spark):
+    near = [1 << 30, (1 << 30) + 1, -5]  # the first two share the bits that are counted
+    first = spark.createDataFrame(
+        [(1, 4, [near[0], 7 << 40]), (2, 4, [near[1], near[2]]), (3, 4, [near[2]])], "sig long, n long, first array<long>")
+    got = {(r["shingle"], r["sig"]) for r in jaccard.index_lists(first).collect()}
+    assert {(near[2], 2), (near[2], 3)} <= got and (7 << 40, 1) not in got
+
+
 def test_jaccard_bounds_hold_the_overlap(spark):
     rng = np.random.default_rng(4)
     sets = [set(rng.choice(14, rng.integers(3, 12), replace=False).tolist()) for _ in range(24)]

@@ -6,15 +6,18 @@ room for the overlap they need. The index lists of these shingles are cut into b
 by set size. The place of a shingle in a set bounds the sizes of its partners, so that
 only the blocks in this range are met.
 
-Links are then found in two rounds. The first checks each set against few others: the
-leaders of its long lists and its best partner in short ones. Components follow. The
-second meets only pairs in different components, and first tries to answer a pair from
+Links are then found in rounds. The first checks each set against few others: the
+leaders of its long lists and its best partner in short ones. Components follow. As long as
+the pairs in different components are estimated to be more than the sets in them, a round
+checks about as many of them as there are sets, and the components grow. The last round
+meets all pairs that are still in different components, and first tries to answer a pair from
 the overlaps of its two sets with a third, which bound its own overlap from both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -281,27 +284,29 @@ def met_as_whole(entries: DataFrame) -> DataFrame:
     return joined.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
 
-def leaders_of(entries: DataFrame) -> DataFrame:
-    """The LEADERS entries of each list that come first by a hash of their set."""
-    order = Window.partitionBy("shingle").orderBy(F.xxhash64("sig"), "sig")
-    ranked = entries.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= LEADERS).select("shingle", "sig", "n", "pos", "sketch")
+def leaders_of(entries: DataFrame, draw: int = 0) -> DataFrame:
+    """The LEADERS entries of each list that come first by a hash of their set; other ones by ``draw``."""
+    drawn = F.xxhash64("sig", F.lit(draw)) if draw else F.xxhash64("sig")
+    ranked = entries.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy(drawn, "sig")))
+    return ranked.where(F.col("rank") <= LEADERS).drop("rank", "length")
 
 
-def met_by_blocks(entries: DataFrame, more: str = "TRUE") -> DataFrame:
+def met_by_blocks(entries: DataFrame, more: str = "TRUE", some: str | None = None) -> DataFrame:
     """Pairs (a < b) of sets that share a list and fit, once for each list they share.
 
     An entry meets the blocks of its list from three quarters of its size to the largest
-    size that its place allows.
+    size that its place allows. With ``some`` only the entries that it names stand in blocks; a pair
+    of two of them is then given twice.
     """
     most = "CAST(floor((4 * n - 7 * pos) / 3) AS BIGINT)"
     low = f"greatest(0, {band('greatest(1, floor(3 * n / 4))')})"
     able = entries.where(f"{most} >= 1 AND 4 * {most} >= 3 * n")
     probes = able.withColumn("block", F.explode(F.expr(f"sequence({low}, {band(most)})"))).alias("x")
-    blocks = entries.withColumn("block", F.expr(band("n"))).alias("y")
+    blocks = entries.where(some or "TRUE").withColumn("block", F.expr(band("n"))).alias("y")
+    order = "x.sig <> y.sig" if some else "x.sig < y.sig"
     joined = probes.join(blocks, F.expr(
-        f"x.shingle = y.shingle AND x.block = y.block AND x.sig < y.sig AND {fits('x', 'y')} AND {more}"))
-    return joined.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+        f"x.shingle = y.shingle AND x.block = y.block AND {order} AND {fits('x', 'y')} AND {more}"))
+    return joined.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
 
 
 def both_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -377,6 +382,35 @@ def answered(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"], "left")
 
 
+def with_root(frame: DataFrame, key: str, name: str, roots: DataFrame) -> DataFrame:
+    """``frame`` with the root of the set ``key`` as column ``name``; a set without links is its own."""
+    own = roots.select(F.col("node").alias(key), F.col("root").alias(name))
+    return frame.join(own, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of the lists with sets of more than one component, stored, with their roots."""
+    rooted = durable(with_root(lists, "sig", "root", roots))
+    open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
+    # A list of one component that gets through has no two roots and so gives no pair.
+    entries = durable(likely_in(rooted, "shingle", open_))
+    discard(rooted)
+    return entries
+
+
+def pairs_left(entries: DataFrame, more: str, draw: int) -> tuple[float, int]:
+    """About how many pairs the lists give, each as often as they share one, and how many sets are in them.
+
+    The pairs of a few entries of each list stand for those of all.
+    """
+    drawn = leaders_of(entries, draw)
+    met = entries.alias("x").join(drawn.alias("y"), F.expr(
+        f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')} AND {more}"))
+    # Each pair is met from either side, with the chance that a side is drawn.
+    pairs = met.agg(F.sum(F.col("x.length") / F.lit(2.0 * LEADERS))).first()[0] or 0.0
+    return pairs, entries.agg(F.approx_count_distinct("sig")).first()[0]
+
+
 def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     """Links (a, b) between sets that connect every two sets that a chain of links connects.
 
@@ -410,25 +444,40 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
     # The sketches leave few that their first elements could still rule out.
     met = durable(best.union(led).distinct())
-    known = overlaps(df, text_col, met)
+    known = overlaps(df, text_col, met)  # of all pairs met
     discard(leaders)
+    discard(met)
     roots = durable(components(linked(known)))
-
-    def with_root(frame: DataFrame, key: str, name: str) -> DataFrame:
-        own = roots.select(F.col("node").alias(key), F.col("root").alias(name))
-        return frame.join(own, key, "left").withColumn(name, F.coalesce(name, key))
-
-    apart = with_root(with_root(close, "a", "r"), "b", "q").where("r <> q").select("a", "b", "n", "m")
-    apart = durable(apart.join(met, ["a", "b"], "left_anti"))
-    rooted = durable(with_root(long_, "sig", "root"))
-    open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
-    # A list of one component that gets through has no two roots and so gives no pair.
-    entries = likely_in(rooted, "shingle", open_)
-    far = met_by_blocks(entries, f"x.root <> y.root AND {alike}").distinct()
-    asked = met.union(apart.select("a", "b"))
+    entries = open_lists(long_, roots)
+    alike = f"x.root <> y.root AND {alike}"
+    before = float("inf")
+    for draw in count(1):
+        left, sets = pairs_left(entries, alike, draw)
+        # A share of the pairs is worth checking while that joins components.
+        if left <= sets or left > before / 2:
+            break
+        before = left
+        some = f"pmod(xxhash64(sig, {draw}), 1000000) < {1_000_000 * sets / (2 * left)}"
+        drawn = met_by_blocks(entries, alike, some).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        maybe = possible(drawn, listed)
+        found = overlaps(df, text_col, maybe)
+        discard(maybe)
+        known = known.union(found)
+        if linked(found).isEmpty():
+            break
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked(found))
+        grown = durable(components(edges))
+        discard(roots)
+        discard(entries)
+        roots, entries = grown, open_lists(long_, grown)
+
+    apart = with_root(with_root(close, "a", "r", roots), "b", "q", roots).where("r <> q").select("a", "b", "n", "m")
+    apart = durable(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+    far = met_by_blocks(entries, alike).distinct()
+    asked = known.select("a", "b").union(apart.select("a", "b"))
     beyond = possible(far.join(asked, ["a", "b"], "left_anti"), listed)
     rest = durable(apart.union(beyond.select("a", "b", "n", "m")))
-    for stage in (listed, long_, rooted, close, met, roots, apart, beyond):
+    for stage in (listed, long_, entries, close, roots, apart, beyond):
         discard(stage)
     derived = durable(answered(rest, known))
     discard(rest)

@@ -93,6 +93,44 @@ def test_jaccard_long_lists(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_jaccard_last_round_follows_the_number_of_sets(spark, monkeypatch):
+    """A group of near copies that link with a few of them, which lead no list."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(500):
+        words = list(base)
+        for at in rng.choice(150, 1 if d % 25 == 0 else 3, replace=False):
+            words[at] = f"n{d}x{at}"
+        rows.append((d, " ".join(words)))
+    sets = {d: shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    made, plain = [], jaccard.met_by_blocks
+
+    def counted(*args):
+        pairs = plain(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "met_by_blocks", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicate_groups(df).collect()}
+    assert got == {d: find(d) for d in sets}
+    assert max(made) <= 4 * len(sets)
+
+
 def test_jaccard_lists_of_a_group_have_the_same_leaders(spark):
     rows = [(shingle, sig, 100, 0, [0]) for shingle in range(50) for sig in range(40)]
     entries = spark.createDataFrame(rows, "shingle long, sig long, n long, pos int, sketch array<long>")
@@ -391,8 +429,7 @@ def test_only_letters_make_words():
 
 @pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup", "decontamination", "language_id"])
 def test_stages_keep_columns_of_any_name(spark, stage):
-    import corpus_pipeline
-
+    
     text = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(i, text if i < 3 else f"{text} {i} " * 3 if i else None, "en", i, "v") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `x.y` int, `a``b` string")

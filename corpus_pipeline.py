@@ -16,29 +16,45 @@ from forumlake.llm.catalog import held_out
 from forumlake.llm.common import table
 from forumlake.session import durable
 
+#: Rows that a Python task is handed at once. The texts of a batch are in memory three times and more: in
+#: Spark's buffer, which doubles as it grows, in Arrow and as Python strings.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Hand the Python tasks of this session at most BATCH_ROWS rows at once; a smaller setting holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language that the labelled documents have; the rejected ones go."""
+    in_small_batches(spark)
     return langid.keep_accepted(docs, langid.train(docs, usable=~held_out()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id."""
+    in_small_batches(spark)
     return dedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of similar texts connect, the row with the smallest id."""
+    in_small_batches(spark)
     return jaccard.keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark."""
+    in_small_batches(spark)
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of all texts with their sequence and place."""
+    in_small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

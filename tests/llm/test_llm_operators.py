@@ -8,12 +8,14 @@ import timeit
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from forumlake.llm import catalog, decontam, dedup, html, jaccard, langid, packing, secrets, sharding, tokens, urls
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -429,7 +431,8 @@ def test_only_letters_make_words():
 
 @pytest.mark.parametrize("stage", ["exact_dedup", "near_dedup", "decontamination", "language_id"])
 def test_stages_keep_columns_of_any_name(spark, stage):
-    
+    import corpus_pipeline
+
     text = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(i, text if i < 3 else f"{text} {i} " * 3 if i else None, "en", i, "v") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `x.y` int, `a``b` string")
@@ -462,3 +465,24 @@ def test_counts_of_repeated_hashes():
         found, n = np.unique(np.concatenate(sets), return_counts=True)
         got, times = jaccard.counted_twice(sets)
         assert got.tolist() == found[n > 1].tolist() and times.tolist() == n[n > 1].tolist() and not sets
+
+
+def test_pipeline_hands_over_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)]})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "some plain words", "en") for i in range(5000)], "doc_id long, text string, lang string")
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            spark.conf.set(name, 10_000)
+            stage(spark, docs.limit(20), SF_DIR)
+            got = docs.coalesce(1).mapInPandas(sizes, "rows long").agg(F.max("rows"), F.sum("rows")).first()
+            assert tuple(got) == (1000, 5000)
+        spark.conf.set(name, 7)
+        corpus_pipeline.in_small_batches(spark)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, was)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forumlake.llm.common import all_columns, discard, free_name, ship_package
+from forumlake.llm.common import all_columns, discard, free_name, lean, ship_package
 from forumlake.llm.components import components
 from forumlake.llm.words import hashed_words, shingles_of
 from forumlake.session import durable
@@ -104,6 +104,7 @@ def document_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     is shuffled follows the repetitions in the corpus.
     """
 
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, size = [], 0
 
@@ -151,6 +152,7 @@ def prefixes(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     """sig, n, the first shingles, rarest first, and the sketch of each set; once per set and task."""
     shared = df.sparkSession.sparkContext.broadcast(last)
 
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, seen = shared.value, set()
         for batch in batches:
@@ -195,6 +197,7 @@ def whole_sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     table[words["word"].to_numpy("int64")] = words["bits"].to_numpy("int64")
     shared = df.sparkSession.sparkContext.broadcast(table)
 
+    @lean
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, seen = shared.value, set()
         for batch in batches:
@@ -522,6 +525,7 @@ def set_number(text: Column) -> Column:
     """The ``sig`` of a text's set; null for an empty one."""
 
     @F.pandas_udf("long")
+    @lean
     def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             sets = shingle_sets(batch)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from forumlake.llm.common import all_columns, free_name, ship_package
+from forumlake.llm.common import all_columns, free_name, lean, ship_package
 from forumlake.session import durable
 
 ORDER = 4
@@ -242,6 +242,7 @@ def train(
     usable = F.lit(True) if usable is None else usable
     rows = sample(df, id_col, text_col, lang_col, F.coalesce(usable, F.lit(False)))
 
+    @lean
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[tuple[str, str], int] = {}
@@ -266,6 +267,7 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     """The model with the usual cross-entropy of texts that it was not trained on."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
@@ -315,6 +317,7 @@ def language_columns(df: DataFrame, model: Model, text_col: str = "text") -> Col
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, entropy double, accepted boolean")
+    @lean
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         scorer = Scorer(model)

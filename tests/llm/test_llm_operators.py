@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from forumlake.llm import catalog, decontam, dedup, html, jaccard, langid, packing, secrets, sharding, tokens, urls
+from forumlake.llm import catalog, common, decontam, dedup, html, jaccard, langid, packing, secrets, sharding, tokens, urls
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ODD = [(1, "a b c d e f"), (None, "a b c d e f"), (3, None), (None, ""), (1, "a b c d e f"), (7, "  "),
@@ -486,3 +486,21 @@ def test_pipeline_hands_over_small_batches(spark):
         assert spark.conf.get(name) == "7"
     finally:
         spark.conf.set(name, was)
+
+
+def test_workers_give_back_freed_memory(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+
+    @common.lean
+    def task(batches):
+        for batch in batches:
+            assert not given
+            yield batch + 1
+
+    assert list(task(iter([1, 2, 3]))) == [2, 3, 4] and given == [1]
+    given.clear()
+    stopped = task(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert given == [1]

@@ -51,7 +51,8 @@ def bundles(
     others' texts are not even shuffled.
     """
     named = joins.with_named(documents, ["reference_id"]).where("reference_id IS NOT NULL")
-    docs = named.withColumnRenamed("reference_id", "post_id")
+    # Stored id columns may hold a post_id of their own, which is not the one meant here.
+    docs = named.select(F.col("reference_id").alias("post_id"), "id", "analysis_document")
     heads = posts.filter(not_removed_by_site("post_body"))
     bodies = comments
     if post_id is not None:

@@ -314,6 +314,32 @@ def test_append_ignore_twice(spark, tmp_path, rows):
     assert rows(spark.read.parquet(path)) == [("a", 1), ("b", 2), ("c", 3)]
 
 
+def test_a_small_table_is_stored_by_key_once_it_grows(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+
+    def put(*made):
+        dml.append_ignore(spark, path, spark.createDataFrame(list(made), "k string, v int"), [["k"]], ["v"])
+
+    put()
+    assert rows(spark.read.parquet(path)) == []
+    put(("a", 2), ("a", 1), (None, 3))
+    assert dml.bucket_column(spark, path) is None
+    put(*[(f"k{n}", n) for n in range(61)])  # 63 rows
+    assert dml.bucket_column(spark, path) is None
+    put(("a", 7), ("z", 8))
+    assert dml.bucket_column(spark, path) == "key64"
+    put(("z", 9), ("y", 9))
+    expected = [("a", 1), (None, 3), ("z", 8), ("y", 9), *[(f"k{n}", n) for n in range(61)]]
+    assert rows(spark.read.parquet(path), "k", "v") == sorted(expected, key=repr)
+
+    path = str(tmp_path / "from_empty")
+    put()
+    put(*[(f"k{n}", n) for n in range(200)])
+    put(("k7", 1))
+    assert dml.bucket_column(spark, path) == "key64"
+    assert rows(spark.read.parquet(path), "k", "v") == sorted([(f"k{n}", n) for n in range(200)], key=repr)
+
+
 def test_update_by_key(spark, rows):
     target = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v int")
     updates = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("b", 7, 1), ("z", 1, 1)],

@@ -391,9 +391,14 @@ def with_root(frame: DataFrame, key: str, name: str, roots: DataFrame) -> DataFr
     return frame.join(own, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries of the lists with sets of more than one component, stored, with their roots."""
-    rooted = durable(with_root(lists, "sig", "root", roots))
+def open_lists(lists: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of the lists with sets of more than one component, stored, with the roots and sketches
+    of their sets.
+
+    A set has its root found once, not with each entry, and its sketch is shuffled once.
+    """
+    entries = lists.select("shingle", "sig", "n", "pos", "length")
+    rooted = durable(entries.join(with_root(sketches, "sig", "root", roots), "sig"))
     open_ = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
     # A list of one component that gets through has no two roots and so gives no pair.
     entries = durable(likely_in(rooted, "shingle", open_))
@@ -436,12 +441,14 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     either = close.select("a", "b", "overlap").union(close.select("b", "a", "overlap"))
     best = either.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("best")).select(
         F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
-    # From here on only sets in long lists are asked for their first elements.
+    # From here on only sets in long lists are asked for their first elements and sketches.
     listed = durable(likely_in(first, "sig", long_.select("sig").distinct()))
+    sketches = listed.select("sig", "sketch").dropDuplicates(["sig"])
     for stage in (near, first, lists):
         discard(stage)
 
-    leaders = durable(leaders_of(long_))
+    # Their sketches come after the choice, which shuffles the entries.
+    leaders = durable(leaders_of(long_.drop("sketch")).join(sketches, "sig"))
     led = long_.alias("x").join(leaders.alias("y"), F.expr(
         f"x.shingle = y.shingle AND x.sig <> y.sig AND {fits('x', 'y')} AND {alike}")).select(
         F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"))
@@ -451,7 +458,7 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
     discard(leaders)
     discard(met)
     roots = durable(components(linked(known)))
-    entries = open_lists(long_, roots)
+    entries = open_lists(long_, sketches, roots)
     alike = f"x.root <> y.root AND {alike}"
     before = float("inf")
     for draw in count(1):
@@ -472,7 +479,7 @@ def links_of(df: DataFrame, text_col: str, last: np.ndarray) -> DataFrame:
         grown = durable(components(edges))
         discard(roots)
         discard(entries)
-        roots, entries = grown, open_lists(long_, grown)
+        roots, entries = grown, open_lists(long_, sketches, grown)
 
     apart = with_root(with_root(close, "a", "r", roots), "b", "q", roots).where("r <> q").select("a", "b", "n", "m")
     apart = durable(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"))
@@ -522,7 +529,11 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def set_number(text: Column) -> Column:
-    """The ``sig`` of a text's set; null for an empty one."""
+    """The ``sig`` of a text's set; null for an empty one.
+
+    Declared nondeterministic, so that Spark asks for it once a row: a copy of it in a filter would
+    hash the texts twice, in a second Python worker of the same task.
+    """
 
     @F.pandas_udf("long")
     @lean
@@ -531,7 +542,7 @@ def set_number(text: Column) -> Column:
             sets = shingle_sets(batch)
             yield pd.Series(pd.array([signature(s) if len(s) else None for s in sets], "Int64"))
 
-    return number(text)
+    return number.asNondeterministic()(text)
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -196,6 +196,22 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.near_duplicate_groups(odd.limit(0)).count() == 0
 
 
+def test_set_numbers_are_asked_for_once_a_row(odd):
+    """Three unions read the rows; none of them hashes a text in two Python steps of a task."""
+    plan = jaccard.keep_one_of_each(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3
+
+
+def test_entries_of_open_lists_get_roots_and_sketches_of_their_sets(spark):
+    lists = spark.createDataFrame(
+        [(1, 10, 5, 0, 40), (1, 11, 5, 1, 40), (2, 10, 5, 1, 40), (2, 12, 6, 0, 40), (3, 12, 6, 1, 40)],
+        "shingle long, sig long, n long, pos int, length long")
+    sketches = spark.createDataFrame([(s, [s, -s]) for s in (10, 11, 12, 13)], "sig long, sketch array<long>")
+    roots = spark.createDataFrame([(10, 10), (11, 10)], "node long, root long")
+    got = jaccard.open_lists(lists, sketches, roots).select("shingle", "sig", "n", "pos", "length", "root", "sketch")
+    assert sorted(map(tuple, got.collect())) == [(2, 10, 5, 1, 40, 10, [10, -10]), (2, 12, 6, 0, 40, 12, [12, -12])]
+
+
 def test_exact_dedup_odd_rows(odd):
     got = dedup.exact_dedup(odd).collect()
     assert len(got) == len(ODD)
